@@ -65,8 +65,7 @@ def with_runs(df: DataFrame, s: str, kind: str) -> DataFrame:
 
 def with_architecture(df: DataFrame, s: str, kind: str, prefix: str = "") -> DataFrame:
     """Tract and loop geometry of the first admissible four-run window."""
-    runs, gaps, at = motif.tract_parts(F.col(s), motif.BASE[kind])
-    df = df.withColumns({"_r": runs, "_g": gaps, "_at": at})
+    df = motif.with_tract_parts(df, s, motif.BASE[kind])
     tract = [F.length(F.get("_r", F.col("_at") + i)) for i in range(4)]
     loop = [F.get("_g", F.col("_at") + i + 1) for i in range(3)]
     df = df.withColumns(

@@ -4,7 +4,7 @@ A left-to-right scan that skips overlapping hits is exactly what plain regular
 expression matching does, so counting and listing hits need no position loop.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,32 +37,30 @@ def hits(s, pattern: str, overlapping: bool = False) -> Column:
     sentinel character keeps a hit at position 0 apart from no hit.
     """
     s = F.col(s) if isinstance(s, str) else s
-    if overlapping:
-        texts = F.regexp_extract_all(s, F.lit(f"(?=({pattern}))"), 1)
-        gaps = F.transform(F.split(F.concat(F.lit("#"), s), f"(?={pattern})"), lambda g: F.length(g))
-    else:
-        texts = F.regexp_extract_all(s, F.lit(f"({pattern})"), 1)
-        gaps = F.transform(F.split(F.concat(F.lit("#"), s), pattern), lambda g: F.length(g))
-    spans = F.transform(texts, lambda t: F.lit(0) if overlapping else F.length(t))
+    cut = f"(?={pattern})" if overlapping else pattern
+    texts = F.regexp_extract_all(s, F.lit(f"(?=({pattern}))" if overlapping else f"({pattern})"), 1)
+    # one walk over (distance, hit) pairs: neither expression is repeated per hit
+    pairs = F.arrays_zip(F.split(F.concat(F.lit("#"), s), cut).alias("gap"), texts.alias("text"))
+    none = F.array().cast("array<struct<start:bigint,text:string>>")
 
-    def place(t, i):
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(-1), lambda a, g: a + g)
-        taken = F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, g: a + g)
-        return F.struct((before + taken).cast("bigint").alias("start"), t.alias("text"))
+    def step(acc, p):
+        start = acc["pos"] + F.length(p["gap"])
+        after = start if overlapping else start + F.coalesce(F.length(p["text"]), F.lit(0))
+        return F.struct(after.cast("bigint").alias("pos"),
+                        F.concat(acc["hits"], F.array(F.struct(start.cast("bigint").alias("start"), p["text"].alias("text")))).alias("hits"))
 
-    return F.transform(texts, place)
+    first = F.struct(F.lit(-1).cast("bigint").alias("pos"), none.alias("hits"))
+    return F.filter(F.aggregate(pairs, first, step)["hits"], lambda h: h["text"].isNotNull())
 
 
-def tract_parts(s, base: str, min_tract: int = 3, max_loop: int = 12):
-    """Runs and gaps of a candidate, and the index of its first admissible four-run window.
+def with_tract_parts(df: DataFrame, s: str, base: str, min_tract: int = 3, max_loop: int = 12) -> DataFrame:
+    """Append _r (runs), _g (gaps; _g[i] precedes _r[i]) and _at, the first admissible four-run window.
 
-    Returns (runs, gaps, index): gaps[i] precedes runs[i]; index is null below
-    four runs and 0 when no window has all three loops within the bound.
+    _at is null below four runs and 0 when no window has all three loops within the bound.
     """
     pattern = f"{base}{{{min_tract},}}"
-    runs = F.regexp_extract_all(s, F.lit(f"({pattern})"), 1)
-    gaps = F.split(s, pattern)
-    fits = lambda i, d: F.length(F.get(gaps, i + d)).between(1, max_loop)
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size(runs) - 4),
+    df = df.withColumns({"_r": F.regexp_extract_all(s, F.lit(f"({pattern})"), 1), "_g": F.split(s, pattern)})
+    fits = lambda i, d: F.length(F.get("_g", i + d)).between(1, max_loop)
+    first = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size("_r") - 4, F.lit(0))),
                            lambda i: fits(i, 1) & fits(i, 2) & fits(i, 3)), F.lit(0))
-    return runs, gaps, F.when(F.size(runs) >= 4, F.coalesce(first, F.lit(0)))
+    return df.withColumn("_at", F.when(F.size("_r") >= 4, F.coalesce(first, F.lit(0))))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_sequences"]
+MODULES = ["q_sequences", "q_motifs"]
 
 
 def load():

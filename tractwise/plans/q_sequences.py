@@ -297,11 +297,10 @@ y AS (SELECT *, CASE WHEN len(r) >= 4 THEN coalesce(list_filter(range(1, len(r)
 SELECT seq_id, concat_ws(',', length(r[a]), length(r[a+1]), length(r[a+2]), length(r[a+3])) AS tracts,
        concat_ws(',', length(g[a+1]), length(g[a+2]), length(g[a+3])) AS loops FROM y WHERE a IS NOT NULL""")
 def fea4(t):
-    runs, gaps, at = motif.tract_parts(F.col("s"), "G")
-    df = t.seqs.select("seq_id", runs.alias("r"), gaps.alias("g"), at.alias("a")).where("a IS NOT NULL")
-    n = lambda c, i: F.length(F.get(c, F.col("a") + i)).cast("string")
-    return df.select("seq_id", F.concat_ws(",", *[n("r", i) for i in range(4)]).alias("tracts"),
-                     F.concat_ws(",", *[n("g", i + 1) for i in range(3)]).alias("loops"))
+    df = motif.with_tract_parts(t.seqs, "s", "G").where("_at IS NOT NULL")
+    n = lambda c, i: F.length(F.get(c, F.col("_at") + i)).cast("string")
+    return df.select("seq_id", F.concat_ws(",", *[n("_r", i) for i in range(4)]).alias("tracts"),
+                     F.concat_ws(",", *[n("_g", i + 1) for i in range(3)]).alias("loops"))
 
 
 def _base_sql(view, col, kind):
