@@ -113,7 +113,7 @@ def genome_hits(pieces: DataFrame, piece_len: int, look: int = 200, max_len: int
     hits = hits.withColumn("_tile", F.floor(F.col("x") / 100_000))
     hits = ordered.running(hits, keys, "_tile", ["x"], "y", "_reach", "max", False)
     opens = F.when(F.col("_reach").isNull() | (F.col("x") >= F.col("_reach")), F.col("x"))
-    hits = ordered.running(hits, keys, "_tile", ["x"], opens, "chain", "max", True)
+    hits = ordered.running(hits, keys, "_tile", ["x"], opens, "chain", "max", True, placed=True)
     chains = hits.groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(F.struct("x", "y", "text"))).alias("_c"))
     taken = F.aggregate(
         "_c", F.struct(F.col("chain").alias("last"), F.filter("_c", lambda h: F.lit(False)).alias("kept")),

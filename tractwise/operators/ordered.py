@@ -78,13 +78,17 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
     return edge.select(*keys, "total", *out)
 
 
-def running(df: DataFrame, keys, tile: str, order, value, name: str, how: str, inclusive: bool) -> DataFrame:
+def running(df: DataFrame, keys, tile: str, order, value, name: str, how: str, inclusive: bool, placed=False) -> DataFrame:
     """Running max or sum along `order` within `keys`, carried across tiles.
 
     `tile` must be non-decreasing along `order`. Only one row per tile is ever
-    accumulated per key; rows themselves stay in (key, tile) groups.
+    accumulated per key; rows themselves stay in (key, tile) groups. The rows
+    are exchanged once, and that exchange serves totals and rows alike; pass
+    placed=True when an earlier call with the same keys and tile already did it.
     """
     keys = list(keys)
+    if not placed:
+        df = df.repartition(*keys, tile)
     reduce = {"max": F.max, "sum": F.sum}[how]
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumn("_v", value)

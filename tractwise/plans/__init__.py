@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_sequences", "q_motifs"]
+MODULES = ["q_sequences", "q_motifs", "q_intervals"]
 
 
 def load():

@@ -31,10 +31,15 @@ def scores(x):
             f"CASE WHEN r[1] = 'G' THEN least(length(r), 4) WHEN r[1] = 'C' THEN -least(length(r), 4) ELSE 0 END)))")
 
 
+def scored(view, x):
+    """The view with its per-base scores in sc_, which window_means reads."""
+    return f"(SELECT *, {scores(x)} AS sc_ FROM {view}) AS {view}"
+
+
 def window_means(x, w=25):
     v = f"least({w}, length({x}))"
     return (f"list_transform(range(1, length({x}) - {v} + 2), lambda i: "
-            f"cast(list_sum(list_slice({scores(x)}, i, i + {v} - 1)) AS double) / {v})")
+            f"cast(list_sum(list_slice(sc_, i, i + {v} - 1)) AS double) / {v})")
 
 
 def tract(base, tract="{3}", loop=7, letter="[ACGT]"):

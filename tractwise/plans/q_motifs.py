@@ -264,14 +264,17 @@ def mut2(t):
     return edits.select(F.inline(states)).groupBy("kind", "state").agg(F.count("*").alias("n"))
 
 
-@query("mut3_other_strand_gain", "oligos", _EDITS + f"""
+_DUPLEX = f"dx_ AS (SELECT seq_id, concat(o, {d.revcomp('o')}) AS o FROM oligos),"
+
+
+@query("mut3_other_strand_gain", "oligos", _DUPLEX + _EDITS.replace("FROM oligos", "FROM dx_") + f"""
 SELECT seq_id, concat(wt, i0 + 1, alt) AS label FROM ed_
 WHERE {d.mcount('o', 'G4')} >= {d.mcount(d.revcomp('o'), 'G4')} AND ({d.mcount('o', 'G4')} > 0 OR {d.count('o', 'G')} >= {d.count('o', 'C')})
   AND {d.mcount(d.revcomp('o'), 'G4')} = 0 AND {d.mcount(d.revcomp('mut'), 'G4')} > 0""")
 def mut3(t):
     """Gains on the strand a G4 score is not routed to: reported, never scored."""
-    r = seq.revcomp("o")
-    df = t.oligos.withColumns({"f": motif.motif_count("o", "G4"), "r": motif.motif_count(r, "G4")})
+    duplex = t.oligos.select("seq_id", F.concat("o", seq.revcomp("o")).alias("o"))
+    df = duplex.withColumns({"f": motif.motif_count("o", "G4"), "r": motif.motif_count(seq.revcomp("o"), "G4")})
     routed = (F.col("f") >= F.col("r")) & ((F.col("f") > 0) | (seq.count_of("o", "G") >= seq.count_of("o", "C")))
     edits = motifs.substitutions(df.where(routed & (F.col("r") == 0)), ["seq_id"], "o")
     return edits.where(motif.has_motif(seq.revcomp("mutant"), "G4")).select("seq_id", "label")
@@ -303,8 +306,8 @@ gp_ AS (SELECT *, unnest(range(0, length(text_))) AS i0 FROM gm),
 ge_ AS (SELECT chrom, kind, strand, CASE WHEN strand = '+' THEN start_ + i0 + 1 ELSE end_ - i0 END AS pos, start_, end_, text_,
     CASE WHEN strand = '+' THEN substr(text_, i0 + 1, 1) ELSE translate(substr(text_, i0 + 1, 1), 'ACGT', 'TGCA') END AS ref,
     CASE WHEN strand = '+' THEN b ELSE translate(b, 'ACGT', 'TGCA') END AS alt,
-    CASE WHEN regexp_matches(concat(substr(text_, 1, i0), b, substr(text_, i0 + 2)), CASE WHEN kind = 'G4' THEN '{d.PAT['G4']}' ELSE '{d.PAT['iM']}' END)
-      THEN 'motif_retained' ELSE 'motif_lost' END AS state FROM gp_ JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(b) ON b <> substr(text_, i0 + 1, 1))"""
+    CASE WHEN CASE WHEN kind = 'G4' THEN regexp_matches(concat(substr(text_, 1, i0), b, substr(text_, i0 + 2)), '{d.PAT['G4']}')
+      ELSE regexp_matches(concat(substr(text_, 1, i0), b, substr(text_, i0 + 2)), '{d.PAT['iM']}') END THEN 'motif_retained' ELSE 'motif_lost' END AS state FROM gp_ JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(b) ON b <> substr(text_, i0 + 1, 1))"""
 
 
 @query("var6_forward_coordinates", "genome", _GENOME_EDITS + """

@@ -284,7 +284,7 @@ def fea2(t):
 
 
 @query("fea3_hunter_window_max", "seqs", f"""
-SELECT seq_id, round(list_max(list_transform({d.window_means('s')}, lambda v: abs(v))), 6) AS g4h_max FROM seqs""")
+SELECT seq_id, round(list_max(list_transform({d.window_means('s')}, lambda v: abs(v))), 6) AS g4h_max FROM {d.scored('seqs', 's')}""")
 def fea3(t):
     df = seq.with_window_means(t.seqs, "s", "_means")
     return df.select("seq_id", r6(F.array_max(F.transform("_means", lambda v: F.abs(v)))).alias("g4h_max"))
@@ -339,7 +339,7 @@ def _base_sql(view, col, kind):
     fit = " AND ".join(f"length(g[i+{j}]) BETWEEN 1 AND 12" for j in (1, 2, 3))
     body = f"""
 x AS (SELECT seq_id, {', '.join(f'{e_} AS {k}' for k, e_ in v.items())}, length({col}) AS n,
-             regexp_extract_all({col}, '{pat}') AS r, string_split_regex({col}, '{pat}') AS g FROM {view}),
+             regexp_extract_all({col}, '{pat}') AS r, string_split_regex({col}, '{pat}') AS g FROM {d.scored(view, col)}),
 y AS (SELECT *, CASE WHEN len(r) >= 4 THEN coalesce(list_filter(range(1, len(r) - 2), lambda i: {fit})[1], 1) END AS a FROM x),
 z AS (SELECT *, {', '.join(f'cast(coalesce(length(r[a+{i}]), 0) AS double) AS t{i}' for i in range(4))},
              {', '.join(f'cast(coalesce(length(g[a+{i + 1}]), 0) AS double) AS l{i}' for i in range(3))},
@@ -444,7 +444,7 @@ def _stats(w):
             big("n_g3_runs").alias("n_runs"), big("total_g3_run_nt").alias("run_nt"), r6(w["frac_windows_ge_1p2"]).alias("frac_hi")]
 
 
-@query("fea11_window_stats", "seqs", f"SELECT seq_id, {_stats_sql('s')} FROM seqs")
+@query("fea11_window_stats", "seqs", f"SELECT seq_id, {_stats_sql('s')} FROM {d.scored('seqs', 's')}")
 def fea11(t):
     df = features.with_window_stats(t.seqs, "s")
     return df.select("seq_id", *_stats({n: F.col(n) for n in features.WINDOW_STATS}))
@@ -472,7 +472,7 @@ def window_strands(df, s):
 @query("fea13_rule_scores", "oligos", f"""
 SELECT seq_id, round({d.hunter_mean('o')}, 6) AS g4h_mean, round(list_max({d.window_means('o')}), 6) AS g4h_max, round(list_min({d.window_means('o')}), 6) AS g4h_min,
        cast({_ov('o', '{3,}', 7)} AS bigint) AS g4_hits, cast({_ov('o', '{2,}', 7)} AS bigint) AS g2_hits,
-       round(({d.count('o', 'G')} + {d.count('o', 'C')}) / length(o), 6) AS gc FROM oligos""")
+       round(({d.count('o', 'G')} + {d.count('o', 'C')}) / length(o), 6) AS gc FROM {d.scored('oligos', 'o')}""")
 def fea13(t):
     s = F.col("o")
     df = seq.with_window_means(t.oligos, "o", "_means")
