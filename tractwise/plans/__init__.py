@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_sequences", "q_motifs", "q_intervals"]
+MODULES = ["q_sequences", "q_motifs", "q_intervals", "q_atlas", "q_variants"]
 
 
 def load():
