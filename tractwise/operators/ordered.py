@@ -25,27 +25,28 @@ def _bucket(counts: DataFrame, value: str) -> DataFrame:
     )
 
 
-def value_ranks(df: DataFrame, value: str, keys=()) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, keys=(), sums=None) -> DataFrame:
     """Per distinct value: how many rows hold it (n), how many lie below, and the total.
 
     Equal values are counted before anything is ordered, so a value shared by a
-    third of the table is one row here. Columns: *keys, value, n, below, total.
+    third of the table is one row here. `sums` maps names to columns summed the
+    same way; each yields name, name_below and name_total. Other columns:
+    *keys, value, n, below, total.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    keys, sums = list(keys), dict(sums or {})
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(s) for s, c in sums.items()])
     counts = _bucket(counts, value)
+    names = {"n": ("below", "total")} | {s: (f"{s}_below", f"{s}_total") for s in sums}
     per_bucket = Window.partitionBy(*keys).orderBy("_bucket")  # at most SPLITTERS + 1 rows
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in")).select(
+    totals = counts.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_in_{s}") for s in names]).select(
         *keys, "_bucket",
-        F.coalesce(F.sum("_in").over(per_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_in").over(Window.partitionBy(*keys)).alias("total"),
-    )
+        *[F.coalesce(F.sum(f"_in_{s}").over(per_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{s}") for s in names],
+        *[F.sum(f"_in_{s}").over(Window.partitionBy(*keys)).alias(t) for s, (_, t) in names.items()])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.join(totals, keys + ["_bucket"])
-        .withColumn("below", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .select(*keys, value, "n", "below", "total")
-    )
+    joined = counts.join(totals, keys + ["_bucket"]).withColumns({
+        b: F.col(f"_before_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s, (b, _) in names.items()})
+    return joined.select(*keys, value, *names, *[c for pair in names.values() for c in pair])
 
 
 def average_rank():
