@@ -227,11 +227,12 @@ def adjusted_rank_model(df, reference="flank"):
 SELECT kind, count(*) AS n, count(DISTINCT motif_id) AS n_clusters, true AS normal_equations_hold, true AS r2_in_range FROM pc_ WHERE cls <> 'other' GROUP BY kind""")
 def st12(t):
     """The fitted model's size and its defining property: residuals orthogonal to every regressor."""
-    df = ranked_rows(t)
+    df = ranked_rows(t).persist()  # several passes over the same ranked rows
     out = []
     for kind in ("G4", "iM"):
         _, info = adjusted_rank_model(df.where(F.col("kind") == kind))
         out.append((kind, info["n"], info["n_clusters"], bool(info["orthogonality"] < 1e-8), bool(0 <= info["r2"] <= 1)))
+    df.unpersist()
     return t.spark.createDataFrame(out, "kind string, n bigint, n_clusters bigint, normal_equations_hold boolean, r2_in_range boolean")
 
 
@@ -264,11 +265,12 @@ a_ AS (SELECT kind, cls, count(*) AS n, avg(pct) AS m FROM pc_ GROUP BY ALL), b_
 SELECT a_.kind, round(sum(a_.n * power(a_.m - b_.m, 2)) / any_value(b_.v * b_.n), 6) AS r2_class FROM a_ JOIN b_ ON a_.kind = b_.kind GROUP BY a_.kind""")
 def st14_r2(t):
     """R2 of the class-only model, by the same solver the larger models use."""
-    df, out = ranked_rows(t), []
+    df, out = ranked_rows(t).persist(), []
     levels = sorted(r[0] for r in df.select("cls").distinct().collect())  # class names
     for kind in ("G4", "iM"):
         _, info = stats.clustered_ols(df.where(F.col("kind") == kind), "pct", stats.dummies("cls", levels[1:]), "motif_id")
         out.append((kind, round(info["r2"], 6)))
+    df.unpersist()
     return t.spark.createDataFrame(out, "kind string, r2_class double")
 
 
@@ -277,7 +279,7 @@ def st13(t):
     """Adjusted logit of top-1 % membership on covariate cells; skipped per kind below 50 events."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
-    df = with_top(scored(t)).where("cls <> 'other'")
+    df = with_top(scored(t)).where("cls <> 'other'").persist()  # several passes over the same rows
     events = {r["kind"]: r["e"] for r in df.groupBy("kind").agg(F.sum("top1").alias("e")).collect()}  # two kinds
     out = []
     for kind in ("G4", "iM"):
@@ -290,6 +292,7 @@ def st13(t):
         x = VectorAssembler(inputCols=list(terms), outputCol="x").transform(cells.select("top1", "w", *[c.alias(n) for n, c in terms.items()]))
         fit = GeneralizedLinearRegression(family="binomial", labelCol="top1", featuresCol="x", weightCol="w", maxIter=25).fit(x)
         out += [(kind, n, float(b)) for n, b in zip(terms, fit.coefficients) if n.startswith("cls_")]
+    df.unpersist()
     return t.spark.createDataFrame(out, "kind string, term string, log_odds double")
 
 
