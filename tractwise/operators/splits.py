@@ -120,7 +120,7 @@ def _similar_pairs(texts: DataFrame, k: int) -> DataFrame:
             close = (dot > 0) & (DENOMINATOR * dot * dot >= NUMERATOR * norm[rows][:, None] * norm[None, :])
             close &= np.arange(len(lead))[None, :] < rows[:, None]
             a, b = np.nonzero(close)
-            yield pd.DataFrame({"lead": [lead[i] for i in b], "s": [lead[rows[i]] for i in a]})
+            yield pd.DataFrame({"lead": [lead[i] for i in b], "s": [lead[rows[i]] for i in a]}, dtype=object)
 
     return texts.repartition("s").mapInPandas(compare, "lead string, s string")
 
