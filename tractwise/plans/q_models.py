@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import condition, features, motif, seq, thermo
 from ..operators import models, motifs, ordered, ranking, stats
+from ..session import cut_lineage
 from . import duck as d
 from .q_intervals import genome_motifs
 from .q_motifs import _EDITS, _GENOME_EDITS, _state_sql
@@ -164,13 +165,13 @@ def ml10(t):
     h = F.conv(F.substring(F.md5(F.concat("mutant", "label")), 1, 6), 16, 10).cast("double") / 16777216
     v = scan.select("seq_id", "label", F.col("state").alias("motif_state"), F.round(F.abs("delta"), 3).alias("magnitude"),
                     F.when(h >= 0.2, F.round(h, 3)).alias("reg"))
-    q = ranking.quadrants(v)
+    q = ranking.quadrants(cut_lineage(v))  # scored once, ranked from the written rows
     return q.agg(F.count("*").alias("n"), F.count_if(F.col("motif_state") == "motif_lost").alias("n_lost"), F.bool_and(F.col("quadrant").isNotNull()).alias("every_variant_placed"),
                  F.bool_and((F.col("quadrant") == "unclassified") == F.col("combined_rank").isNull()).alias("unclassified_have_no_rank"))
 
 
 @query("ml11_structural_effects", "genome", _GENOME_EDITS + """
-SELECT chrom, kind, state, count(*) AS n, cast(CASE WHEN state = 'motif_lost' THEN 0 ELSE count(*) END AS bigint) AS n_delta FROM ge_ GROUP BY ALL""")
+SELECT chrom, kind, state, count(*) AS n, count(*) FILTER (WHERE state <> 'motif_lost') AS n_delta FROM ge_ GROUP BY ALL""")
 def ml11(t):
     """Every SNV of every genome motif: lost, or retained with the change of its kind's midpoint."""
     gm = genome_motifs(t)
