@@ -43,6 +43,11 @@ def presets_frame(spark):
     return spark.createDataFrame(rows, "preset string, " + ", ".join(f"{f} double" for f in FIELDS))
 
 
+def presets_array(names) -> Column:
+    """The named buffers as an array of structs, to be inlined."""
+    return F.array(*[F.struct(F.lit(n).alias("preset"), *[F.lit(float(PRESETS[n].get(f, DEFAULTS[f]))).alias(f) for f in FIELDS]) for n in names])
+
+
 def monovalent() -> Column:
     return F.col("k") + F.col("na") + F.col("li_nh4")
 

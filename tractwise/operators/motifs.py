@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import motif, seq
+from ..session import cut_lineage
 from . import ordered
 
 
@@ -110,6 +111,7 @@ def genome_hits(pieces: DataFrame, piece_len: int, look: int = 200, max_len: int
         "chrom", "strand", "_h.kind", (F.col("zero") + F.col("_h.at")).alias("x"),
         (F.col("zero") + F.col("_h.at") + F.length("_h.text")).alias("y"), F.col("_h.text").alias("text"))
     keys = ["chrom", "strand", "kind"]
+    hits = cut_lineage(hits)  # the ordered passes below read the hits several times; the genome is searched once
     hits = hits.withColumn("_tile", F.floor(F.col("x") / 100_000))
     hits = ordered.running(hits, keys, "_tile", ["x"], "y", "_reach", "max", False)
     opens = F.when(F.col("_reach").isNull() | (F.col("x") >= F.col("_reach")), F.col("x"))

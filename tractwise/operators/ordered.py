@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 SPLITTERS = 64
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Append the columns of a one-row result, as a scalar subquery."""
+    whole = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", whole).select(*df.columns, "_one.*")
+
+
 def _bucket(counts: DataFrame, value: str) -> DataFrame:
     """Tag rows with an ordered bucket cut at a fixed-size, data-determined sample of values."""
     cuts = (
@@ -19,7 +25,7 @@ def _bucket(counts: DataFrame, value: str) -> DataFrame:
         .agg(F.sort_array(F.collect_list(value)).alias("cuts"))
     )
     return (
-        counts.crossJoin(F.broadcast(cuts))  # one row of at most SPLITTERS numbers
+        attach(counts, cuts)
         .withColumn("_bucket", F.size(F.filter("cuts", lambda c: c < F.col(value))))
         .drop("cuts")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import condition, seq
+from . import ordered
 
 
 def contained(needles: DataFrame, needle: str, hay: DataFrame, hay_text: str) -> DataFrame:
@@ -16,8 +17,9 @@ def contained(needles: DataFrame, needle: str, hay: DataFrame, hay_text: str) ->
     texts = hay.select(F.col(hay_text).alias("_t")).distinct().join(F.broadcast(lengths), F.length("_t") >= F.col("n"))
     parts = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1),
                                                lambda i: F.substr(F.col("_t"), i, F.col("n")))).alias("_part"))
-    distinct = needles.select(needle).distinct()
-    return distinct.join(parts, distinct[needle] == parts["_part"], "left_semi")
+    # the needles are the small side: a semi join on the parts lets them travel
+    distinct = needles.select(F.col(needle).alias("_part")).distinct()
+    return parts.join(distinct, "_part", "left_semi").distinct().withColumnRenamed("_part", needle)
 
 
 def hamming_one(df: DataFrame, keys, s: str, values) -> DataFrame:
@@ -74,7 +76,8 @@ def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, wei
     rows = with_kmer_counts(table, "sequence", k, "_m")
     square = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x * x)
     dot = F.aggregate(F.map_entries("_q"), F.lit(0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("_m"), e["key"]), F.lit(0)))
-    scored = rows.crossJoin(F.broadcast(q)).withColumn("similarity", F.round(F.coalesce(
+    near_q = q.agg(F.collect_list(F.struct(*q.columns)).alias("_qs"))  # at most MAX_QUERIES
+    scored = ordered.attach(rows, near_q).select(*rows.columns, F.inline("_qs")).withColumn("similarity", F.round(F.coalesce(
         dot / F.sqrt(square(F.col("_q")) * square(F.col("_m"))), F.lit(0.0)), 6))
     near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")  # rank limits are applied before the exchange
     best = scored.drop("_q", "_m").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= max(20 * n, 50))

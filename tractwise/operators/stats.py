@@ -34,7 +34,7 @@ def reliability(df: DataFrame, y: str, p: str, keys=(), bins: int = 10) -> DataF
     edges = ordered.exact_quantiles(df, p, probs, keys).select(
         *keys, F.array_sort(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(bins + 1)]))).alias("edges"))
     counted = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    joined = counted.join(edges, keys) if keys else counted.crossJoin(F.broadcast(edges))  # one row of edges
+    joined = counted.join(edges, keys) if keys else ordered.attach(counted, edges)
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = joined.where(F.size("edges") > 1).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
     return binned.groupBy(*keys, "bin").agg(
@@ -123,7 +123,7 @@ def wilcoxon(pairs: DataFrame, diff: str, keys=()) -> DataFrame:
     w = w.withColumns({"w": F.least("w_plus", "w_minus"), "z": z, "p": normal_p(z)})
     med = ordered.exact_quantiles(pairs, diff, [0.5], keys).select(*keys, F.col("q0").alias("median_diff"))
     share = pairs.groupBy(*keys).agg(F.count(diff).alias("n_pairs"), F.avg((F.col(diff) > 0).cast("double")).alias("frac_higher"))
-    return (share.join(med, keys).join(w, keys) if keys else share.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(w))).drop("ties")
+    return (share.join(med, keys).join(w, keys) if keys else ordered.attach(ordered.attach(share, med), w)).drop("ties")
 
 
 # ------------------------------------------------------------------ bootstrap
@@ -157,7 +157,7 @@ def cluster_bootstrap(df: DataFrame, group: str, sums, stat, replicates: int = 5
     reps = drawn.groupBy("_rep").agg(*[F.sum(F.col(s) * F.col("_w")).alias(s) for s in sums]).select("_rep", stat.alias("v"))
     ci = reps.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("v").alias("n_replicates"))  # one value per replicate
     est = per_group.agg(*[F.sum(s).alias(s) for s in sums], F.count("*").alias("n_groups")).select(stat.alias("estimate"), "n_groups")
-    return est.crossJoin(F.broadcast(ci)).select("estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_groups", "n_replicates")
+    return ordered.attach(est, ci).select("estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_groups", "n_replicates")
 
 
 # ---------------------------------------------------------------- linear model

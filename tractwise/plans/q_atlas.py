@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq, variant
-from ..operators import atlas, motifs
+from ..operators import atlas, motifs, ordered
 from ..sources import buffers, ingest, readers
 from . import duck as d
 from .q_motifs import _hits_sql
@@ -435,7 +435,7 @@ SELECT CASE WHEN label_class = 'genomic_proxy' THEN 'genomic_proxy' WHEN evidenc
  WHEN evidence_tier = 'predicted' THEN 'predicted' ELSE 'derived_or_shuffle' END AS bucket, count(*) AS n, cast((SELECT count(*) FROM records) AS bigint) AS total FROM records GROUP BY ALL""")
 def agg1(t):
     total = t.records.agg(F.count("*").alias("total"))
-    return t.records.groupBy(atlas.bucket().alias("bucket")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return ordered.attach(t.records.groupBy(atlas.bucket().alias("bucket")).agg(F.count("*").alias("n")), total)
 
 
 @query("agg2_summary", "records", """
@@ -524,10 +524,11 @@ x_ AS (SELECT seq_id, CASE WHEN seq_id % 41 = 0 THEN repeat('Z', 32) ELSE o END
 SELECT x_.seq_id, head, CASE WHEN seq_id % 41 = 0 THEN 'no_nucleotides' WHEN listed AND al_.sequence IS NULL THEN 'not_in_allow_list'
   WHEN head = 'g4_fold' AND length(o) > max_len THEN 'genomic_window' END AS refusal FROM x_ JOIN h_ ON true LEFT JOIN al_ ON x_.o = al_.sequence""")
 def prd3(t):
-    heads = t.spark.createDataFrame([("g4_fold", 31, False), ("g4_tm", 31, False), ("im_tm_condition", 100, True)], "head string, max_len int, listed boolean")
+    heads = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(m).alias("max_len"), F.lit(x).alias("listed"))
+                      for h, m, x in (("g4_fold", 31, False), ("g4_tm", 31, False), ("im_tm_condition", 100, True))])
     q = t.oligos.select("seq_id", seq.clean(F.when(F.col("seq_id") % 41 == 0, "Z" * 32).otherwise(F.col("o"))).alias("c"))
     allowed = t.records.where("ln = 1 AND pk % 2 = 0").select(F.col("sequence").alias("c")).distinct().withColumn("known", F.lit(True))
-    q = q.join(allowed, "c", "left").crossJoin(F.broadcast(heads))  # a handful of heads
+    q = q.join(allowed, "c", "left").select("*", F.inline(heads))
     refusal = (F.when(F.col("c").rlike("^N+$"), "no_nucleotides").when(F.col("listed") & F.col("known").isNull(), "not_in_allow_list")
                .when(F.col("head").isin(*WINDOW_REFUSED) & (F.length("c") > F.col("max_len")), "genomic_window"))
     return q.select("seq_id", "head", refusal.alias("refusal"))
@@ -573,5 +574,5 @@ def agg19(t):
     b = atlas.fingerprint(t.records.repartition(7, "tm"), _FP).select(F.col("fingerprint").alias("b"))
     changed = F.when((F.col("seq_id") == 5) & F.col("tm").isNotNull(), F.col("tm") + 0.01).otherwise(F.col("tm"))
     c = atlas.fingerprint(t.records.withColumn("tm", changed), _FP).select(F.col("fingerprint").alias("c"))
-    j = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+    j = ordered.attach(ordered.attach(a, b), c)
     return j.select("n_rows", (F.col("fingerprint") == F.col("b")).alias("order_free"), (F.col("fingerprint") != F.col("c")).alias("value_sensitive"))

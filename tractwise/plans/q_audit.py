@@ -76,7 +76,7 @@ def jn8(t):
     j = rna.join(rows, "key").join(med, "key", "left")
     both = stats.correlation(j, "med_tm", "score")
     counts = j.agg(F.countDistinct("key").alias("n_sequences"), F.sum("n").alias("n_table_rows"))
-    return counts.crossJoin(F.broadcast(both)).select("n_sequences", "n_table_rows", F.col("n").alias("n_pairs"), r6("spearman").alias("rho"))  # one row each
+    return ordered.attach(counts, both).select("n_sequences", "n_table_rows", F.col("n").alias("n_pairs"), r6("spearman").alias("rho"))
 
 
 @query("jn9_containment", "oligos seqs records", f"""
@@ -127,8 +127,8 @@ def jn10(t):
     size = bench.agg(F.count("*").alias("size"))
     seen = head_rows(t).groupBy("head", seq.clean("sequence").alias("sequence")).agg(F.count("*").alias("n")).join(
         bench.withColumn("hit", F.lit(1)), "sequence", "left")
-    return seen.groupBy("head").agg(F.sum("n").alias("n_rows"), F.count("hit").alias("n_seen")).crossJoin(F.broadcast(size)).select(
-        "head", "n_rows", "n_seen", r6(F.col("n_seen") / F.col("size")).alias("fraction"))  # one number
+    per = seen.groupBy("head").agg(F.sum("n").alias("n_rows"), F.count("hit").alias("n_seen"))
+    return ordered.attach(per, size).select("head", "n_rows", "n_seen", r6(F.col("n_seen") / F.col("size")).alias("fraction"))
 
 
 @query("ml1_head_rows", "records", _HEADS + "SELECT head, count(*) AS n_rows, count(DISTINCT sequence) AS n_sequences FROM hr_ WHERE lab IS NOT NULL GROUP BY head")
@@ -166,10 +166,11 @@ SELECT count(*) AS n_pairs, round(avg(measured), 4) AS mean_measured, round(avg(
 def st16(t):
     x = cation_deltas(t).select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n_pairs")), "measured", "predicted")
     med = ordered.exact_quantiles(x, "measured", [0.5]).select(F.round("q0", 5).alias("median_measured"))
-    return x.agg(F.count("*").alias("n_pairs"), F.round(F.avg("measured"), 4).alias("mean_measured"), F.round(F.avg("predicted"), 4).alias("mean_predicted"),
+    out = x.agg(F.count("*").alias("n_pairs"), F.round(F.avg("measured"), 4).alias("mean_measured"), F.round(F.avg("predicted"), 4).alias("mean_predicted"),
                  F.round(F.avg((F.signum("measured") == F.signum("predicted")).cast("double")), 4).alias("sign_agreement"),
                  F.round(F.corr("measured", "predicted"), 5).alias("pearson_r"),
-                 F.round(F.avg(F.abs(F.col("measured") - F.col("predicted"))), 4).alias("mae")).crossJoin(F.broadcast(med))  # one row
+                 F.round(F.avg(F.abs(F.col("measured") - F.col("predicted"))), 4).alias("mae"))
+    return ordered.attach(out, med)
 
 
 @query("agg17_worst_misses", "records", _DELTA + """
@@ -338,7 +339,7 @@ def agg12(t):
     shift = ordered.exact_quantiles(x.where("pool = 'ns'").withColumn("s", F.col("pds") - F.col("kcl")), "s", [0.5]).select(r6("q0").alias("ligand_shift"))
     pick = lambda p: r6(F.max(F.when(F.col("pool") == p, F.col("q0"))))
     medians = per_pool.agg(pick("neg_AAA").alias("median_control"), pick("ns").alias("median_natural"))
-    return medians.crossJoin(F.broadcast(monotone)).crossJoin(F.broadcast(shift))  # one row each
+    return ordered.attach(ordered.attach(medians, monotone), shift)
 
 
 def scaffolded(t):
@@ -372,8 +373,9 @@ def agg14(t):
     scored, excluded = given.where("c <> ''").select("i"), given.where("c = ''").select("i", F.lit("no nucleotides after cleaning").alias("reason"))
     state = given.join(scored.withColumn("s", F.lit(1)), "i", "left").join(excluded.withColumn("x", F.lit(1)), "i", "left")
     dup = given.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_ids"))
-    return state.agg(F.count("*").alias("n_in"), F.count("s").alias("n_scored"), F.count("x").alias("n_excluded"),
-                     F.count_if(F.col("s").isNull() == F.col("x").isNull()).alias("unaccounted")).crossJoin(F.broadcast(dup))  # one row
+    out = state.agg(F.count("*").alias("n_in"), F.count("s").alias("n_scored"), F.count("x").alias("n_excluded"),
+                     F.count_if(F.col("s").isNull() == F.col("x").isNull()).alias("unaccounted"))
+    return ordered.attach(out, dup)
 
 
 @query("agg15_response_summary", "preds", """
@@ -418,11 +420,11 @@ def agg18(t):
 
 
 @query("agg20_case_pivot", "preds", """
-SELECT grp AS case_, ln AS condition, round(avg(CASE WHEN head = 'head0' THEN y_hat END), 6) AS head0, round(avg(CASE WHEN head = 'head1' THEN y_hat END), 6) AS head1, round(avg(CASE WHEN head = 'head2' THEN y_hat END), 6) AS head2, round(avg(CASE WHEN head = 'head3' THEN y_hat END), 6) AS head3 FROM preds GROUP BY ALL""")
+SELECT grp AS case_, ln AS condition, round(avg(CASE WHEN head = 'head0' THEN y_hat END), 9) AS head0, round(avg(CASE WHEN head = 'head1' THEN y_hat END), 9) AS head1, round(avg(CASE WHEN head = 'head2' THEN y_hat END), 9) AS head2, round(avg(CASE WHEN head = 'head3' THEN y_hat END), 9) AS head3 FROM preds GROUP BY ALL""")
 def agg20(t):
     heads = ["head0", "head1", "head2", "head3"]
     wide = t.preds.groupBy(F.col("grp").alias("case_"), F.col("ln").alias("condition")).pivot("head", heads).agg(F.avg("y_hat"))
-    return wide.select("case_", "condition", *[r6(h).alias(h) for h in heads])
+    return wide.select("case_", "condition", *[F.round(h, 9).alias(h) for h in heads])
 
 
 @query("agg22_control_summary", "snvs", """
@@ -500,7 +502,8 @@ def grp1(t):
     dot = F.aggregate(F.map_entries("a"), F.lit(0), lambda x, e: x + e["value"] * F.coalesce(F.try_element_at(F.col("b"), e["key"]), F.lit(0)))
     square = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda x, v: x + v * v)
     own = groups.select(F.col("leader").alias("s")).distinct().join(groups, "s").agg(F.bool_and(F.col("s") == F.col("leader")).alias("leaders_lead"))
-    return unit.agg(F.count("*").alias("n_sequences"), F.count_if(dot / F.sqrt(square("a") * square("b")) < 0.8999999).alias("n_unsimilar")).crossJoin(F.broadcast(own))  # one row
+    out = unit.agg(F.count("*").alias("n_sequences"), F.count_if(dot / F.sqrt(square("a") * square("b")) < 0.8999999).alias("n_unsimilar"))
+    return ordered.attach(out, own)
 
 
 @query("grp2_similarity_groups", "oligos", "SELECT count(DISTINCT o) AS n_sequences, true AS all_grouped FROM oligos")
@@ -534,7 +537,8 @@ def spl1(t):
     folds = splits.grouped_folds(t.preds, "ok")
     loads = folds.groupBy("fold").agg(F.sum("size").alias("load"), F.count("*").alias("g"), F.max("size").alias("m"))
     leak = splits.leaked(t.preds.join(folds.select("ok", "fold"), "ok"), "ok", "fold").agg(F.sum("n_leaked").alias("n_leaked"))
-    return loads.agg(F.sum("g").alias("n_groups"), F.sum("load").alias("n_rows"), (F.max("load") - F.min("load") <= F.max("m")).alias("balanced")).crossJoin(F.broadcast(leak))  # one row
+    out = loads.agg(F.sum("g").alias("n_groups"), F.sum("load").alias("n_rows"), (F.max("load") - F.min("load") <= F.max("m")).alias("balanced"))
+    return ordered.attach(out, leak)
 
 
 @query("spl1_random_leakage", "preds", """
@@ -553,7 +557,7 @@ def spl2(t):
     share = placed.groupBy("fold").agg(F.avg("y").alias("s")).agg((F.max("s") - F.min("s") < 0.1).alias("class_balance"))
     leak = splits.leaked(placed, "ok", "fold").agg(F.sum("n_leaked").alias("n_leaked"))
     n = folds.agg(F.count("*").alias("n_groups"))
-    return n.crossJoin(F.broadcast(leak)).crossJoin(F.broadcast(share))  # one row each
+    return ordered.attach(ordered.attach(n, leak), share)
 
 
 @query("spl3_fold_manifest", "preds", "SELECT head, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, true AS each_held_out_once FROM preds GROUP BY head HAVING count(*) >= 40")

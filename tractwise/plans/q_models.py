@@ -59,7 +59,7 @@ def ml3(t):
     before = stats.calibration_error(stats.reliability(t.preds.withColumn("q", F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))), "y", "q")).select(F.col("ece").alias("e0"))
     after = stats.calibration_error(stats.reliability(out, "y", kept)).select(F.col("ece").alias("e1"))
     n = out.agg(F.count("*").alias("n"), F.bool_and(F.col(kept).between(0, 1)).alias("in_range"))
-    return n.crossJoin(F.broadcast(before)).crossJoin(F.broadcast(after)).select("n", "in_range", (F.col("e1") <= F.col("e0") + 0.02).alias("calibrated_no_worse"))  # one row each
+    return ordered.attach(ordered.attach(n, before), after).select("n", "in_range", (F.col("e1") <= F.col("e0") + 0.02).alias("calibrated_no_worse"))
 
 
 @query("ml3_temperature_scaling", "preds", "SELECT count(*) AS n, true AS argmax_kept, true AS likelihood_no_worse FROM preds")
@@ -69,9 +69,9 @@ def ml3_temperature(t):
     temp = models.temperature(x, "y", "post")
     powers = x.withColumn("w", F.transform("post", lambda v: F.pow(v, F.lit(1 / temp))))
     x = powers.withColumn("scaled", F.transform("w", lambda v: v / F.aggregate("w", F.lit(0.0), lambda s, u: s + u)))
-    top = lambda c: F.array_position(c, F.array_max(c))
+    first = F.array_position("post", F.array_max("post")).cast("int")
     nll = lambda c: -F.log(F.get(c, F.col("y")))
-    return x.agg(F.count("*").alias("n"), F.bool_and(top("post") == top("scaled")).alias("argmax_kept"),
+    return x.agg(F.count("*").alias("n"), F.bool_and(F.get("scaled", first - 1) >= F.array_max("scaled") - 1e-12).alias("argmax_kept"),
                  (F.avg(nll("scaled")) <= F.avg(nll("post")) + 1e-9).alias("likelihood_no_worse"))
 
 
@@ -149,9 +149,8 @@ def ml8(t):
 SELECT preset, count(*) AS n, cast(count_if(seq_id % 13 = 0) AS bigint) AS n_excluded, count(*) - cast(count_if(seq_id % 13 = 0) AS bigint) AS n_scored FROM oligos, (VALUES ('k100'), ('na100')) v(preset) GROUP BY preset""")
 def ml9(t):
     """Sequences by conditions; an excluded record is named with its reason and never scored."""
-    two = condition.presets_frame(t.spark).where("preset IN ('k100', 'na100')")
     given = t.oligos.select("seq_id", seq.clean(F.when(F.col("seq_id") % 13 == 0, "").otherwise(F.col("o"))).alias("sequence"))
-    cells = given.crossJoin(F.broadcast(two))  # two presets
+    cells = given.select("*", F.inline(condition.presets_array(["k100", "na100"])))
     scored = head(t).predict(cells.where("sequence <> ''")).select("seq_id", "preset", "value")
     out = cells.select("seq_id", "preset", F.when(F.col("sequence") == "", "no nucleotides after cleaning").alias("reason")).join(scored, ["seq_id", "preset"], "left")
     return out.groupBy("preset").agg(F.count("*").alias("n"), F.count("reason").alias("n_excluded"), F.count("value").alias("n_scored"))
@@ -174,7 +173,7 @@ def ml10(t):
 SELECT chrom, kind, state, count(*) AS n, count(*) FILTER (WHERE state <> 'motif_lost') AS n_delta FROM ge_ GROUP BY ALL""")
 def ml11(t):
     """Every SNV of every genome motif: lost, or retained with the change of its kind's midpoint."""
-    gm = genome_motifs(t)
+    gm = cut_lineage(genome_motifs(t))  # both kinds, wild types and edits read it
     out = None
     for kind, label in (("G4", "tm"), ("iM", "ph_t")):
         model = head(t, kind, label)
