@@ -26,7 +26,8 @@ def _bucket(counts: DataFrame, value: str) -> DataFrame:
     )
     return (
         attach(counts, cuts)
-        .withColumn("_bucket", F.size(F.filter("cuts", lambda c: c < F.col(value))))
+        # never null, so that no null check on it is pushed below the counting, down to single rows
+        .withColumn("_bucket", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(value))), F.lit(0)))
         .drop("cuts")
     )
 

@@ -518,7 +518,7 @@ WINDOW_REFUSED = ["g4_fold", "g4_fold_genomic", "im_fold", "im_fold_genomic"]
 
 
 @query("prd3_refusals", "oligos records", """
-al_ AS (SELECT DISTINCT sequence FROM records WHERE ln = 1 AND pk % 2 = 0),
+al_ AS (SELECT DISTINCT sequence FROM records WHERE ln = 1 AND evidence_tier = 'derived'),
 h_(head, max_len, listed) AS (VALUES ('g4_fold', 31, false), ('g4_tm', 31, false), ('im_tm_condition', 100, true)),
 x_ AS (SELECT seq_id, CASE WHEN seq_id % 41 = 0 THEN repeat('Z', 32) ELSE o END AS o FROM oligos)
 SELECT x_.seq_id, head, CASE WHEN seq_id % 41 = 0 THEN 'no_nucleotides' WHEN listed AND al_.sequence IS NULL THEN 'not_in_allow_list'
@@ -527,7 +527,7 @@ def prd3(t):
     heads = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(m).alias("max_len"), F.lit(x).alias("listed"))
                       for h, m, x in (("g4_fold", 31, False), ("g4_tm", 31, False), ("im_tm_condition", 100, True))])
     q = t.oligos.select("seq_id", seq.clean(F.when(F.col("seq_id") % 41 == 0, "Z" * 32).otherwise(F.col("o"))).alias("c"))
-    allowed = t.records.where("ln = 1 AND pk % 2 = 0").select(F.col("sequence").alias("c")).distinct().withColumn("known", F.lit(True))
+    allowed = t.records.where("ln = 1 AND evidence_tier = 'derived'").select(F.col("sequence").alias("c")).distinct().withColumn("known", F.lit(True))
     q = q.join(allowed, "c", "left").select("*", F.inline(heads))
     refusal = (F.when(F.col("c").rlike("^N+$"), "no_nucleotides").when(F.col("listed") & F.col("known").isNull(), "not_in_allow_list")
                .when(F.col("head").isin(*WINDOW_REFUSED) & (F.length("c") > F.col("max_len")), "genomic_window"))
@@ -552,13 +552,13 @@ def prd5(t):
 
 
 @query("prd6_claim_semantics", "records", """
-h_ AS (SELECT concat('h', seq_id % 500) AS head, bool_or(label_class = 'genomic_proxy') AS px, bool_or(evidence_tier = 'experimental') AS ex, bool_and(evidence_tier = 'predicted') AS pr FROM records
-   WHERE pk % 9 = 0 GROUP BY ALL),
+h_ AS (SELECT concat('h', seq_id % 5000, '_', pk % 4) AS head, bool_or(label_class = 'genomic_proxy') AS px, bool_or(evidence_tier = 'experimental') AS ex, bool_and(evidence_tier = 'predicted') AS pr FROM records GROUP BY ALL),
 s_ AS (SELECT CASE WHEN px THEN 'genomic_proxy' WHEN pr THEN 'predicted' WHEN ex THEN 'biophysical' ELSE 'derived' END AS semantics FROM h_)
 SELECT semantics, CASE WHEN semantics IN ('derived', 'predicted') THEN 'diagnostics' WHEN semantics = 'genomic_proxy' THEN 'genomic_context' ELSE 'sequence_evidence' END AS workspace, count(*) AS n_heads
 FROM s_ GROUP BY ALL""")
 def prd6(t):
-    heads = t.records.where("pk % 9 = 0").groupBy(F.concat(F.lit("h"), (F.col("seq_id") % 500).cast("string")).alias("head")).agg(
+    name = F.concat(F.lit("h"), (F.col("seq_id") % 5000).cast("string"), F.lit("_"), (F.col("pk") % 4).cast("string"))
+    heads = t.records.groupBy(name.alias("head")).agg(
         F.collect_set("source").alias("sources"), F.collect_set("evidence_tier").alias("tiers"), F.collect_set("label_class").alias("labels"))
     s = atlas.semantics(F.col("sources"), F.col("tiers"), F.col("labels"))
     return heads.select(s.alias("semantics")).groupBy("semantics", atlas.workspace(F.col("semantics")).alias("workspace")).agg(F.count("*").alias("n_heads"))

@@ -41,13 +41,13 @@ def snk3(t):
 
 @query("jn7_benchmark_contamination", "oligos records", """
 b_ AS (SELECT DISTINCT concat('set', seq_id % 6) AS benchmark, CASE WHEN seq_id % 5 = 0 THEN reverse(o) ELSE o END AS key FROM oligos),
-c_ AS (SELECT DISTINCT sequence AS key FROM records WHERE pk % 2 = 0 AND ln < 3)
+c_ AS (SELECT DISTINCT sequence AS key FROM records WHERE evidence_tier = 'predicted')
 SELECT benchmark, count(*) AS n, count(c_.key) AS n_hit, round(count(c_.key) / count(*), 4) AS fraction,
   CASE WHEN count(c_.key) / count(*) > 0.05 THEN 'contamination_risk' ELSE 'no_material_overlap' END AS verdict FROM b_ LEFT JOIN c_ ON b_.key = c_.key GROUP BY benchmark""")
 def jn7(t):
     b = t.oligos.select(F.concat(F.lit("set"), (F.col("seq_id") % 6).cast("string")).alias("benchmark"),
                         seq.dna_key(F.when(F.col("seq_id") % 5 == 0, F.reverse("o")).otherwise(F.col("o"))).alias("key")).distinct()
-    c = t.records.where("pk % 2 = 0 AND ln < 3").select(seq.dna_key("sequence").alias("key"), F.lit(1).alias("hit")).distinct()
+    c = t.records.where("evidence_tier = 'predicted'").select(seq.dna_key("sequence").alias("key"), F.lit(1).alias("hit")).distinct()
     share = F.count("hit") / F.count("*")
     return b.join(c, "key", "left").groupBy("benchmark").agg(
         F.count("*").alias("n"), F.count("hit").alias("n_hit"), F.round(share, 4).alias("fraction"),
@@ -241,12 +241,12 @@ def jn13(t):
 
 
 @query("jn15_tool_scores", "oligos records", """
-a_ AS (SELECT seq_id, max(abs(tm)) AS m FROM records WHERE pk % 2 = 0 GROUP BY seq_id), b_ AS (SELECT seq_id, max(ph_t) AS hi, min(ep) AS lo FROM records WHERE pk % 3 = 0 GROUP BY seq_id)
+a_ AS (SELECT seq_id, max(abs(tm)) AS m FROM records WHERE tm IS NOT NULL GROUP BY seq_id), b_ AS (SELECT seq_id, max(ph_t) AS hi, min(ep) AS lo FROM records WHERE ph_t IS NOT NULL GROUP BY seq_id)
 SELECT o.seq_id, coalesce(m, 0) AS tool_a, coalesce(hi, 0) AS tool_b_max, coalesce(lo, 0) AS tool_b_min, hi AS tool_c, b_.seq_id IS NOT NULL AS tool_c_found FROM oligos o LEFT JOIN a_ ON o.seq_id = a_.seq_id LEFT JOIN b_ ON o.seq_id = b_.seq_id""")
 def jn15(t):
     """Per-sequence best scores of several tools; a silent tool is 0 or absent, as that tool defines it."""
-    a = t.records.where("pk % 2 = 0").groupBy("seq_id").agg(F.max(F.abs("tm")).alias("m"))
-    b = t.records.where("pk % 3 = 0").groupBy("seq_id").agg(F.max("ph_t").alias("hi"), F.min("ep").alias("lo"), F.lit(True).alias("f"))
+    a = t.records.where("tm IS NOT NULL").groupBy("seq_id").agg(F.max(F.abs("tm")).alias("m"))
+    b = t.records.where("ph_t IS NOT NULL").groupBy("seq_id").agg(F.max("ph_t").alias("hi"), F.min("ep").alias("lo"), F.lit(True).alias("f"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return t.oligos.select("seq_id").join(a, "seq_id", "left").join(b, "seq_id", "left").select(
         "seq_id", zero("m").alias("tool_a"), zero("hi").alias("tool_b_max"), zero("lo").alias("tool_b_min"), F.col("hi").alias("tool_c"),
@@ -268,7 +268,7 @@ def jn16(t):
 
 @query("jn17_rebuild_comparison", "records", """
 o_ AS (SELECT source, count(*) AS n, count(tm) AS t, count(ph_t) AS p FROM records WHERE source <> 'src7' GROUP BY source), w_ AS (SELECT source, count(*) AS n, count(tm) AS t, count(ph_t) AS p FROM records
-  WHERE source <> 'src2' AND NOT (source = 'src3' AND pk % 5 = 0) GROUP BY source)
+  WHERE source <> 'src2' AND NOT (source = 'src3' AND ep < 20000) GROUP BY source)
 SELECT coalesce(o_.source, w_.source) AS source, coalesce(o_.n, 0) AS orig_n, coalesce(w_.n, 0) AS rebuild_n, CASE WHEN w_.source IS NULL THEN 'MISSING' WHEN o_.source IS NULL THEN 'NOT IN ORIGINAL'
  WHEN o_.n = w_.n AND o_.t = w_.t AND o_.p = w_.p THEN 'exact' ELSE concat_ws(', ', CASE WHEN o_.n <> w_.n THEN concat(abs(o_.n - w_.n), ' rows ', CASE WHEN o_.n > w_.n THEN 'short' ELSE 'over' END) END,
   CASE WHEN o_.t <> w_.t THEN concat(abs(o_.t - w_.t), ' Tm ', CASE WHEN o_.t > w_.t THEN 'short' ELSE 'over' END) END, CASE WHEN o_.p <> w_.p THEN concat(abs(o_.p - w_.p), ' pH_T ', CASE WHEN o_.p > w_.p THEN 'short' ELSE 'over' END) END) END AS status
@@ -276,7 +276,7 @@ FROM o_ FULL JOIN w_ ON o_.source = w_.source""")
 def jn17(t):
     def tally(df, tag):
         return df.groupBy("source").agg(F.count("*").alias(f"n{tag}"), F.count("tm").alias(f"t{tag}"), F.count("ph_t").alias(f"p{tag}"))
-    j = tally(t.records.where("source <> 'src7'"), "0").join(tally(t.records.where("source <> 'src2' AND NOT (source = 'src3' AND pk % 5 = 0)"), "1"), "source", "full")
+    j = tally(t.records.where("source <> 'src7'"), "0").join(tally(t.records.where("source <> 'src2' AND NOT (source = 'src3' AND ep < 20000)"), "1"), "source", "full")
     gap = lambda c, unit: F.when(F.col(f"{c}0") != F.col(f"{c}1"), F.concat(
         F.abs(F.col(f"{c}0") - F.col(f"{c}1")).cast("string"), F.lit(f" {unit} "), F.when(F.col(f"{c}0") > F.col(f"{c}1"), "short").otherwise("over")))
     text = F.concat_ws(", ", gap("n", "rows"), gap("t", "Tm"), gap("p", "pH_T"))

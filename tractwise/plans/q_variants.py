@@ -19,12 +19,12 @@ def structural(t):
 
 def records(t):
     """Scores per variant and scorer, as a source would hold them; some variants are missing altogether."""
-    s = t.snvs.where("score IS NOT NULL AND pos % 7 <> 0")
+    s = t.snvs.where("score IS NOT NULL AND gc >= 0.36")
     return s.select(*KEY, F.concat(F.lit("scorer"), (F.round(F.col("gc") * 100).cast("int") % 3).cast("string")).alias("scorer"), "score")
 
 
 _STRUCT = f"""st_ AS (SELECT * FROM (SELECT {_K}, motif_id, kind, state, delta, row_number() OVER (PARTITION BY {_K} ORDER BY motif_id, kind, state, delta NULLS FIRST) AS r FROM snvs) WHERE r = 1)"""
-_REC = f"""rc0_ AS (SELECT {_K}, concat('scorer', cast(round(gc * 100) AS int) % 3) AS scorer, score FROM snvs WHERE score IS NOT NULL AND pos % 7 <> 0),
+_REC = f"""rc0_ AS (SELECT {_K}, concat('scorer', cast(round(gc * 100) AS int) % 3) AS scorer, score FROM snvs WHERE score IS NOT NULL AND gc >= 0.36),
 rc_ AS (SELECT {_K}, scorer, max(abs(score)) AS score FROM rc0_ GROUP BY ALL),
 hl_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY CASE WHEN scorer = 'scorer1' THEN 0 ELSE 1 END, score DESC, scorer DESC) AS r FROM rc_) WHERE r = 1)"""
 
