@@ -68,7 +68,8 @@ def test_clean_and_hash(spark):
 
 
 def test_feature_vector_sizes():
-    assert len(features.sequence_feature_names("G4")) == 39 - 2 + 2 - 2 + 84 + 2
+    assert len(features.NAMED) == 39 and len(features.sequence_feature_names("G4")) == 123
+    assert len(features.sequence_feature_names("locus")) == 145
     assert len(features.CONDITION_NAMES) == 27 and len(features.INTERACTION_NAMES) == 10
 
 

@@ -106,6 +106,7 @@ def rna_key(s) -> Column:
 
 def scaffold(pool_id, pool_class):
     """(group key, basis) of a pool identifier, by ordered rules; no rule leaves it UNASSIGNED."""
+    # fixed values: the identifier forms of the pool
     mutant = "^stG4_Pool_ns_([A-Za-z0-9]+)_(1mut|AAAmut)_[0-9]+$"
     parent = "^stG4_Pool_ns_([A-Za-z0-9]+)$"
     synthetic = (pool_class == "stG4") | pool_id.startswith("stG4_Pool_GLV")

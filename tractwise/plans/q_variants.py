@@ -191,8 +191,9 @@ tp_ AS (SELECT s.*, cast(abs_avi >= top AS int) AS top1 FROM scored s JOIN th_ O
 @query("agg9_class_table", "snvs", SCORED + TOP + """
 SELECT kind, cls, count(*) AS n, round(quantile_cont(abs_avi, 0.5), 6) AS median_abs, round(avg(top1), 6) AS frac_top1 FROM tp_ GROUP BY ALL""")
 def agg9(t):
-    df = with_top(scored(t))
-    med = ordered.exact_quantiles(df, "abs_avi", [0.5], ["kind", "cls"]).select("kind", "cls", r6("q0").alias("median_abs"))
+    rows = scored(t)
+    df = with_top(rows)
+    med = ordered.exact_quantiles(rows, "abs_avi", [0.5], ["kind", "cls"]).select("kind", "cls", r6("q0").alias("median_abs"))
     return df.groupBy("kind", "cls").agg(F.count("*").alias("n"), r6(F.avg("top1")).alias("frac_top1")).join(med, ["kind", "cls"])
 
 

@@ -1,7 +1,5 @@
 """Input tables derived from the driver's Parquet files, as text valid on Spark and DuckDB."""
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 _BASES = ("0123456789abcdef", "GGGGGGGGACCAATTT", "CCCCCCCCAGGAATTT")
@@ -117,9 +115,8 @@ class Tables:
     """The driver's tables and the derived views, as DataFrames read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._made = spark, folder, {}
 
-    @functools.cache
     def _view(self, name) -> DataFrame:
         deps, text = VIEWS[name]
         return self.spark.sql(text.replace("{str}", "string"), **{d: getattr(self, d) for d in deps})
@@ -127,11 +124,10 @@ class Tables:
     def __getattr__(self, name) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        if name in VIEWS:
-            return self._view(name)
-        return self._spread(name)
+        if name not in self._made:
+            self._made[name] = self._view(name) if name in VIEWS else self._spread(name)
+        return self._made[name]
 
-    @functools.cache
     def _spread(self, name) -> DataFrame:
         """A table of fewer splits than cores is spread by key, so that work derived from it runs in parallel."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
