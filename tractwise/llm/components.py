@@ -35,3 +35,22 @@ def components(links: DataFrame) -> DataFrame:
     # every edge now points at the smallest node of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+SALT_ROWS = 2_000  # members compared with one left side in one group
+
+
+def paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (a, salt, b, text) sorted for streaming: per a and salt, first the text of a (b null), then those of its b.
+
+    The pairs of one a are dealt over as many salts as their number demands, and a task holds one text of a at a time.
+    texts: id, text.
+    """
+    salted = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("long").alias("parts"))
+    salted = salted.join(parts, "a").withColumn("salt", F.pmod("salt", F.col("parts"))).select("a", "salt", "b")
+    left = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    left = left.join(texts, left.a == texts.id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    right = salted.join(texts, salted.b == texts.id).select("a", "salt", "b", "text")
+    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return rows.select("a", "salt", "b", "text")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .common import stored
-from .components import components
+from .components import components, paired
 
 SHINGLE = 4
 PERCENT = 80
@@ -31,7 +31,6 @@ POSITIONS = 24
 CHUNK = 3
 BITS = 32
 MAX_DIFFER = 15
-SALT_ROWS = 2_000   # members compared with a hub in one group
 
 
 def _seeds(n):
@@ -90,17 +89,8 @@ def _distance(a, b):
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of set ids whose full sets are similar enough.
 
-    Pairs are grouped by their a in salted parts. A group streams through a task: the set of a first, then one b after
-    another, so a task holds two sets at a time however many pairs an a has. texts: set_id, text.
+    A task holds two sets at a time, however many pairs an a has. texts: id, text.
     """
-    salted = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("long").alias("parts"))
-    salted = salted.join(parts, "a").withColumn("salt", F.pmod("salt", F.col("parts"))).select("a", "salt", "b")
-    left = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
-    left = left.join(texts, left.a == texts.set_id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = salted.join(texts, salted.b == texts.set_id).select("a", "salt", "b", "text")
-    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-
     def run(batches):
         held, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -121,7 +111,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return rows.select("a", "salt", "b", "text").mapInArrow(run, "a long, b long")
+    return paired(pairs, texts).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -145,7 +135,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     # texts of classes that share a bucket, read once
     ids = shared.select("set_id").unionByName(shared.select("hub.set_id")).distinct()
     wanted = classes.join(ids, "set_id").select(F.col("first").alias("doc_id"), "set_id").distinct()
-    texts = stored(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "set_id"]), "texts").select("set_id", "text")
+    texts = stored(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "set_id"]), "texts").select(F.col("set_id").alias("id"), "text")
     links = stored(confirmed(met, texts, k, percent), "links")
     groups = stored(components(links), "components")
 

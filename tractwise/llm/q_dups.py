@@ -1,6 +1,8 @@
 """Queries of the near-duplicate and repeated-passage operators."""
 
-from . import neardup, repeats
+from pyspark.sql import functions as F
+
+from . import lines, neardup, repeats
 from .registry import query, table
 
 OP6 = rf"""
@@ -55,3 +57,10 @@ FROM d LEFT JOIN cut USING (doc_id)
 @query("op9_repeated_bytes", OP9)
 def op9(spark, folder):
     return repeats.without_repeats(table(spark, folder, "documents"))
+
+
+@query("op1_line_dedup")
+def op1(spark, folder):
+    docs = lines.without_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.char_length("text").cast("long").alias("kept_chars"),
+                       F.sha2("text", 256).alias("kept_sha256"))
