@@ -42,7 +42,7 @@ def texts_of(column):
 
 
 def words_of(data, offsets, lower=False):
-    """Hash of every word, and for each text where its words begin (one entry more than texts)."""
+    """Hash of every word, for each text the number of its first word (one entry more than texts), and byte spans."""
     found, at = [], []
     low, high = int(offsets[0]), int(offsets[-1])
     while low < high:
@@ -72,11 +72,11 @@ def words_of(data, offsets, lower=False):
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(value, out=total[1:])
         found.append(mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)))
-        at.append(a + low)
+        at.append(np.stack([a + low, b + low], axis=1))
         low = end
     hashes = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-    places = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-    return hashes, np.searchsorted(places, offsets), places
+    places = np.concatenate(at) if at else np.zeros((0, 2), dtype=np.int64)
+    return hashes, np.searchsorted(places[:, 0], offsets), places
 
 
 def _word_end(data, at, limit):

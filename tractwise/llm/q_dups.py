@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import lines, neardup, repeats
+from . import lines, neardup, passages, repeats
 from .registry import query, table
 
 OP6 = rf"""
@@ -64,3 +64,8 @@ def op1(spark, folder):
     docs = lines.without_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.char_length("text").cast("long").alias("kept_chars"),
                        F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_paragraph_dedup")
+def op5(spark, folder):
+    return passages.without_passages(table(spark, folder, "documents")).drop("kept_text")
