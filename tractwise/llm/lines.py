@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import arrays
 from .common import small, stored
 from .components import components, paired
+from .packs import OUT_SQL, gather, packed, rows
 
 EDITS = 2
 MIN_CHARS = 32
@@ -119,17 +120,6 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(states[k] >> end & 1)
 
 
-OUT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("no", pa.int64()),
-                 ("n", pa.int64()), ("sketch", pa.int64()), ("key", pa.int64()), ("pack", pa.binary())])
-OUT_SQL = "bucket int, id long, d long, th int, no long, n long, sketch long, key long, pack binary"
-PAIR = np.dtype([("key", "<u8"), ("id", "<i8")])
-
-
-def _batch(m, **columns):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in OUT], schema=OUT)
-
-
 def _scan(docs, edits, min_chars, buckets):
     """Occurrences of lines (id, d, th, no, n, sketch) and, packed per bucket, the probes of each batch's lines."""
     def run(batches):
@@ -151,46 +141,12 @@ def _scan(docs, edits, min_chars, buckets):
                 key, sketch = keys_of([t for _, t in own], edits)
                 near = np.array([k for k, _ in own], dtype=np.uint64)
                 shown = dict(zip(near.tolist(), sketch.view(np.int64).tolist()))
-                yield _batch(len(ids), bucket=np.arange(len(ids)) % buckets, id=np.array(ids, dtype=np.uint64).view(np.int64),
+                yield rows(len(ids), bucket=np.arange(len(ids)) % buckets, id=np.array(ids, dtype=np.uint64).view(np.int64),
                              d=at_d, th=at_th, no=at_no, n=size, sketch=[shown.get(k) for k in ids])
-                flat = key.ravel()
-                pair = np.empty(len(flat), dtype=PAIR)
-                pair["key"], pair["id"] = flat, np.repeat(near.view(np.int64), key.shape[1])
-                pair = pair[flat != 0]
-                bucket = (pair["key"] % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-                yield _batch(len(full), bucket=full, pack=[pair[order[edge[b]:edge[b + 1]]].tobytes() for b in full])
+                yield packed(key, near.view(np.int64), buckets, key != 0)
     return docs.mapInArrow(run, OUT_SQL)
 
 
-def _gather(batches):
-    """Pass occurrences; of each bucket's probes, keep those that two texts share."""
-    def shared(packs):
-        pair = np.unique(np.frombuffer(b"".join(packs), dtype=PAIR))
-        same = np.zeros(len(pair) + 1, dtype=bool)
-        same[1:-1] = pair["key"][1:] == pair["key"][:-1]
-        pair = pair[same[1:] | same[:-1]]
-        if len(pair):
-            yield _batch(len(pair), id=pair["id"], key=pair["key"].view(np.int64))
-
-    bucket, packs = None, []
-    for batch in batches:
-        packed = np.array(batch.column(8).is_valid())
-        if not packed.all():
-            yield batch.filter(pa.array(~packed))
-        for i in np.flatnonzero(packed):
-            here = batch.column(0)[int(i)].as_py()
-            if here != bucket and packs:
-                yield from shared(packs)
-                packs = []
-            bucket = here
-            packs.append(batch.column(8)[int(i)].as_py())
-    if packs:
-        yield from shared(packs)
-
-
 def _verified(pairs, texts, edits):
     def run(batches):
         held, own = None, ""
@@ -220,7 +176,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         raise ValueError("min_chars must leave every segment of a compared line at least one code point")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scanned = _scan(docs.select("d", "th", "text"), edits, min_chars, buckets)
-    scanned = stored(scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, OUT_SQL).drop("bucket", "pack"), "lines")
+    scanned = stored(scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, OUT_SQL).drop("bucket", "pack"), "lines")
     places = scanned.where(F.col("key").isNull()).drop("key")
     lines = stored(places.groupBy("id").agg(
         F.min(F.struct("d", "no")).alias("first"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"),

@@ -7,7 +7,8 @@ documents within the distance share a key. A pair over the Jaccard threshold exc
 of about 1e-6 (24 positions, 15 differing, similarity 0.8); every link is confirmed on the full sets.
 
 No group is expanded into its pairs: documents of equal sets are one class; in a bucket every class is compared with
-one hub first; only buckets that then still hold several components are compared further, across components.
+one hub first; only buckets that then still hold several components are compared further, across components, and there
+only pairs whose unshared shingles leave room for a link.
 
 Defined results. Null or empty text: an empty set, linked with nothing. Fewer words than a shingle: one shingle. Null
 doc_id: cannot name a component, so it is linked with nothing and its component_id is null. Repeated rows: one class.
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import stored
+from .common import small, stored
 from .components import components, paired
+from .packs import OUT_SQL, dealt, gather, packed, streamed
 
 SHINGLE = 4
 PERCENT = 80
@@ -31,6 +33,8 @@ POSITIONS = 24
 CHUNK = 3
 BITS = 32
 MAX_DIFFER = 15
+HUBS = 4
+IDS_BOUND = 200_000  # (id, doc_id) rows that may be broadcast
 
 
 def _seeds(n):
@@ -70,15 +74,102 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, positions: int = POSITIONS,
         run, "doc_id long, n long, set_id long, sig array<long>")
 
 
-def keys(sig, positions: int = POSITIONS, chunk: int = CHUNK, max_differ: int = MAX_DIFFER):
-    """Array of bucket keys: per chunk, each way to leave the allowed number of positions out."""
+def keys_of(sigs, chunk: int = CHUNK, max_differ: int = MAX_DIFFER):
+    """Bucket keys of signatures (rows): per chunk, one for each way to leave the allowed number of positions out."""
+    positions = sigs.shape[1]
     chunks = [range(i, min(i + chunk, positions)) for i in range(0, positions, chunk)]
     errors = max_differ // len(chunks)
     out = []
-    for c, places in enumerate(chunks):
+    for places in chunks:
         for kept in combinations(places, max(1, len(places) - errors)):
-            out.append(F.xxhash64(F.lit(c), *[F.lit(p) for p in kept], *[F.get(sig, F.lit(p)) for p in kept]))
-    return F.array(*out)
+            key = np.full(len(sigs), kept[0] + 1, dtype=np.uint64)
+            for p in kept:
+                key = arrays.mixed(key * np.uint64(arrays._P) + sigs[:, p].astype(np.uint64) + np.uint64(p))
+            out.append(key)
+    return np.stack(out, axis=1)
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, id: the bucket keys that two classes or more share. Keys travel packed; only shared ones become rows."""
+    buckets = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches):
+        for batch in batches:
+            ids = np.array(batch.column(0))
+            if len(ids):
+                yield packed(keys_of(np.stack(batch.column(1).to_numpy(zero_copy_only=False))), ids, buckets)
+
+    found = classes.select("set_id", "sig").mapInArrow(pack, OUT_SQL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return found.mapInArrow(gather, OUT_SQL).select("key", "id")
+
+
+HELD = np.dtype([("key", "<u8"), ("owner", "<i8"), ("id", "<i8")])
+
+
+def unshared(texts: DataFrame, k: int) -> DataFrame:
+    """id, u: how many of a text's shingles are held by no text of another owner (texts: id, owner, text)."""
+    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(held):
+        """First entry of each key, and whether its entries have several owners."""
+        first = np.ones(len(held), dtype=bool)
+        first[1:] = held["key"][1:] != held["key"][:-1]
+        at = np.flatnonzero(first)
+        if not len(at):
+            return at, np.zeros(0, dtype=bool), at
+        several = np.minimum.reduceat(held["owner"], at) != np.maximum.reduceat(held["owner"], at)
+        return at, several, np.cumsum(first) - 1
+
+    def pack(batches):
+        for batch in batches:
+            ids, owners, parts = np.array(batch.column(0)), np.array(batch.column(1)), []
+            for low, high, data, offsets in arrays.chunks(batch, 2):
+                hashes, bounds, _ = arrays.words_of(data, offsets, lower=True)
+                value, at = arrays.shingle_sets(hashes, bounds, k)
+                part = np.empty(len(value), dtype=HELD)
+                part["key"] = value
+                part["owner"], part["id"] = (np.repeat(x[low:high], np.diff(at)) for x in (owners, ids))
+                parts.append(part)
+            if parts:
+                held = np.concatenate(parts)
+                held = held[np.lexsort((held["owner"], held["key"]))]
+                at, several, group = runs(held)
+                # a shingle of several owners is sent for its least and its greatest: enough to show that it is shared
+                ends = np.append(at[1:], len(held)) - 1
+                keep = ~several[group]
+                keep[at] = keep[ends] = True
+                yield dealt(held[keep], buckets)
+
+    def count(batches):
+        def of(held):
+            _, several, group = runs(held)
+            found, n = np.unique(held["id"][~several[group]] if len(held) else held["id"], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["id", "u"])
+        yield from streamed(batches, of, kind=HELD)
+
+    sent = texts.select("id", "owner", "text").mapInArrow(pack, OUT_SQL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(count, "id long, u long").groupBy("id").agg(F.sum("u").alias("u"))
+
+
+def with_room(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Members (key, id, component) with n and c, the shingles that an owner's other texts cannot account for left out.
+
+    A link of x and y of different owners needs c shingles in common with 100 c >= percent (n_x + n_y - c), c being the
+    smaller of theirs; members that cannot reach it with any partner go, and buckets that hold one component go.
+    """
+    bounds = sizes.join(unshared(texts, k), "id", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    bounds = stored(bounds.where(100 * F.col("c") >= percent * F.col("n")), "bounds")
+    return stored(in_open_buckets(members.join(bounds, "id")), "live-buckets")
+
+
+def across(live: DataFrame, percent: int, also=None) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose shared shingles leave room for a link."""
+    a, b = live.alias("a"), live.alias("b")
+    most = F.least("a.c", "b.c")
+    on = ((F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) &
+          (100 * most >= percent * (F.col("a.n") + F.col("b.n") - most)))
+    met = a.join(b, on if also is None else on & also)
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def _distance(a, b):
@@ -114,6 +205,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int
     return paired(pairs, texts).mapInArrow(run, "a long, b long")
 
 
+def _close(pairs, about, percent):
+    """Pairs whose set sizes and signatures allow a link."""
+    def side(x):
+        return about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) &
+                      (_distance(F.col("sig_a"), F.col("sig_b")) <= MAX_DIFFER)).select("a", "b")
+
+
+def _ids(pairs):
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def in_open_buckets(members):
+    """Members of the buckets that hold several components."""
+    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(several.select("key"), "key")
+
+
+def _texts(docs, classes, ids):
+    """id, text of the wanted classes, each from its first document."""
+    wanted = classes.select(F.col("set_id").alias("id"), F.col("first").alias("doc_id")).join(ids.distinct(), "id")
+    return docs.join(small(stored(wanted, "wanted"), IDS_BOUND), "doc_id").select("id", "text").dropDuplicates(["id"])
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -122,40 +238,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     classes = stored(usable.groupBy("set_id").agg(
         F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    buckets = classes.select("set_id", "n", "sig", F.explode(keys(F.col("sig"))).alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min(F.struct("set_id", "n", "sig")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(buckets.join(hubs, "key").where(F.col("set_id") != F.col("hub.set_id")), "buckets")
-
-    def near(na, nb, sa, sb):
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_distance(sa, sb) <= MAX_DIFFER)
-    met = shared.where(near(F.col("n"), F.col("hub.n"), F.col("sig"), F.col("hub.sig"))).select(
-        F.col("hub.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-    met = stored(met, "hub-pairs")
-
-    # texts of classes that share a bucket, read once
-    ids = shared.select("set_id").unionByName(shared.select("hub.set_id")).distinct()
-    wanted = classes.join(ids, "set_id").select(F.col("first").alias("doc_id"), "set_id").distinct()
-    texts = stored(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "set_id"]), "texts").select(F.col("set_id").alias("id"), "text")
-    links = stored(confirmed(met, texts, k, percent), "links")
-    groups = stored(components(links), "components")
-
-    # buckets that still hold several components: compare across components only
-    members = shared.select("key", "set_id", "n", "sig").unionByName(
-        shared.select("key", "hub.set_id", "hub.n", "hub.sig")).distinct()
-    members = members.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = stored(members.join(mixed, "key"), "open-buckets")
-    a, b = open_.alias("a"), open_.alias("b")
-    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) &
-                  near(F.col("a.n"), F.col("b.n"), F.col("a.sig"), F.col("b.sig")))
-    more = more.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct()
-    tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    about = classes.select(F.col("set_id").alias("id"), "n", "sig")
+    members = stored(_buckets(classes), "buckets")
+
+    # hubs are drawn anew in each of HUBS parts of the keys, so that a large group meets several of its members
+    part = F.pmod("key", F.lit(HUBS))
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(part, "id"), "id")).alias("hub"))
+    met = members.join(hubs, "key").where(F.col("id") != F.col("hub.id")).select(
+        F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    met = stored(_close(met, about, percent), "hub-pairs")
+    links = stored(confirmed(met, _texts(docs, classes, _ids(met)), k, percent), "links")
+    groups = stored(components(links).withColumnRenamed("node", "id"), "components")
+
+    # buckets that still hold several components: compare across components, but only classes whose shingles that no
+    # other such class holds leave room for a link
+    open_ = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = stored(in_open_buckets(open_), "open-buckets")
+    texts = stored(_texts(docs, classes, open_.select("id")), "texts")
+    live = with_room(open_, about.select("id", "n"), texts.withColumn("owner", F.col("id")), k, percent)
+    more = across(live, percent)
+    more = stored(_close(more.join(met, ["a", "b"], "left_anti"), about, percent), "cross-pairs")
     links = stored(links.unionByName(confirmed(more, texts, k, percent)), "all-links")
-    groups = stored(components(links), "components")
+    groups = stored(components(links).withColumnRenamed("node", "set_id"), "components")
 
-    ends = classes.select("set_id", "first").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    ends = classes.select("set_id", "first").join(groups, "set_id", "left")
     ends = ends.withColumn("component", F.coalesce("component", "set_id"))
     least = ends.groupBy("component").agg(F.min("first").alias("component_id"))
     named = ends.join(least, "component").select("set_id", "component_id")
