@@ -7,6 +7,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+MARKS = _SPACE.copy()  # spaces and ASCII punctuation
+MARKS[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -41,22 +43,25 @@ def texts_of(column):
     return data, offsets
 
 
-def words_of(data, offsets, lower=False):
-    """Hash of every word, for each text the number of its first word (one entry more than texts), and byte spans."""
+def words_of(data, offsets, lower=False, parts=_SPACE):
+    """Hash of every word, for each text the number of its first word (one entry more than texts), and byte spans.
+
+    parts: for each byte, whether it stands between words.
+    """
     found, at = [], []
     low, high = int(offsets[0]), int(offsets[-1])
     while low < high:
         end = min(low + BLOCK, high)
         if end < high:  # cut before a word, unless one word fills the block
-            space = np.flatnonzero(_SPACE[data[low:end]])
+            space = np.flatnonzero(parts[data[low:end]])
             starts = offsets[(offsets > low) & (offsets <= end)]
             cut = max(int(space[-1]) + 1 + low if len(space) else 0, int(starts[-1]) if len(starts) else 0)
             if cut <= low:
-                end = _word_end(data, end, int(offsets[np.searchsorted(offsets, end, "left")]))
+                end = _word_end(data, end, int(offsets[np.searchsorted(offsets, end, "left")]), parts)
             else:
                 end = cut
         piece = data[low:end]
-        inside = ~_SPACE[piece]
+        inside = ~parts[piece]
         edge = offsets[(offsets > low) & (offsets < end)] - low
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -79,9 +84,9 @@ def words_of(data, offsets, lower=False):
     return hashes, np.searchsorted(places[:, 0], offsets), places
 
 
-def _word_end(data, at, limit):
+def _word_end(data, at, limit, parts):
     while at < limit:
-        space = np.flatnonzero(_SPACE[data[at:min(at + BLOCK, limit)]])
+        space = np.flatnonzero(parts[data[at:min(at + BLOCK, limit)]])
         if len(space):
             return at + int(space[0])
         at = min(at + BLOCK, limit)
