@@ -96,9 +96,11 @@ def plan(counts: DataFrame, goals: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def mix(docs: DataFrame, carry=(), weights=WEIGHTS, share=SHARE, cap=CAP, seed: int = SEED, window: int = WINDOW) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, copies counted), copies, and the carried columns."""
+    """doc_id, size, source_size, target, taken (words the mix takes, copies counted), copies, source, and the carried columns."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = docs.select("doc_id", "source", *carry, F.size(words(F.col("text"))).cast("long").alias("size"))
+    carry = [c for c in carry if c != "source"]
+    held = F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried")
+    sized = docs.select("doc_id", "source", held, F.size(words(F.col("text"))).cast("long").alias("size"))
     sized = sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("key", key)
     if not carry:
         sized = stored(sized, "sizes")
@@ -125,4 +127,5 @@ def mix(docs: DataFrame, carry=(), weights=WEIGHTS, share=SHARE, cap=CAP, seed:
     cut = rows.where(inside).withColumn("more", (F.row_number().over(
         Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id")) <= F.col("few")).cast("int"))
     out = whole.unionByName(cut).withColumn("copies", F.coalesce(F.col("base") + F.col("more"), F.lit(0)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carry)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source",
+                      *[F.col("carried")[c].alias(c) for c in carry])

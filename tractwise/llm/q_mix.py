@@ -42,4 +42,4 @@ def op8(spark, folder):
 
 @query("op10_source_mixing")
 def op10(spark, folder):
-    return mixing.mix(table(spark, folder, "documents")).drop("copies")
+    return mixing.mix(table(spark, folder, "documents")).drop("copies", "source")
