@@ -31,6 +31,14 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+def text_batches(spark) -> None:
+    """Bound the Arrow batches in which whole texts reach Python, where the session has no tighter bound."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:  # sizes with a unit are set anew as well
+            spark.conf.set(key, str(most))
+
+
 def scratch(spark, name: str) -> str:
     """A new path below the shared folder, removed when the session's file systems close."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import stored
+from .common import stored, text_batches
 
 DIMS = 1 << 16
 RANK = 256
@@ -134,8 +134,8 @@ def _holds(text, part):
 
 
 def _block(rows):
-    """Items as word lists, with their answers: (no, words, masks, answer)."""
-    out = []
+    """By item number: its words, their masks, and its answer's words."""
+    out = {}
     for no, text, answer in rows:
         def words(t):
             raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
@@ -149,12 +149,13 @@ def _block(rows):
             stops = stops[stops < (spans[-1, 1] if len(spans) else 0)]
             tail = hashes[spans[:, 0] > stops[-1]].tolist() if len(stops) else []
             tail = tail if len(tail) >= 3 else own[-5:]
-        out.append((no, own, word_masks(own), tail))
+        out[no] = (own, word_masks(own), tail)
     return out
 
 
 def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STRONG, weak=WEAK) -> DataFrame:
     """One row per contaminated (document, item): doc_id, item_id, cosine, lcs_words, item_words, answer_found."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     if "answer" not in items.columns:
         items = items.withColumn("answer", F.lit(None).cast("string"))
@@ -173,7 +174,7 @@ def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STR
             block = _block(numbered.where(inside).select("no", "text", "answer").toLocalIterator())
             passages = vectors.where(inside).toPandas()
             if len(passages):
-                part = _search(docs, block, low, passages, idf, used, basis, min_cosine, strong, weak)
+                part = _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak)
                 found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "doc_id long, no long, cosine double, lcs_words long, item_words long, answer_found boolean")
@@ -181,7 +182,7 @@ def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STR
         "doc_id", "item_id", "cosine", "lcs_words", "item_words", "answer_found")
 
 
-def _search(docs, block, low, passages, idf, used, basis, min_cosine, strong, weak):
+def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
     place = np.full(DIMS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     latent = np.stack([idf[d].astype(np.float32) @ basis[place[d]] for d in passages["dims"]])
@@ -213,7 +214,7 @@ def _search(docs, block, low, passages, idf, used, basis, min_cosine, strong, we
                         key = (int(doc[part[w]]), int(owner[p]))
                         best.setdefault(key, []).append((float(c), int(part[w])))
                 for (i, no), windows in best.items():
-                    _, item, masks, answer = block[no - low]
+                    item, masks, answer = block[no]
                     top, lcs, answered = 0.0, 0, False
                     for c, w in windows:
                         a, b = max(bounds[i], start[w] - len(item) // 2), min(bounds[i + 1], end[w] + len(item) // 2)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import small, stored
+from .common import small, stored, text_batches
 from .components import components, paired
 from .packs import OUT_SQL, gather, packed, rows
 
@@ -124,7 +124,7 @@ def _scan(docs, edits, min_chars, buckets):
     """Occurrences of lines (id, d, th, no, n, sketch) and, packed per bucket, the probes of each batch's lines."""
     def run(batches):
         for batch in batches:
-            for low, high, _, _ in arrays.chunks(batch, 2, 16 << 20):
+            for low, high, _, _ in arrays.chunks(batch, 2):
                 d, th, texts = (batch.column(c).slice(low, high - low).to_pylist() for c in range(3))
                 ids, at_d, at_th, at_no, size, first = [], [], [], [], [], {}
                 for i, text in enumerate(texts):
@@ -217,6 +217,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
 def without_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with `text` freed of removed lines, and n_lines and n_removed in a struct column `line_dedup`."""
+    text_batches(docs.sparkSession)
     names = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.coalesce("text", F.lit("")).alias("text"),
         F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest")).withColumn("th", F.hash("text"))

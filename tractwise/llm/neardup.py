@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import small, stored
+from .common import small, stored, text_batches
 from .components import components, paired
 from .packs import OUT_SQL, dealt, gather, packed, streamed
 
@@ -232,6 +232,7 @@ def _texts(docs, classes, ids):
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = stored(fingerprints(docs, k), "fingerprints")
     usable = prints.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import stored
+from .common import stored, text_batches
 
 LENGTH = 100
 GRAM = 24
@@ -321,6 +321,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row; with spans also kept (bytes) and the removed spans."""
+    text_batches(docs.sparkSession)
     names = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.hash("text").alias("th"), "text")
