@@ -10,6 +10,7 @@ OUT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("d", pa.int64()),
                  ("n", pa.int64()), ("sketch", pa.int64()), ("key", pa.int64()), ("pack", pa.binary())])
 OUT_SQL = "bucket int, id long, d long, th int, no long, n long, sketch long, key long, pack binary"
 PAIR = np.dtype([("key", "<u8"), ("id", "<i8")])
+OWNED = np.dtype([("key", "<u8"), ("id", "<i8"), ("doc", "<u4")])  # doc: hash of a document that holds the id
 
 
 def rows(m, **columns):
@@ -62,3 +63,20 @@ def gather(batches):
         pair = pair[same[1:] | same[:-1]]
         return rows(len(pair), id=pair["id"], key=pair["key"].view(np.int64))
     yield from streamed(batches, shared, lambda batch: batch)
+
+
+def gather_owned(batches):
+    """As gather, for records that name a document: keys are shared only where two ids first stand in different ones."""
+    def shared(held):
+        if not len(held):
+            return rows(0)
+        first = np.ones(len(held), dtype=bool)                      # of each key and id; doc is sorted within
+        first[1:] = (held["key"][1:] != held["key"][:-1]) | (held["id"][1:] != held["id"][:-1])
+        pair = held[first]
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = pair["key"][1:] != pair["key"][:-1]
+        at = np.flatnonzero(new)
+        several = np.minimum.reduceat(pair["doc"], at) != np.maximum.reduceat(pair["doc"], at)
+        pair = pair[several[np.cumsum(new) - 1]]
+        return rows(len(pair), id=pair["id"], key=pair["key"].view(np.int64))
+    yield from streamed(batches, shared, lambda batch: batch, OWNED)
