@@ -170,6 +170,18 @@ def test_fasta_files(spark, tmp_path):
     assert got == {"one": "ACGTGG", "empty": "", "two": "TT"}
 
 
+def test_fasta_mark_inside_a_header(spark, tmp_path):
+    (tmp_path / "y.fa").write_text("\n>a x->y note\r\nACGT\r\n>b >c\nGG")
+    got = {r["id"]: r["sequence"] for r in readers.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"a": "ACGT", "b": "GG"}
+
+
+def test_every_problem_of_a_description_is_told():
+    spec = {"columns": {"k": "x", "colour": "y"}, "units": {"k": "kelvin", "na": "mM"}}
+    assert len(ingest.problems(spec, ["x"])) == 6
+    assert ingest.problems({"source": "a", "columns": {"sequence": "s", "tm": "t"}, "units": {"tm": "F"}}, ["s", "t"]) == []
+
+
 def test_pasted_records_lose_nothing(spark):
     lines = [(0, 0, ">a"), (0, 1, ">a"), (0, 2, "AC"), (0, 3, "GT"), (0, 4, ">"), (0, 5, "TT"), (1, 0, "AAAA"), (1, 1, ""), (1, 2, "CCCC")]
     df = spark.createDataFrame(lines, "doc int, n int, line string")
@@ -320,12 +332,38 @@ def test_leader_groups_equal_a_greedy_pass(spark):
     assert got == want and len(leaders) < len(order)
 
 
-def test_centre_groups_do_not_depend_on_order(spark):
+def test_groups_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
-    df = spark.createDataFrame([(random_dna(30, rng),) for _ in range(300)], "s string")
-    a = {tuple(r) for r in splits.centre_groups(df.repartition(2), 300).collect()}
-    b = {tuple(r) for r in splits.centre_groups(df.repartition(11), 300).collect()}
-    assert a == b and len(a) == 300
+    base = [random_dna(30, rng) for _ in range(60)]
+    df = spark.createDataFrame([(b[:i] + c + b[i + 1:],) for b in base for i in (5, 20) for c in "AG"], "s string").distinct()
+    whole = {tuple(r) for r in splits.leader_groups(df.repartition(2)).collect()}
+    monkeypatch.setattr(splits, "BLOCK", 5)
+    parts = {tuple(r) for r in splits.leader_groups(df.repartition(11)).collect()}
+    assert whole == parts and len({x for _, x in whole}) < len(whole)
+
+
+def test_short_numbers_have_six_digits(spark):
+    values = [7.12345, 0.00004, 100.0, 0.0, 123456.7, 1234567.0, 0.00012345678, 999999.5, 1.5, -2.25, 100000.0]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(condition.short_number("v")).collect()]
+    assert got == ["%g" % v for v in values]
+
+
+def test_checkpoint_folder_has_to_be_named(spark, monkeypatch):
+    from tractwise import session
+
+    class Bare:
+        class sparkSession:
+            class conf:
+                @staticmethod
+                def get(key, default):
+                    return default
+
+            class sparkContext:
+                @staticmethod
+                def getCheckpointDir():
+                    return None
+    with pytest.raises(RuntimeError):
+        session.cut_lineage(Bare)
 
 
 def test_containment_and_near_matches(spark):

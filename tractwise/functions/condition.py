@@ -61,13 +61,20 @@ def k_fraction() -> Column:
 
 
 def competent_cation() -> Column:
-    return F.col("k") + 0.35 * F.col("na")
+    return F.col("k") + 0.35 * F.col("na")  # fixed value: how far sodium stands in for potassium
 
 
 def short_number(c) -> Column:
-    """Six significant digits without trailing zeros, for the magnitudes conditions take."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
+    """Six significant digits without trailing zeros; an exponent below 0.0001 and from 1,000,000 on."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scientific = F.format_string("%.5e", c)
+    power = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_extract(scientific, r"^([^e]*)e", 1), r"\.?0+$", "")
+    out = F.concat(digits, F.regexp_extract(scientific, r"(e[+-]\d+)$", 1))
+    for p in range(-4, 6):
+        fixed = F.format_string(f"%.{5 - p}f", c)
+        out = F.when(power == p, F.regexp_replace(fixed, r"\.?0+$", "") if p < 5 else fixed).otherwise(out)
+    return out
 
 
 def label() -> Column:

@@ -53,7 +53,7 @@ def cation_pairs(df: DataFrame, least=5.0, share=0.15, ph=0.3) -> DataFrame:
         "sequence", "k", "na", ((F.col("ph_k") + F.col("ph_na")) / 2).alias("ph"), "tm_k", "tm_na", (F.col("_nk") * F.col("_nn")).alias("n_pairs"))
 
 
-MAX_QUERIES = 10_000
+QUERY_BLOCK = 1_000
 
 
 def with_kmer_counts(df: DataFrame, s: str, k: int, name: str) -> DataFrame:
@@ -64,24 +64,29 @@ def with_kmer_counts(df: DataFrame, s: str, k: int, name: str) -> DataFrame:
         names, lambda m: F.size(F.filter("_km", lambda x: x == m))))).drop("_km")
 
 
-def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, weight: float = 0.35) -> DataFrame:
+def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, weight: float = 0.35, shortlist: int | None = None) -> DataFrame:
     """The n rows nearest to each query in sequence and buffer.
 
-    Cosine of k-mer counts picks the best max(20 n, 50) rows, buffer distance then
-    lowers their score. The (few, checked) queries travel to the table.
+    Cosine of k-mer counts, lowered by buffer distance, ranks every row; with a shortlist only the rows most similar in
+    sequence are ranked. Queries are taken in blocks of QUERY_BLOCK, each held by the tasks that read the table.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query sequences; run them in batches")
+    count = queries.count()
     q = with_kmer_counts(queries, "q_sequence", k, "_q").select("query_id", "_q", *[F.col(f).alias(f"q_{f}") for f in condition.FIELDS])
     rows = with_kmer_counts(table, "sequence", k, "_m")
     square = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x * x)
     dot = F.aggregate(F.map_entries("_q"), F.lit(0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("_m"), e["key"]), F.lit(0)))
-    near_q = q.agg(F.collect_list(F.struct(*q.columns)).alias("_qs"))  # at most MAX_QUERIES
-    scored = ordered.attach(rows, near_q).select(*rows.columns, F.inline("_qs")).withColumn("similarity", F.round(F.coalesce(
-        dot / F.sqrt(square(F.col("_q")) * square(F.col("_m"))), F.lit(0.0)), 6))
-    near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")  # rank limits are applied before the exchange
-    best = scored.drop("_q", "_m").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= max(20 * n, 50))
     d = condition.distance({f: F.col(f) for f in condition.FIELDS}, {f: F.col(f"q_{f}") for f in condition.FIELDS})
-    best = best.withColumn("joint", F.round(F.col("similarity") - weight * d / (1 + d), 6))
+    similar = F.round(F.coalesce(dot / F.sqrt(square(F.col("_q")) * square(F.col("_m"))), F.lit(0.0)), 6)
+    near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")  # rank limits are applied before the exchange
     last = Window.partitionBy("query_id").orderBy(F.desc("joint"), "row_id")
-    return best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= n).drop("_r")
+    out, blocks = None, max(1, -(-count // QUERY_BLOCK))
+    for block in range(blocks):
+        here = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        held = here.agg(F.collect_list(F.struct(*here.columns)).alias("_qs"))  # about QUERY_BLOCK rows
+        best = ordered.attach(rows, held).select(*rows.columns, F.inline("_qs")).withColumn("similarity", similar).drop("_q", "_m")
+        if shortlist is not None:
+            best = best.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= shortlist).drop("_r")
+        best = best.withColumn("joint", F.round(F.col("similarity") - weight * d / (1 + d), 6))
+        best = best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= n)
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -81,8 +81,6 @@ def matched_negatives(positives: DataFrame, key: str, s: str, kind: str, n: int
 
 
 # ------------------------------------------------------------------ grouping
-EXACT_MAX = 6_000  # up to here every pair is compared; the compared table is at most this many profiles
-MAX_CENTRES = 4_000
 NUMERATOR, DENOMINATOR = 81, 100  # cosine 0.90, squared, so that whole numbers decide
 
 
@@ -102,30 +100,74 @@ def _count_matrix(texts, k):
     return m
 
 
+BLOCK = 2_000  # profiles that meet as many others in one task
+
+
+def _heads(m, rank):
+    """Which k-mers of each profile (rows of m) are its head: its rarest, until the rest holds less than cosine 0.90 allows.
+
+    Two profiles at or above the threshold share a k-mer of both heads, whatever the rest of them is.
+    """
+    order = np.argsort(rank)
+    squares = (m * m)[:, order]
+    rest = squares[:, ::-1].cumsum(axis=1)[:, ::-1]       # weight of a k-mer and all more frequent ones
+    need = DENOMINATOR * rest >= NUMERATOR * squares.sum(axis=1, keepdims=True)
+    out = np.zeros(m.shape, dtype=bool)
+    out[:, order] = need & (squares > 0)
+    return out
+
+
 def _similar_pairs(texts: DataFrame, k: int) -> DataFrame:
     """(lead, s): pairs at or above the threshold, lead first in traversal order (longer, then by text).
 
-    Each partition's rows meet one broadcast matrix of at most EXACT_MAX profiles.
+    An inverted index over the heads of the profiles: texts meet under a k-mer that both heads hold, and a k-mer of
+    many texts is dealt as pairs of blocks, so no task sees more than two blocks. A pair is made under the rarest
+    k-mer it shares. Only how many texts hold each of the 4^k k-mers is known outside the tasks.
     """
-    known = sorted((r[0] for r in texts.limit(EXACT_MAX + 1).collect()), key=lambda s: (-len(s), s))
-    if len(known) > EXACT_MAX:
-        raise ValueError(f"pairwise comparison is for at most {EXACT_MAX} sequences")
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-
-    def compare(batches):
-        lead = shared.value
-        m = _count_matrix(lead, k)
-        norm = (m * m).sum(axis=1)
-        place = {s: i for i, s in enumerate(lead)}
+    size = 4 ** k
+
+    def held(batches):
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            rows = np.array([place[s] for s in batch["s"]], dtype=int)
-            dot = m[rows] @ m.T
-            close = (dot > 0) & (DENOMINATOR * dot * dot >= NUMERATOR * norm[rows][:, None] * norm[None, :])
-            close &= np.arange(len(lead))[None, :] < rows[:, None]
-            a, b = np.nonzero(close)
-            yield pd.DataFrame({"lead": [lead[i] for i in b], "s": [lead[rows[i]] for i in a]}, dtype=object)
+            total += (_count_matrix(list(batch["s"]), k) > 0).sum(axis=0)
+        yield pd.DataFrame({"i": np.arange(size), "n": total})
 
-    return texts.repartition("s").mapInPandas(compare, "lead string, s string")
+    def index(batches):
+        for batch in batches:
+            row, kmer = np.nonzero(_heads(_count_matrix(list(batch["s"]), k), rank))
+            yield pd.DataFrame({"kmer": kmer, "s": batch["s"].to_numpy()[row]})
+
+    found = texts.select("s").mapInPandas(held, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(size, dtype=np.int64)
+    for r in found:
+        often[r["i"]] = r["n"]
+    rank = np.argsort(np.lexsort((np.arange(size), often)))
+
+    def compare(_, group):
+        m = _count_matrix(list(group["s"]), k)
+        head = _heads(m, rank)
+        norm, s, kmer = (m * m).sum(axis=1), group["s"].to_numpy(), int(group["kmer"].iloc[0])
+        low = np.flatnonzero((group["own"] == group["i"]).to_numpy())
+        high = np.flatnonzero((group["own"] == group["j"]).to_numpy())
+        dot = m[low] @ m[high].T
+        a, b = np.nonzero((dot > 0) & (DENOMINATOR * dot * dot >= NUMERATOR * norm[low][:, None] * norm[high][None, :]))
+        a, b = low[a], high[b]
+        both = head[a] & head[b]
+        rarest = np.where(both, rank[None, :], size).argmin(axis=1) if len(a) else np.zeros(0, dtype=int)
+        pairs = set()
+        for x, y in zip(a[rarest == kmer], b[rarest == kmer]):
+            if s[x] != s[y]:
+                pairs.add(tuple(sorted((s[x], s[y]), key=lambda t: (-len(t), t))))
+        return pd.DataFrame(sorted(pairs), columns=["lead", "s"], dtype=object)
+
+    entries = cut_lineage(texts.select("s").mapInPandas(index, "kmer int, s string"))
+    blocks = entries.groupBy("kmer").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    dealt = entries.join(blocks, "kmer").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return dealt.groupBy("kmer", "i", "j").applyInPandas(
+        lambda key, group: compare(key, group), "lead string, s string")
 
 
 def leader_groups(texts: DataFrame, k: int = 4) -> DataFrame:
@@ -147,51 +189,9 @@ def leader_groups(texts: DataFrame, k: int = 4) -> DataFrame:
     return leaders.select("s", F.col("s").alias("leader")).unionByName(first.select("s", F.col("m.lead").alias("leader")))
 
 
-def centre_groups(texts: DataFrame, n: int, k: int = 4, rounds: int = 3) -> DataFrame:
-    """(s, leader): k-means on k-mer profiles for large sets, min(n / 4, MAX_CENTRES) centres.
-
-    Starting centres are drawn by hash and centre sums are whole numbers, so the
-    groups do not depend on row order. Only the centres travel.
-    """
-    spark = texts.sparkSession
-    wanted = max(2, min(n // 4, MAX_CENTRES))
-    seeds = [r[0] for r in texts.orderBy(F.xxhash64("s"), "s").limit(wanted).collect()]  # at most MAX_CENTRES
-    centres = _count_matrix(seeds, k).astype(float)
-
-    def assign(shared, with_counts):
-        def run(batches):
-            c = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-12)
-            for batch in batches:
-                m = _count_matrix(list(batch["s"]), k)
-                best = np.round(m @ c.T, 9).argmax(axis=1)
-                out = pd.DataFrame({"s": batch["s"], "centre": best})
-                if with_counts:
-                    # one partial sum per centre and batch leaves the task
-                    sums = pd.DataFrame(m).groupby(best).sum()
-                    out = pd.DataFrame({"centre": sums.index, "counts": list(sums.to_numpy())})
-                yield out
-        return run
-
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(centres)
-        part = texts.mapInPandas(assign(shared, True), "centre int, counts array<bigint>")
-        sums = part.select("centre", F.posexplode("counts").alias("i", "v")).groupBy("centre", "i").agg(F.sum("v").alias("v")).where("v > 0")
-        per = sums.groupBy("centre").agg(F.collect_list(F.struct("i", "v")).alias("e")).collect()  # at most MAX_CENTRES x 4^k numbers
-        centres = centres.copy()
-        for r in per:
-            centres[r["centre"]] = 0
-            for e in r["e"]:
-                centres[r["centre"], e["i"]] = e["v"]
-    shared = spark.sparkContext.broadcast(centres)
-    placed = texts.mapInPandas(assign(shared, False), "s string, centre int")
-    return placed.select("s", F.concat(F.lit("centre"), F.col("centre").cast("string")).alias("leader"))
-
-
 def similarity_groups(df: DataFrame, s: str, k: int = 4) -> DataFrame:
-    """(s, leader) over the distinct clean sequences: exact leader clustering while the set is small, else centres."""
-    texts = cut_lineage(df.select(seq.clean(s).alias("s")).distinct())
-    n = texts.count()
-    return leader_groups(texts, k) if n <= EXACT_MAX else centre_groups(texts, n, k)
+    """(s, leader) over the distinct clean sequences: greedy leader clustering, the same at every size."""
+    return leader_groups(cut_lineage(df.select(seq.clean(s).alias("s")).distinct()), k)
 
 
 # --------------------------------------------------------------------- folds

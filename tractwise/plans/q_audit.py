@@ -222,8 +222,7 @@ no_ AS (SELECT s, sum(n * n) AS nn FROM km_ GROUP BY s),
 sm_ AS (SELECT a.s AS q, b.s AS s, sum(a.n * b.n) AS dot FROM km_ a JOIN km_ b ON a.kmer = b.kmer WHERE a.s IN (SELECT q FROM nq_) GROUP BY ALL),
 sr_ AS (SELECT query_id, row_id, r.k, na, ph, mg, round(coalesce(dot / sqrt(n1.nn * n2.nn), 0), 6) AS similarity FROM nq_ CROSS JOIN rp_ r LEFT JOIN sm_ ON sm_.q = nq_.q AND sm_.s = r.sequence
   JOIN no_ n1 ON n1.s = nq_.q JOIN no_ n2 ON n2.s = r.sequence),
-b1_ AS (SELECT * FROM sr_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) <= 100),
-b2_ AS (SELECT *, sqrt(power((k - 100) / 50, 2) + power(na / 50, 2) + power(mg / 2, 2) + power((ph - 7) / 0.5, 2)) AS cd FROM b1_),
+b2_ AS (SELECT *, sqrt(power((k - 100) / 50, 2) + power(na / 50, 2) + power(mg / 2, 2) + power((ph - 7) / 0.5, 2)) AS cd FROM sr_),
 b3_ AS (SELECT query_id, row_id, similarity, round(similarity - 0.35::double * cd / (1 + cd), 6) AS joint FROM b2_)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY joint DESC, row_id) AS place FROM b3_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY joint DESC, row_id) <= 5"""
 
@@ -492,23 +491,32 @@ def src20(t):
     return pos.unionByName(neg).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("grp1_leader_groups", "", "SELECT count(DISTINCT s_name) + 25 AS n_sequences, cast(0 AS bigint) AS n_unsimilar, true AS leaders_lead FROM supplier")
+# whole-number 4-mer profiles as arrays; leaders are folded per component in traversal order
+_GROUPS = """tx_ AS (SELECT s, row_number() OVER (ORDER BY length(s) DESC, s) AS i FROM (SELECT DISTINCT o AS s FROM oligos)),
+al_ AS (SELECT list(a || b || c || d) AS w FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(a), (VALUES ('A'), ('C'), ('G'), ('T')) y(b), (VALUES ('A'), ('C'), ('G'), ('T')) z(c), (VALUES ('A'), ('C'), ('G'), ('T')) v(d)),
+ct_ AS (SELECT i, kmer, count(*) AS n FROM (SELECT i, unnest(list_transform(range(1, length(s) - 2), lambda j: substr(s, j, 4))) AS kmer FROM tx_) GROUP BY ALL),
+nm_ AS (SELECT i, sum(n * n) AS nn, map(list(kmer), list(n)) AS m FROM ct_ GROUP BY i),
+vc_ AS (SELECT i, nn, cast(list_transform(w, lambda k: coalesce(m[k], 0)) AS FLOAT[256]) AS v FROM nm_, al_),
+ed_ AS (SELECT a.i AS a, b.i AS b FROM vc_ a JOIN vc_ b ON a.i < b.i WHERE 100 * power(array_inner_product(a.v, b.v)::double, 2) >= 81 * a.nn * b.nn),
+sy_ AS (SELECT a, b FROM ed_ UNION ALL SELECT b, a FROM ed_),
+re_ AS (SELECT DISTINCT a AS i, a AS c FROM sy_ UNION SELECT sy_.b, re_.c FROM re_ JOIN sy_ ON re_.i = sy_.a),
+co_ AS (SELECT i, min(c) AS c FROM re_ GROUP BY i),
+ad_ AS (SELECT c, i, coalesce(adj, []) AS adj FROM co_ LEFT JOIN (SELECT b AS i, list(a) AS adj FROM ed_ GROUP BY b) USING (i)),
+fo_ AS (SELECT c, list_reduce(list({'i': i, 'adj': adj, 'leaders': [i]} ORDER BY i), lambda acc, x: {'i': x.i, 'adj': x.adj, 'leaders':
+  CASE WHEN list_has_any(acc.leaders, x.adj) THEN acc.leaders ELSE list_append(acc.leaders, x.i) END}).leaders AS leaders FROM ad_ GROUP BY c),
+lead_ AS (SELECT i, CASE WHEN list_contains(leaders, i) THEN i ELSE list_min(list_intersect(adj, leaders)) END AS l FROM ad_ JOIN fo_ USING (c))
+SELECT tx_.s, coalesce(y.s, tx_.s) AS leader FROM tx_ LEFT JOIN lead_ ON lead_.i = tx_.i LEFT JOIN tx_ y ON y.i = lead_.l"""
+
+
+@query("grp1_leader_groups", "oligos", _GROUPS)
 def grp1(t):
-    """Exact leader groups of a bounded set: members at least as similar as the threshold, leaders their own."""
-    bases = lambda c: F.translate(F.md5(c), "0123456789abcdef", "GGGGGGGGACCAATTT").alias("s")
-    texts = t.supplier.select(bases("s_name")).unionByName(t.nation.select(bases("n_name"))).distinct()
-    groups = splits.leader_groups(texts)
-    unit = overlap.with_kmer_counts(overlap.with_kmer_counts(groups, "s", 4, "a"), "leader", 4, "b")
-    dot = F.aggregate(F.map_entries("a"), F.lit(0), lambda x, e: x + e["value"] * F.coalesce(F.try_element_at(F.col("b"), e["key"]), F.lit(0)))
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda x, v: x + v * v)
-    own = groups.select(F.col("leader").alias("s")).distinct().join(groups, "s").agg(F.bool_and(F.col("s") == F.col("leader")).alias("leaders_lead"))
-    out = unit.agg(F.count("*").alias("n_sequences"), F.count_if(dot / F.sqrt(square("a") * square("b")) < 0.8999999).alias("n_unsimilar"))
-    return ordered.attach(out, own)
+    """Greedy leader groups of all distinct oligos, each with its leader."""
+    return splits.similarity_groups(t.oligos, "o").select("s", "leader")
 
 
 @query("grp2_similarity_groups", "oligos", "SELECT count(DISTINCT o) AS n_sequences, true AS all_grouped FROM oligos")
 def grp2(t):
-    """Groups of the whole table, exact or by centres as its size demands: every distinct sequence is in one."""
+    """Groups of the whole table: every distinct sequence is in one."""
     g = splits.similarity_groups(t.oligos, "o")
     return g.groupBy("s").agg(F.countDistinct("leader").alias("n")).agg(F.count("*").alias("n_sequences"), F.bool_and(F.col("n") == 1).alias("all_grouped"))
 

@@ -113,9 +113,9 @@ def rnk4(t):
 
 
 @query("srt1_ranked_output", "snvs", _SCAN + f"""SELECT {_K}, combined_rank FROM (SELECT {_K}, CASE WHEN quadrant <> 'unclassified' THEN round(least(sr, rr), 4) END AS combined_rank FROM qq_)
-ORDER BY combined_rank DESC NULLS LAST, {_K} LIMIT 200""")
+ORDER BY combined_rank DESC NULLS LAST, {_K}""")
 def srt1(t):
-    return scan(t).select(*KEY, "combined_rank").orderBy(F.desc_nulls_last("combined_rank"), *KEY).limit(200)
+    return scan(t).select(*KEY, "combined_rank").orderBy(F.desc_nulls_last("combined_rank"), *KEY)
 
 
 # ------------------------------------------------ class tables over scored SNVs

@@ -125,14 +125,5 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = self._view(name) if name in VIEWS else self._spread(name)
+            self._made[name] = self._view(name) if name in VIEWS else self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._made[name]
-
-    def _spread(self, name) -> DataFrame:
-        """A table of fewer splits than cores is spread by key, so that work derived from it runs in parallel."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(name)
-        if key and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, key)
-        return df

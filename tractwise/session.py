@@ -1,12 +1,12 @@
 """Session settings for local runs; on a cluster the submitter's settings win."""
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus=8, app="tractwise", memory="20g"):
+def local_session(cpus=8, app="tractwise", memory="20g", checkpoints=None):
+    """A session of one machine; its checkpoint folder may be local because there is no other machine."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -15,6 +15,8 @@ def local_session(cpus=8, app="tractwise", memory="20g"):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,10 +26,12 @@ def local_session(cpus=8, app="tractwise", memory="20g"):
 
 
 def cut_lineage(df):
-    """Checkpoint into the shared folder the cluster names; a local one only where none is set."""
+    """Checkpoint into the folder named by spark.checkpoint.dir, which driver and executors share."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

@@ -18,8 +18,12 @@ def fasta_records(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_fasta(spark, path) -> DataFrame:
-    """FASTA files as (id, sequence); record texts are split by the reader, not collected."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path)).select("id", "sequence")
+    """FASTA files as (id, sequence); record texts are split by the reader, not collected.
+
+    A record begins where a line does: a '>' inside a header is part of it. Only a file's first record keeps its mark.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    return fasta_records(raw.select(F.regexp_replace("value", r"^\s*>", "").alias("value"))).select("id", "sequence")
 
 
 def pasted_records(lines: DataFrame, doc: str, line_no: str, text: str, tile: int = 10_000) -> DataFrame:
@@ -58,7 +62,7 @@ def resolve(columns, aliases, required=()):
         found[field] = (exact or loose or [None])[0]
     missing = [f for f in required if found.get(f) is None]
     if missing:
-        raise ValueError(f"could not find columns for {missing}; available columns were {list(columns)}")
+        raise ValueError(f"no header stands for {', '.join(missing)} among {', '.join(map(str, columns))}")
     return found
 
 
