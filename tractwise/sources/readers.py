@@ -23,7 +23,7 @@ def read_fasta(spark, path) -> DataFrame:
     A record begins where a line does: a '>' inside a header is part of it. Only a file's first record keeps its mark.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
-    return fasta_records(raw.select(F.regexp_replace("value", r"^\s*>", "").alias("value"))).select("id", "sequence")
+    return fasta_records(raw.select(F.regexp_replace("value", r"^\s*>|\s+$", "").alias("value"))).select("id", "sequence")
 
 
 def pasted_records(lines: DataFrame, doc: str, line_no: str, text: str, tile: int = 10_000) -> DataFrame:
