@@ -8,7 +8,7 @@ of about 1e-6 (24 positions, 15 differing, similarity 0.8); every link is confir
 
 No group is expanded into its pairs: documents of equal sets are one class; in a bucket every class is compared with
 one hub first; only buckets that then still hold several components are compared further, across components, and there
-only pairs whose unshared shingles leave room for a link.
+only pairs whose unshared shingles leave room for a link, again with hubs before pair by pair.
 
 Defined results. Null or empty text: an empty set, linked with nothing. Fewer words than a shingle: one shingle. Null
 doc_id: cannot name a component, so it is linked with nothing and its component_id is null. Repeated rows: one class.
@@ -34,6 +34,7 @@ CHUNK = 3
 BITS = 32
 MAX_DIFFER = 15
 HUBS = 4
+ROUNDS = 2   # in which members outside the largest component of a bucket meet another hub
 IDS_BOUND = 200_000  # (id, doc_id) rows that may be broadcast
 
 
@@ -162,14 +163,42 @@ def with_room(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, pe
     return stored(in_open_buckets(members.join(bounds, "id")), "live-buckets")
 
 
-def across(live: DataFrame, percent: int, also=None) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose shared shingles leave room for a link."""
+def _room(a, b, percent, owned):
+    """Condition that two members are of different components and that their shared shingles leave room for a link."""
+    most = F.least(a["c"], b["c"])
+    room = (a["component"] != b["component"]) & (100 * most >= percent * (a["n"] + b["n"] - most))
+    return room & (a["owner"] != b["owner"]) if owned else room
+
+
+def _ordered(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def across(live: DataFrame, links: DataFrame, tried: DataFrame, confirm, percent: int, rounds: int = ROUNDS):
+    """Further links between members (key, id, component, n, c, perhaps owner) of open buckets.
+
+    In each round the members outside a bucket's largest component meet one member of it, another one per bucket and
+    round. What then is still apart is compared pair by pair.
+    """
+    owned = "owner" in live.columns
+    about = [c for c in live.columns if c != "key"]
+    for r in range(rounds):
+        of_component = live.groupBy("key", "component").agg(
+            F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64(F.lit(r), "key", "id").alias("draw"), *about)).alias("one"))
+        hubs = of_component.groupBy("key").agg(F.max(F.struct("m", "one")).alias("h")).select("key", "h.one")
+        met = live.join(hubs, "key").where(_room({c: F.col(c) for c in about}, {c: F.col("one")[c] for c in about}, percent, owned))
+        met = met.select(*_ordered(F.col("id"), F.col("one.id"))).distinct().join(tried, ["a", "b"], "left_anti")
+        met = stored(met, "hub-pairs")
+        links = stored(links.unionByName(confirm(met)), "links")
+        tried = tried.unionByName(met)
+        groups = stored(components(links).withColumnRenamed("node", "id"), "components")
+        live = live.drop("component").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        live = stored(in_open_buckets(live), "live-buckets")
     a, b = live.alias("a"), live.alias("b")
-    most = F.least("a.c", "b.c")
-    on = ((F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) &
-          (100 * most >= percent * (F.col("a.n") + F.col("b.n") - most)))
-    met = a.join(b, on if also is None else on & also)
-    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    sides = [{c: F.col(f"{x}.{c}") for c in about} for x in "ab"]
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _room(*sides, percent, owned))
+    met = met.select(*_ordered(F.col("a.id"), F.col("b.id"))).distinct().join(tried, ["a", "b"], "left_anti")
+    return stored(links.unionByName(confirm(stored(met, "cross-pairs"))), "all-links")
 
 
 def _distance(a, b):
@@ -257,9 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     open_ = stored(in_open_buckets(open_), "open-buckets")
     texts = stored(_texts(docs, classes, open_.select("id")), "texts")
     live = with_room(open_, about.select("id", "n"), texts.withColumn("owner", F.col("id")), k, percent)
-    more = across(live, percent)
-    more = stored(_close(more.join(met, ["a", "b"], "left_anti"), about, percent), "cross-pairs")
-    links = stored(links.unionByName(confirmed(more, texts, k, percent)), "all-links")
+    links = across(live, links, met, lambda pairs: confirmed(pairs, texts, k, percent), percent)
     groups = stored(components(links).withColumnRenamed("node", "set_id"), "components")
 
     ends = classes.select("set_id", "first").join(groups, "set_id", "left")
