@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are binary TF-IDF vectors over hashed words, weighted by document frequencies of the whole corpus. A randomised
+Passages are TF-IDF vectors over hashed words, weighted by document frequencies of the whole corpus; words of more than
+STOP_SHARE of its documents (and STOP_LEAST) weigh nothing. A randomised
 SVD of the benchmark's passages (range finder with power steps; partial products are summed over tasks) gives the latent
 space; windows of the documents are folded into it. A window whose cosine with an item reaches MIN_COSINE is a
 candidate. A candidate is confirmed where the longest common subsequence of words covers STRONG of the item, or covers
@@ -24,7 +25,7 @@ from . import arrays
 from .common import stored, text_batches
 
 DIMS = 1 << 16
-RANK = 256
+RANK = 128
 OVERSAMPLE = 8
 POWER_STEPS = 2
 WINDOW, STRIDE = 64, 32
@@ -32,6 +33,7 @@ MIN_COSINE = 0.35
 MIN_SHARE = 0.35        # of an item's weight that a window has to hold
 STRONG, WEAK = 0.75, 0.5
 SEED = 11
+STOP_SHARE, STOP_LEAST = 0.1, 100  # words of more documents than both weigh nothing
 BLOCK_ITEMS = 20_000
 _STOP = np.frombuffer(b".?!\n", dtype=np.uint8)
 
@@ -165,6 +167,12 @@ def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STR
     n, held = document_frequencies(docs)
     idf = np.log((n + 1) / (held + 1)) + 0.05
     vectors = stored(item_vectors(numbered), "item-passages")
+    # a passage of nothing but stop words keeps their weights
+    bare = np.where(held > max(STOP_SHARE * n, STOP_LEAST), 0.0, idf)
+    for r in vectors.where(F.size("dims") > 0).toLocalIterator():
+        if not bare[r["dims"]].any():
+            bare[r["dims"]] = idf[r["dims"]]
+    idf = bare
     count = numbered.count()
     found = None
     if count and vectors.limit(1).count():
@@ -202,15 +210,22 @@ def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
                 dims = (hashes % np.uint64(DIMS)).astype(np.int64)
                 mass = np.concatenate([[0.0], np.cumsum(weight[dims] ** 2)])
                 size = np.diff(bounds)
+                blocks = -(-size // STRIDE)
                 number = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1), 0)
                 doc = np.repeat(np.arange(len(size)), number)
-                start = bounds[:-1][doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number))
+                inner = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                start = bounds[:-1][doc] + STRIDE * inner
                 end = np.minimum(start + WINDOW, bounds[1:][doc])
                 rich = np.flatnonzero(mass[end] - mass[start] >= least)
+                # a window is the sum of the blocks it holds, and a block is folded once
+                own = np.repeat(np.arange(len(size)), blocks)
+                low = bounds[:-1][own] + STRIDE * (np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+                first_block = (np.cumsum(blocks) - blocks)[doc] + inner
                 best = {}
-                for i in range(0, len(rich), 2_048):
-                    part = rich[i:i + 2_048]
-                    for w, p, c in _candidates(start[part], end[part], dims, place, basis, latent, weight, min_cosine):
+                for i in range(0, len(rich), 8_192):
+                    part = rich[i:i + 8_192]
+                    for w, p, c in _candidates(first_block[part], end[part], low, np.minimum(low + STRIDE, bounds[1:][own]), dims,
+                                               place, basis, latent, weight, min_cosine):
                         key = (int(doc[part[w]]), int(owner[p]))
                         best.setdefault(key, []).append((float(c), int(part[w])))
                 for (i, no), windows in best.items():
@@ -234,21 +249,27 @@ def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
         run, "doc_id long, no long, cosine double, lcs_words long, item_words long, answer_found boolean")
 
 
-def _candidates(start, end, dims, place, basis, latent, weight, min_cosine):
-    """(window, passage, cosine) of the windows that come near a passage in the latent space."""
-    size = end - start
-    window = np.repeat(np.arange(len(start)), size)
-    token = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+def _candidates(block, end, low, high, dims, place, basis, latent, weight, min_cosine):
+    """(window, passage, cosine) of the windows that come near a passage in the latent space.
+
+    A window is its first block and the next one, if that begins before the window's end.
+    """
+    count = WINDOW // STRIDE
+    held = block[:, None] + np.arange(count)
+    inside = (held < len(low)) & (low[np.minimum(held, len(low) - 1)] < end[:, None])
+    needed, at = np.unique(np.where(inside, held, block[:, None]), return_inverse=True)
+    size = high[needed] - low[needed]
+    token = np.repeat(low[needed] - np.cumsum(size) + size, size) + np.arange(size.sum())
     d = dims[token]
-    known = place[d] >= 0
-    once = np.unique(window[known] * DIMS + d[known])
-    if not len(once):
+    known = weight[d] > 0
+    d, owner = d[known], np.repeat(np.arange(len(needed)), size)[known]
+    if not len(d):
         return
-    window, d = once // DIMS, once % DIMS
-    full = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-    folded = np.zeros((len(start), basis.shape[1]), dtype=np.float32)
-    folded[window[full]] = np.add.reduceat(basis[place[d]] * weight[d].astype(np.float32)[:, None], full, axis=0)
-    folded /= np.maximum(np.linalg.norm(folded, axis=1), 1e-9)[:, None]
-    cosine = folded @ latent
+    full = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    folded = np.zeros((len(needed), basis.shape[1]), dtype=np.float32)
+    folded[owner[full]] = np.add.reduceat(basis[place[d]] * weight[d].astype(np.float32)[:, None], full, axis=0)
+    window = (folded[at.reshape(inside.shape)] * inside[:, :, None]).sum(axis=1)
+    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
+    cosine = window @ latent
     for w, p in zip(*np.nonzero(cosine >= min_cosine)):
         yield w, p, cosine[w, p]
