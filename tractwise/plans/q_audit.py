@@ -61,7 +61,7 @@ def rna_pool(t):
 
 
 _RNA = """at_ AS (SELECT sequence AS key, round(quantile_cont(tm, 0.5), 9) AS med_tm, count(*) AS n FROM records GROUP BY sequence),
-rn_ AS (SELECT sequence AS key, (qty - 30) / 4 AS score FROM records WHERE ln = 1),
+rn_ AS (SELECT sequence AS key, (qty - 30) / 4 AS score FROM records),
 pr_ AS (SELECT med_tm, score FROM rn_ JOIN at_ ON rn_.key = at_.key WHERE med_tm IS NOT NULL),
 rk_ AS (SELECT rank() OVER (ORDER BY med_tm) + (count(*) OVER (PARTITION BY med_tm) - 1) / 2 AS rx, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ry FROM pr_)"""
 
@@ -70,7 +70,7 @@ rk_ AS (SELECT rank() OVER (ORDER BY med_tm) + (count(*) OVER (PARTITION BY med_
 SELECT (SELECT count(DISTINCT rn_.key) FROM rn_ JOIN at_ ON rn_.key = at_.key) AS n_sequences, (SELECT cast(sum(n) AS bigint) FROM rn_ JOIN at_ ON rn_.key = at_.key) AS n_table_rows, count(*) AS n_pairs, round(corr(rx, ry), 6) AS rho FROM rk_""")
 def jn8(t):
     """RNA rows matched to DNA rows on the molecule-erased key, with both molecules kept apart."""
-    rna = rna_pool(t).where("ln = 1").select(seq.rna_key("rna").alias("rna"), seq.dna_key("rna").alias("key"), "score")
+    rna = rna_pool(t).select(seq.rna_key("rna").alias("rna"), seq.dna_key("rna").alias("key"), "score")
     med = ordered.exact_quantiles(t.records.withColumn("key", seq.dna_key("sequence")), "tm", [0.5], ["key"]).select("key", F.round("q0", 9).alias("med_tm"))
     rows = t.records.groupBy(seq.dna_key("sequence").alias("key")).agg(F.count("*").alias("n"))
     j = rna.join(rows, "key").join(med, "key", "left")
@@ -434,14 +434,18 @@ def agg22(t):
         F.count_if(F.col("state") == "motif_lost").alias("n_lost"), F.min("delta").alias("most_destabilising"))
 
 
-@query("agg23_schema_readiness", "records", """
-SELECT * FROM (SELECT 'rt_stop_score' AS field, false AS present, true AS blocking, 'BLOCKED' AS status UNION ALL SELECT 'tm', true, true, 'READY' UNION ALL SELECT 'ligand', false, false, 'READY') WHERE (SELECT count(*) FROM records) > 0""")
+@query("agg23_schema_readiness", "records", """n_ AS (SELECT count(tm) AS tm, count(ph_t) AS ph_t FROM records)
+SELECT field, n AS n_values, n > 0 AS present, blocking, CASE WHEN blocking AND n = 0 THEN 'BLOCKED' ELSE 'READY' END AS status FROM (
+  SELECT 'rt_stop_score' AS field, cast(0 AS bigint) AS n, true AS blocking UNION ALL SELECT 'tm', tm, true FROM n_
+  UNION ALL SELECT 'ph_t', ph_t, true FROM n_ UNION ALL SELECT 'ligand', 0, false)""")
 def agg23(t):
-    """Required label columns against the table's schema; conditional ones block only when their arms are ingested."""
-    have = t.records.limit(1).select(F.explode(F.array(*map(F.lit, t.records.columns))).alias("field"), F.lit(True).alias("have"))
-    need = t.spark.createDataFrame([("rt_stop_score", True), ("tm", True), ("ligand", False)], "field string, blocking boolean")
-    present = F.coalesce("have", F.lit(False))
-    return need.join(have, "field", "left").select("field", present.alias("present"), "blocking", F.when(F.col("blocking") & ~present, "BLOCKED").otherwise("READY").alias("status"))
+    """Label columns that must, or may, hold values: how many rows of the table have one; a column that is not there has none."""
+    need = {"rt_stop_score": True, "tm": True, "ph_t": True, "ligand": False}
+    held = [F.struct(F.lit(f).alias("field"), (F.count(f) if f in t.records.columns else F.lit(0).cast("bigint")).alias("n_values"),
+                     F.lit(must).alias("blocking")) for f, must in need.items()]
+    rows = t.records.agg(F.array(*held).alias("x"), F.count("*").alias("rows")).select(F.inline("x"))
+    present = F.col("n_values") > 0
+    return rows.select("field", "n_values", present.alias("present"), "blocking", F.when(F.col("blocking") & ~present, "BLOCKED").otherwise("READY").alias("status"))
 
 
 # ------------------------------------------------------------ negatives, folds

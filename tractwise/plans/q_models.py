@@ -24,7 +24,7 @@ def rows(t, kind, label):
 
 def head(t, kind="G4", label="tm", task="regression", **kw):
     """A head trained once per input folder and session."""
-    at = (t.folder, t.spark.sparkContext.applicationId, kind, label, task, tuple(kw))
+    at = (t.folder, t.spark.sparkContext.applicationId, kind, label, task, tuple(sorted(kw.items())))
     if at not in _TRAINED:
         _TRAINED[at] = models.fit(rows(t, kind, label), kind, task, label, **(FAST | kw))
     return _TRAINED[at]
