@@ -183,14 +183,19 @@ def across(live: DataFrame, links: DataFrame, tried: DataFrame, confirm, percent
     owned = "owner" in live.columns
     about = [c for c in live.columns if c != "key"]
     for r in range(rounds):
+        if live.isEmpty():
+            return links
         of_component = live.groupBy("key", "component").agg(
             F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64(F.lit(r), "key", "id").alias("draw"), *about)).alias("one"))
         hubs = of_component.groupBy("key").agg(F.max(F.struct("m", "one")).alias("h")).select("key", "h.one")
         met = live.join(hubs, "key").where(_room({c: F.col(c) for c in about}, {c: F.col("one")[c] for c in about}, percent, owned))
         met = met.select(*_ordered(F.col("id"), F.col("one.id"))).distinct().join(tried, ["a", "b"], "left_anti")
         met = stored(met, "hub-pairs")
-        links = stored(links.unionByName(confirm(met)), "links")
         tried = tried.unionByName(met)
+        more = stored(confirm(met), "links")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
         groups = stored(components(links).withColumnRenamed("node", "id"), "components")
         live = live.drop("component").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         live = stored(in_open_buckets(live), "live-buckets")
@@ -198,7 +203,8 @@ def across(live: DataFrame, links: DataFrame, tried: DataFrame, confirm, percent
     sides = [{c: F.col(f"{x}.{c}") for c in about} for x in "ab"]
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _room(*sides, percent, owned))
     met = met.select(*_ordered(F.col("a.id"), F.col("b.id"))).distinct().join(tried, ["a", "b"], "left_anti")
-    return stored(links.unionByName(confirm(stored(met, "cross-pairs"))), "all-links")
+    met = stored(met, "cross-pairs")
+    return links if met.isEmpty() else stored(links.unionByName(confirm(met)), "all-links")
 
 
 def _distance(a, b):
