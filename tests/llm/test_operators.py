@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,38 @@ def test_repeated_passages(spark, docs, rows, empty):
     assert passages.without_passages(empty).count() == 0
 
 
+def test_paragraphs_cover_unmarked_texts_and_passages_inside_sentences(spark):
+    rng = random.Random(21)
+
+    def unmarked(n, stops=0.0):
+        return [f"w{rng.randrange(5_000)}" + ("." if rng.random() < stops else "") for _ in range(n)]
+
+    def held(words):
+        raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        _, _, s, e, _, _ = passages.paragraphs(raw, np.array([0, len(raw)]))
+        return list(zip(s.tolist(), e.tolist()))
+    for n in range(55, 85):
+        for stops in (0.0, 0.02, 0.15):
+            shared, spans = unmarked(n, stops), []
+            for _ in range(2):
+                before, after = unmarked(rng.randrange(200), stops), unmarked(rng.randrange(200), stops)
+                whole = before + shared + after
+                found = held(whole)
+                assert {i for a, b in found for i in range(a, b)} == set(range(len(whole)))
+                assert all(passages.MIN_WORDS <= b - a <= passages.MAX_WORDS for a, b in found)
+                spans.append({(a - len(before), b - len(before)) for a, b in found if a >= len(before) and b <= len(before) + n})
+            assert spans[0] & spans[1]
+    shared = unmarked(80)
+    table = [(i, " ".join(unmarked(150 + i) + shared + unmarked(90))) for i in range(6)] + [(9, " ".join(unmarked(300)))]
+    out = {r.doc_id: r for r in passages.without_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    for i, text in table:
+        if i in (0, 9):
+            assert out[i].kept_text == text
+        else:
+            lost = len(split(text)) - len(split(out[i].kept_text))
+            assert out[i].class_doc_ids == [0] and 30 <= lost <= 100
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(9)
     items = [(i, prose(rng, 30) + ". " + prose(rng, 6) + ".") for i in range(6)] + [(6, None), (None, "..."), (8, prose(rng, 150))]
