@@ -271,6 +271,10 @@ def test_paragraphs_cover_unmarked_texts_and_passages_inside_sentences(spark):
             assert out[i].class_doc_ids == [0] and 30 <= lost <= 100
 
 
+def test_bands_miss_few_pairs_at_the_similarity():
+    assert (1 - (passages.PERCENT / 100) ** passages.ROWS) ** passages.BANDS < 0.003
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(9)
     items = [(i, prose(rng, 30) + ". " + prose(rng, 6) + ".") for i in range(6)] + [(6, None), (None, "..."), (8, prose(rng, 150))]
