@@ -293,6 +293,48 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_items_that_the_basis_holds_poorly_are_found(spark, monkeypatch):
+    rng, basis = random.Random(31), decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: (lambda used, rows: (used, 0 * rows))(*basis(*a)))
+
+    def mixed(n):
+        return [f"w{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, " ".join(rng.sample(mixed(6) + [f"own{i}x{j}" for j in range(9)], 15))) for i in range(100)]
+    table = []
+    for i in range(0, 100, 4):
+        table.append((i, " ".join([*mixed(rng.randrange(80, 120)), items[i][1], *mixed(rng.randrange(80, 120))])))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    missed = {(i, i) for i, _ in table} - set(out)
+    assert not missed, f"{len(missed)} of {len(table)}"
+    texts = {"i": dict(items), "d": dict(table)}
+    for (d, i), r in out.items():
+        assert r.lcs_words <= decontaminate.common_words(texts["i"][i].split(), texts["d"][d].split())
+        assert r.lcs_words >= 0.75 * 15 or r.answer_found and r.lcs_words >= 7.5
+
+
+def test_windows_are_met_by_their_share_of_a_passage():
+    rng = np.random.default_rng(3)
+    idf = rng.random(decontaminate.DIMS) + 0.1
+    parts = [np.unique(rng.integers(0, 400, 30)) for _ in range(50)]
+    dims = rng.integers(0, 400, 700)
+    bounds = np.array([0, 10, 200, 264, 700])
+    low, own, first, spans = [], [], [], []
+    for i in range(4):
+        blocks = list(range(bounds[i], bounds[i + 1], 32))
+        for j in range(max(1, len(blocks) - 1)):
+            first.append(len(low) + j)
+            spans.append((blocks[j], min(blocks[j] + 64, bounds[i + 1])))
+        low += blocks
+        own += [i] * len(blocks)
+    low, own = np.array(low), np.array(own)
+    high = np.minimum(low + 32, bounds[1:][own])
+    got = set(decontaminate._held(np.array(first), own, low, high, dims, decontaminate._postings(parts, idf), len(parts)))
+    want = {(w, p) for w, (a, b) in enumerate(spans) for p, d in enumerate(parts)
+            if (idf[np.intersect1d(d, dims[a:b])] ** 2).sum() >= decontaminate.MIN_SHARE * (idf[d] ** 2).sum()}
+    assert want and want <= got
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):

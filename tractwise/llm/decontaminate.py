@@ -4,10 +4,12 @@ Passages are TF-IDF vectors over hashed words, weighted by document frequencies
 STOP_SHARE of its documents (and STOP_LEAST) weigh nothing. A randomised
 SVD of the benchmark's passages (range finder with power steps; partial products are summed over tasks) gives the latent
 space; windows of the documents are folded into it. A window whose cosine with an item reaches MIN_COSINE is a
-candidate. A candidate is confirmed where the longest common subsequence of words covers STRONG of the item, or covers
+candidate. The basis has at most RANK dimensions and holds some passages poorly where there are more; so is a window
+that holds MIN_SHARE of a passage's full weight, found exactly through postings of the passages' rarest words. A
+candidate is confirmed where the longest common subsequence of words covers STRONG of the item, or covers
 WEAK of it and the item's answer (an `answer` column, else its last sentence) stands in the window's neighbourhood word
 for word. Windows that hold too little of the benchmark's vocabulary for any item to reach the cosine's share are
-passed over, which loses no candidate.
+passed over by the latent search, which loses no candidate.
 
 The benchmark is the query set: it is held in blocks of BLOCK_ITEMS, each against all documents.
 
@@ -25,13 +27,15 @@ from . import arrays
 from .common import stored, text_batches
 
 DIMS = 1 << 16
-RANK = 128
+RANK = 256
 OVERSAMPLE = 8
 POWER_STEPS = 2
 WINDOW, STRIDE = 64, 32
 MIN_COSINE = 0.35
 MIN_SHARE = 0.35        # of an item's weight that a window has to hold
 STRONG, WEAK = 0.75, 0.5
+PREFIX = 0.85            # of an item's weight, in its rarest words, through which windows are met exactly
+CELLS = 1 << 22          # of windows by passages that are summed at once
 SEED = 11
 STOP_SHARE, STOP_LEAST = 0.1, 100  # words of more documents than both weigh nothing
 BLOCK_ITEMS = 20_000
@@ -172,17 +176,17 @@ def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STR
     for r in vectors.where(F.size("dims") > 0).toLocalIterator():
         if not bare[r["dims"]].any():
             bare[r["dims"]] = idf[r["dims"]]
-    idf = bare
+    full, idf = idf, bare
     count = numbered.count()
     found = None
     if count and vectors.limit(1).count():
-        used, basis = latent_basis(vectors, idf)
+        used, basis = latent_basis(vectors, idf, min(RANK, vectors.count()))
         for low in range(0, count, BLOCK_ITEMS):
             inside = (F.col("no") >= low) & (F.col("no") < low + BLOCK_ITEMS)
             block = _block(numbered.where(inside).select("no", "text", "answer").toLocalIterator())
             passages = vectors.where(inside).toPandas()
             if len(passages):
-                part = _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak)
+                part = _search(docs, block, passages, idf, full, used, basis, min_cosine, strong, weak)
                 found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "doc_id long, no long, cosine double, lcs_words long, item_words long, answer_found boolean")
@@ -190,7 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, min_cosine=MIN_COSINE, strong=STR
         "doc_id", "item_id", "cosine", "lcs_words", "item_words", "answer_found")
 
 
-def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
+def _search(docs, block, passages, idf, full, used, basis, min_cosine, strong, weak):
     place = np.full(DIMS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     latent = np.stack([idf[d].astype(np.float32) @ basis[place[d]] for d in passages["dims"]])
@@ -199,10 +203,10 @@ def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
     owner = passages["no"].to_numpy()
     least = MIN_SHARE ** 2 * min((idf[d] ** 2).sum() for d in passages["dims"])
     weight = np.where(place >= 0, idf, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((block, place, basis, latent.T.copy(), owner, weight))
+    shared = docs.sparkSession.sparkContext.broadcast((block, place, basis, latent.T.copy(), owner, weight, _postings(passages["dims"], full)))
 
     def run(batches):
-        block, place, basis, latent, owner, weight = shared.value
+        block, place, basis, latent, owner, weight, postings = shared.value
         for batch in batches:
             out = {k: [] for k in ("doc", "no", "cosine", "lcs", "m", "answer")}
             for first, last, data, offsets in arrays.chunks(batch, 1):
@@ -227,14 +231,19 @@ def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
                     for w, p, c in _candidates(first_block[part], end[part], low, np.minimum(low + STRIDE, bounds[1:][own]), dims,
                                                place, basis, latent, weight, min_cosine):
                         key = (int(doc[part[w]]), int(owner[p]))
-                        best.setdefault(key, []).append((float(c), int(part[w])))
+                        seen = best.setdefault(key, {})
+                        seen[int(part[w])] = max(seen.get(int(part[w]), (-1.0, 0)), (float(c), int(p)))
+                for w, p in _held(first_block, own, low, np.minimum(low + STRIDE, bounds[1:][own]), dims, postings, latent.shape[1]):
+                    best.setdefault((int(doc[w]), int(owner[p])), {}).setdefault(int(w), (None, int(p)))
                 for (i, no), windows in best.items():
                     item, masks, answer = block[no]
                     top, lcs, answered = 0.0, 0, False
-                    for c, w in windows:
+                    for w, (c, p) in windows.items():
                         a, b = max(bounds[i], start[w] - len(item) // 2), min(bounds[i + 1], end[w] + len(item) // 2)
                         text = hashes[a:b].tolist()
                         got = common_words(item, text, masks)
+                        if c is None:
+                            c = 0.0 if got < weak * len(item) else _cosine(dims[start[w]:end[w]], place, basis, latent[:, p], weight)
                         top, lcs = max(top, c), max(lcs, got)
                         answered = answered or weak * len(item) <= got and _holds(text, answer)
                     if lcs >= strong * len(item) or lcs >= weak * len(item) and answered:
@@ -249,6 +258,51 @@ def _search(docs, block, passages, idf, used, basis, min_cosine, strong, weak):
         run, "doc_id long, no long, cosine double, lcs_words long, item_words long, answer_found boolean")
 
 
+def _postings(passages, idf):
+    """For each hashed word, the range of its postings; per posting its passage and share of the passage's weight; and per
+    passage the share that a window has to hold in the posted words if it holds MIN_SHARE of the whole weight."""
+    dims, owner, share, need = [], [], [], []
+    for p, d in enumerate(passages):
+        d = np.asarray(d)
+        w = idf[d] ** 2 / (idf[d] ** 2).sum()
+        order = np.argsort(-w, kind="stable")
+        n = int(np.searchsorted(np.cumsum(w[order]), PREFIX)) + 1
+        dims.append(d[order[:n]])
+        share.append(w[order[:n]])
+        owner.append(np.full(len(dims[-1]), p))
+        need.append(MIN_SHARE - w[order[n:]].sum() - 1e-5)
+    dims, owner, share = (np.concatenate(x) for x in (dims, owner, share))
+    order = np.argsort(dims, kind="stable")
+    edges = np.searchsorted(dims[order], np.arange(DIMS + 1))
+    return edges, owner[order], share[order], np.array(need)
+
+
+def _held(first_block, own, low, high, dims, postings, count):
+    """(window, passage) of the windows that hold enough of a passage's posted words."""
+    edges, owner, share, need = postings
+    step = max(1, CELLS // max(1, count))
+    for i in range(0, len(first_block), step):
+        at = first_block[i:i + step]
+        a, b = int(at[0]), min(int(at[-1]) + 2, len(low))
+        d = dims[low[a]:high[b - 1]]
+        of = np.repeat(np.arange(b - a), high[a:b] - low[a:b])
+        size = edges[d + 1] - edges[d]
+        ends = np.cumsum(size)
+        post = np.repeat(edges[d] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        sums = np.bincount(np.repeat(of, size) * count + owner[post], weights=share[post], minlength=(b - a) * count).reshape(b - a, count)
+        after = np.minimum(at + 1, len(low) - 1)
+        two = (after > at) & (own[after] == own[at])
+        total = sums[at - a] + np.where(two[:, None], sums[np.minimum(after - a, b - a - 1)], 0.0)
+        for w, p in zip(*np.nonzero(total >= need)):
+            yield i + int(w), int(p)
+
+
+def _cosine(dims, place, basis, passage, weight):
+    d = dims[weight[dims] > 0]
+    window = (basis[place[d]] * weight[d][:, None]).sum(axis=0)
+    return float(window @ passage / max(np.linalg.norm(window), 1e-9))
+
+
 def _candidates(block, end, low, high, dims, place, basis, latent, weight, min_cosine):
     """(window, passage, cosine) of the windows that come near a passage in the latent space.
 
