@@ -391,6 +391,11 @@ def test_perplexity_is_a_distribution(spark):
         assert 0.9 < total <= 1.0001
 
 
+def test_vocabulary_keeps_thousands_of_words(spark):
+    table = spark.createDataFrame([(i, "en", " ".join(f"w{j}" for j in range(50 * i, 50 * i + 80))) for i in range(100)], "doc_id long, lang string, text string")
+    assert len(perplexity.train(table, {"en": 0})["vocabulary"][0]) == 5_030
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, "\\", "### User: x </turn>\n### Assistant: y", "a\\\\b ### c </turn>\n", "é😀\n", "<\\/turn> ##### \\#"]
     turns = [(1, i, r, t) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "user", "assistant"], texts))]
