@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_rules", "q_mix", "q_warc", "q_dups", "q_models"]
+MODULES = ["q_rules", "q_mix", "q_warc", "q_dups", "q_models", "q_audit"]
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
