@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import texts_of
 from .common import small, stored, text_batches
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,7 +40,10 @@ def _slices(column, limit=PIECE):
 
 def features(column, n, buckets):
     """Words per text, features per text, and the bucket of every feature, texts in order and gram lengths within."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")), BETWEEN)
+    data, offsets = texts_of(column)  # laid anew from offset 0: ascii_lower misreads arrays that begin further on
+    texts = pa.LargeStringArray.from_buffers(
+        len(column), pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), pa.py_buffer(data[offsets[0]:offsets[-1]]))
+    lists = pc.split_pattern_regex(pc.ascii_lower(texts), BETWEEN)
     word = pc.list_flatten(lists)
     owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     full = pc.greater(pc.binary_length(word), 0)
