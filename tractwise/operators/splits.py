@@ -1,5 +1,6 @@
 """Leakage control: similarity groups, balanced grouped folds, shuffled negatives, hold-outs."""
 
+import math
 import zlib
 
 import numpy as np
@@ -245,17 +246,66 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return j.select(group, "size", F.get("folds", ((at - F.col("first")) % F.size("folds")).cast("int")).alias("fold"))
 
 
+def placements(classes, k):
+    """Greedy placement of groups on k folds so that every class is spread evenly; whole classes of equal vectors at a time.
+
+    classes: (count vector, number of groups that have it). Vectors come in order of spread among classes, then size,
+    then value; a group goes to the fold where the sum over classes of squared shares grows least, of equal ones to the
+    fold with fewest rows, then to the first. Only differences between folds decide, so a state that comes back ends
+    the search: its choices repeat. Yields (vector, first, stop, folds) with positions inside the class.
+    """
+    classes = sorted(classes, key=lambda c: (-(len(c[0]) * sum(x * x for x in c[0]) - sum(c[0]) ** 2), -sum(c[0]), [-x for x in c[0]]))
+    totals = [max(1, sum(v[i] * n for v, n in classes)) for i in range(len(classes[0][0]))] if classes else []
+    scale = math.prod(t * t for t in totals)
+    weight = [scale // (t * t) for t in totals]           # whole numbers, so that ties are ties
+    loads = [[0] * len(totals) for _ in range(k)]
+    for vector, count in classes:
+        seen, turns, at = {}, [], 0
+        while at < count:
+            low = [min(f[i] for f in loads) for i in range(len(totals))]
+            state = tuple(tuple(x - m for x, m in zip(f, low)) for f in loads)
+            if state in seen:
+                break
+            seen[state] = at
+            best = min(range(k), key=lambda f: (sum(x * v * w for x, v, w in zip(loads[f], vector, weight)), sum(loads[f]), f))
+            loads[best] = [x + v for x, v in zip(loads[best], vector)]
+            turns.append(best)
+            at += 1
+        if at < count:                                     # the choices since the state was first met go round
+            start = seen[state]
+            cycle = turns[start:]
+            if start:
+                yield vector, 0, start, turns[:start]
+            yield vector, start, count, cycle
+            rounds, rest = divmod(count - at, len(cycle))
+            for i, f in enumerate(cycle):
+                times = rounds + (i < rest)
+                loads[f] = [x + times * v for x, v in zip(loads[f], vector)]
+        elif count:
+            yield vector, 0, count, turns
+
+
 def stratified_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """Grouped folds placed separately per majority label of the group, so that folds share class balance."""
-    labels = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    major = labels.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("_major"))
-    names = [r[0] for r in major.select("_major").distinct().collect()]  # class names
-    joined, out = df.join(major, group), None
-    for i, name in enumerate(sorted(names, key=str)):
-        part = grouped_folds(joined.where(F.col("_major") == name), group, k)
-        part = part.withColumn("fold", (F.col("fold") + i) % k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(group, size, fold): whole groups placed by their class counts, see `placements`.
+
+    Class names and the distinct count vectors reach the driver; groups are placed by their position among equals,
+    computed in ordered tiles.
+    """
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+    places = ordered.value_ranks(counts.select(label).distinct(), label).select(label, F.col("below").cast("int").alias("_c"))
+    width = places.agg(F.max("_c")).first()[0]
+    counts = counts.join(F.broadcast(places), label)       # one row per class
+    vectors = counts.groupBy(group).agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("_m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(int(width or 0))), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("bigint")))
+    vectors = vectors.select(group, "size", vector.alias("_v"))
+    classes = [(tuple(r["_v"]), r["n"]) for r in vectors.groupBy("_v").agg(F.count("*").alias("n")).collect()]
+    plan = df.sparkSession.createDataFrame(
+        [(list(v), a, b, f) for v, a, b, f in placements(classes, k)] or [([0], 0, 0, [0])], "_v array<bigint>, first bigint, stop bigint, folds array<int>")
+    placed = ordered.value_ranks(vectors, group, ["_v"]).select("_v", group, F.col("below").alias("_j"))
+    at = F.col("_j")
+    j = placed.join(plan, "_v").where((at >= F.col("first")) & (at < F.col("stop")))
+    return j.select(group, F.aggregate("_v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"),
+                    F.get("folds", ((at - F.col("first")) % F.size("folds")).cast("int")).alias("fold"))
 
 
 def leaked(df: DataFrame, group: str, fold: str) -> DataFrame:

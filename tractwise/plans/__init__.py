@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_sequences", "q_motifs", "q_intervals", "q_atlas", "q_variants", "q_stats", "q_audit", "q_models"]
+MODULES = ["q_sequences", "q_motifs", "q_intervals", "q_atlas", "q_variants", "q_stats", "q_audit", "q_models", "q_heads"]
 
 
 def load():

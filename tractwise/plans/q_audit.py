@@ -99,43 +99,6 @@ def jn9_motif(t):
     return overlap.contained(found, "needle", t.seqs.select("s").unionByName(t.oligos.select(F.col("o").alias("s"))), "s")
 
 
-# head: kind, target, tiers, classes
-HEADS = [("g4_tm", "G4", "tm", "experimental", "biophysical"), ("g4_topology", "G4", "topology", "experimental", "biophysical"),
-         ("im_pht", "iM", "ph_t", "experimental", "biophysical"), ("g4_tm_distilled", "G4", "tm", "predicted", "catalog"),
-         ("im_fold", "iM", "folded", "derived", "catalog")]
-
-
-def head_rows(t):
-    """The training rows of every head in one pass over the table."""
-    heads = t.spark.createDataFrame(HEADS, "head string, kind string, target string, evidence_tier string, label_class string")
-    j = t.records.join(F.broadcast(heads), ["kind", "evidence_tier", "label_class"])  # a dozen heads
-    value = F.when(F.col("target") == "tm", F.col("tm").cast("string")).when(F.col("target") == "ph_t", F.col("ph_t").cast("string")).when(
-        F.col("target") == "folded", F.col("folded").cast("string")).otherwise(F.col("topology"))
-    return j.withColumn("label", value).where("label IS NOT NULL")
-
-
-_HEADS = "hd_(head, kind, target, evidence_tier, label_class) AS (VALUES " + ", ".join(str(h) for h in HEADS) + """),
-hr_ AS (SELECT head, target, r.*, CASE target WHEN 'tm' THEN cast(tm AS varchar) WHEN 'ph_t' THEN cast(ph_t AS varchar) WHEN 'folded' THEN cast(folded AS varchar) ELSE topology END AS lab
-  FROM records r JOIN hd_ ON r.kind = hd_.kind AND r.evidence_tier = hd_.evidence_tier AND r.label_class = hd_.label_class)"""
-
-
-@query("jn10_training_overlap", "records oligos", _HEADS + """,
-b_ AS (SELECT DISTINCT o AS sequence FROM oligos), t_ AS (SELECT head, sequence, count(*) AS n FROM hr_ WHERE lab IS NOT NULL GROUP BY ALL)
-SELECT head, cast(sum(n) AS bigint) AS n_rows, count(b_.sequence) AS n_seen, round(count(b_.sequence) / (SELECT count(*) FROM b_), 6) AS fraction FROM t_ LEFT JOIN b_ ON t_.sequence = b_.sequence GROUP BY head""")
-def jn10(t):
-    bench = t.oligos.select(seq.clean("o").alias("sequence")).distinct()
-    size = bench.agg(F.count("*").alias("size"))
-    seen = head_rows(t).groupBy("head", seq.clean("sequence").alias("sequence")).agg(F.count("*").alias("n")).join(
-        bench.withColumn("hit", F.lit(1)), "sequence", "left")
-    per = seen.groupBy("head").agg(F.sum("n").alias("n_rows"), F.count("hit").alias("n_seen"))
-    return ordered.attach(per, size).select("head", "n_rows", "n_seen", r6(F.col("n_seen") / F.col("size")).alias("fraction"))
-
-
-@query("ml1_head_rows", "records", _HEADS + "SELECT head, count(*) AS n_rows, count(DISTINCT sequence) AS n_sequences FROM hr_ WHERE lab IS NOT NULL GROUP BY head")
-def ml1(t):
-    return head_rows(t).groupBy("head").agg(F.count("*").alias("n_rows"), F.countDistinct("sequence").alias("n_sequences"))
-
-
 _PAIRS = """e_ AS (SELECT sequence, k, na, coalesce(ph, 7) AS ph, tm FROM records WHERE tm IS NOT NULL AND li_nh4 = 0 AND mg = 0),
 jp_ AS (SELECT a.sequence, a.k, b.na, (a.ph + b.ph) / 2 AS ph, a.tm AS tm_k, b.tm AS tm_na FROM e_ a JOIN e_ b ON a.sequence = b.sequence
   WHERE a.na = 0 AND a.k > 0 AND b.k = 0 AND b.na > 0 AND abs(a.k - b.na) <= greatest(5, 0.15 * greatest(a.k, b.na)) AND abs(a.ph - b.ph) <= 0.3)"""
@@ -611,23 +574,53 @@ def spl6(t):
     return a.join(b, "s", "full").agg(F.bool_and(F.coalesce(F.col("leader") == F.col("other"), F.lit(False))).alias("same_groups"), F.count("*").alias("n_sequences"))
 
 
-@query("spl7_conformal_coverage", "preds", "SELECT head, true AS covered, cast(20 AS bigint) AS n_splits FROM preds GROUP BY head")
+_SPL7 = """r_ AS (SELECT head, grp, abs(y_hat - y_real) AS r FROM preds),
+g_ AS (SELECT head, grp, count(*) OVER (PARTITION BY head) AS n_groups FROM (SELECT DISTINCT head, grp FROM r_)),
+h_ AS (SELECT head, grp, split, row_number() OVER (PARTITION BY head, split ORDER BY md5(concat(grp, ':', split, ':0'))) <= n_groups // 2 AS fit FROM g_, range(20) s(split) WHERE n_groups >= 4),
+x_ AS (SELECT head, split, fit, r FROM r_ JOIN h_ USING (head, grp)),
+q_ AS (SELECT head, split, list_sort(list(r) FILTER (fit)) AS f FROM x_ GROUP BY ALL),
+w_ AS (SELECT head, split, f[cast(ceil((len(f) - 1) * 0.9) AS bigint) + 1] AS q FROM q_),
+c_ AS (SELECT head, split, any_value(q) AS q, avg(cast(r <= q AS int)) FILTER (NOT fit) AS cover FROM x_ JOIN w_ USING (head, split) GROUP BY ALL)
+SELECT head, (SELECT count(*) FROM g_ WHERE g_.head = t.head) AS n_groups, round(avg(cover), 6) AS coverage, round(stddev_pop(cover), 6) AS coverage_sd, round(avg(q), 6) AS halfwidth, count(cover) AS n_splits
+FROM (SELECT DISTINCT head FROM preds) t LEFT JOIN c_ USING (head) GROUP BY head"""
+
+
+@query("spl7_conformal_coverage", "preds", _SPL7)
 def spl7(t):
+    """Coverage of the half-width in groups it was not set on."""
     c = conformal_coverage(t.preds.withColumn("resid", F.abs(F.col("y_hat") - F.col("y_real"))), "head", "grp", "resid")
-    return c.select("head", F.col("coverage").between(0.85, 0.95).alias("covered"), "n_splits")
+    return c.select("head", "n_groups", *[r6(x).alias(x) for x in ("coverage", "coverage_sd", "halfwidth")], "n_splits")
+
+
+@query("spl7_too_few_groups", "preds", _SPL7.replace("abs(y_hat - y_real) AS r FROM preds", "abs(y_hat - y_real) AS r FROM (SELECT * EXCLUDE grp, CASE head WHEN 'head0' THEN grp % 3 ELSE grp % 5 END AS grp FROM preds) preds"))
+def spl7_few(t):
+    """With three groups a coverage would be noise: the head keeps its row and gets null; five groups are split two to three."""
+    few = t.preds.withColumns({"grp": F.when(F.col("head") == "head0", F.col("grp") % 3).otherwise(F.col("grp") % 5), "resid": F.abs(F.col("y_hat") - F.col("y_real"))})
+    c = conformal_coverage(few, "head", "grp", "resid")
+    return c.select("head", "n_groups", *[r6(x).alias(x) for x in ("coverage", "coverage_sd", "halfwidth")], "n_splits")
+
 
+def conformal_coverage(df, key, group, resid, alpha=0.1, n_splits=20, seed=0, least=4):
+    """Half the groups set the half-width (upper quantile), the other half measure how often it holds; mean over splits.
 
-def conformal_coverage(df, key, group, resid, alpha=0.1, n_splits=20, seed=0):
-    """Half the groups set the half-width (upper quantile), the other half measure how often it holds; mean over splits."""
+    Halves are the lower half of the groups in hash order, so they are balanced. A key of fewer than `least` groups
+    keeps its row with null figures and no splits.
+    """
     counted = df.groupBy(key, group, resid).agg(F.count("*").alias("n"))
-    halves = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split"))
-    halves = halves.withColumn("fit", splits.hash_fold(F.concat_ws(":", F.col(group).cast("string"), F.col("split").cast("string")), 2, seed) == 0)
+    groups = counted.select(key, group).distinct()
+    sizes = groups.groupBy(key).agg(F.count("*").alias("n_groups"))
+    drawn = groups.join(sizes.where(F.col("n_groups") >= least).select(key), key).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.col("split").cast("string"), F.lit(str(seed)))))
     keys = [key, "split"]
-    r = ordered.value_ranks(halves, resid, keys, {"fit": F.when(F.col("fit"), F.col("n")).otherwise(0), "out": F.when(~F.col("fit"), F.col("n")).otherwise(0)})
+    halves = ordered.value_ranks(drawn, "draw", keys).select(*keys, "draw", (F.col("below") < F.floor(F.col("total") / 2)).alias("fit"))
+    halves = drawn.join(halves, [*keys, "draw"]).select(*keys, group, "fit")
+    rows = counted.join(halves, [key, group])
+    r = ordered.value_ranks(rows, resid, keys, {"fit": F.when(F.col("fit"), F.col("n")).otherwise(0), "out": F.when(~F.col("fit"), F.col("n")).otherwise(0)})
     at = F.ceil((F.col("fit_total") - 1) * (1 - alpha))
     holds = (F.col("fit_below") <= at) & (at < F.col("fit_below") + F.col("fit"))
-    per = r.where(holds).select(*keys, F.col(resid).alias("width"), ((F.col("out_below") + F.col("out")) / F.col("out_total")).alias("cover"))
-    return per.groupBy(key).agg(F.avg("cover").alias("coverage"), F.stddev_pop("cover").alias("coverage_sd"), F.avg("width").alias("halfwidth"), F.count("*").alias("n_splits"))
+    per = r.where(holds).select(*keys, F.col(resid).alias("width"), F.try_divide(F.col("out_below") + F.col("out"), F.col("out_total")).alias("cover"))
+    per = per.groupBy(key).agg(F.avg("cover").alias("coverage"), F.stddev_pop("cover").alias("coverage_sd"), F.avg("width").alias("halfwidth"), F.count("cover").alias("n_splits"))
+    return sizes.join(per, key, "left").withColumn("n_splits", F.coalesce("n_splits", F.lit(0).cast("bigint")))
 
 
 @query("spl8_row_cap", "preds", "SELECT head, least(count(*), 500) AS n FROM preds GROUP BY head")

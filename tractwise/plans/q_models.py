@@ -30,29 +30,6 @@ def head(t, kind="G4", label="tm", task="regression", **kw):
     return _TRAINED[at]
 
 
-@query("ml2_out_of_fold_regression", "records", "SELECT count(*) AS n, count(DISTINCT seq_id) AS n_groups, true AS held_out_once, true AS error_below_range FROM records WHERE kind = 'G4' AND tm IS NOT NULL")
-def ml2(t):
-    oof = models.out_of_fold(rows(t, "G4", "tm"), "seq_id", "G4", "regression", "tm", k=3, **FAST)
-    e = F.abs(models.mean_of("members") - F.col("label"))
-    per = oof.groupBy("seq_id").agg(F.countDistinct("fold").alias("f"), F.count("*").alias("n"), F.sum(e).alias("e"))
-    return per.agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.bool_and(F.col("f") == 1).alias("held_out_once"),
-                   (F.sum("e") / F.sum("n") < 40).alias("error_below_range"))
-
-
-@query("ml2_out_of_fold_classes", "records")
-def ml2_classes(t):
-    """Out-of-fold posterior of the three-class head: balanced accuracy and Brier score."""
-    code = F.when(F.col("topology") == "parallel", 0).when(F.col("topology") == "antiparallel", 1).otherwise(2)
-    df = rows(t, "G4", "topology").withColumn("cls", code)
-    oof = models.out_of_fold(df, "seq_id", "G4", "multiclass", "cls", k=2, **FAST)
-    p = [(F.col("members")[0][c] + F.col("members")[1][c]) / 2 for c in range(3)]  # two members
-    x = oof.select(F.col("label").cast("int").alias("y"), *[v.alias(f"p{c}") for c, v in enumerate(p)])
-    pick = F.when((F.col("p0") >= F.col("p1")) & (F.col("p0") >= F.col("p2")), 0).when(F.col("p1") >= F.col("p2"), 1).otherwise(2)
-    brier = sum((F.pow(F.col(f"p{c}") - (F.col("y") == c).cast("int"), 2) for c in range(3)), F.lit(0.0))
-    per = x.groupBy("y").agg(F.count("*").alias("n"), F.avg((pick == F.col("y")).cast("double")).alias("recall"), F.sum(brier).alias("b"))
-    return per.agg(F.sum("n").alias("n"), F.avg("recall").alias("balanced_accuracy"), (F.sum("b") / F.sum("n")).alias("brier"))
-
-
 @query("ml3_binary_calibration", "preds", "SELECT count(*) AS n, true AS in_range, true AS calibrated_no_worse FROM preds")
 def ml3(t):
     out, kept = models.calibrate_binary(t.preds.select("ok", "y", "p"), "ok", "y", "p")
@@ -103,21 +80,6 @@ def ml4(t):
     return stats.ranking_metrics(p, "y", "p", ["chrom"])
 
 
-@query("ml5_predictions", "records", """
-SELECT kind, count(*) AS n, cast(count_if(ph IS NULL) AS bigint) AS n_imputed, true AS interval_holds_value, true AS fraction_in_range FROM records WHERE kind = 'G4' GROUP BY kind""")
-def ml5(t):
-    """Every row scored in its buffer: value, interval, folded fraction; imputed fields are named."""
-    model = head(t)
-    if model.halfwidth is None:
-        seen = model.predict(rows(t, "G4", "tm")).withColumn("r", F.abs(F.col("value") - F.col("tm")))
-        model.halfwidth = ordered.exact_quantiles(seen, "r", [0.9]).first()["q0"]
-    q = t.records.where("kind = 'G4'").withColumn("imputed", condition.imputed()).withColumns(condition.filled())
-    p = models.transition(model.predict(q.select("kind", "imputed", "sequence", *condition.FIELDS)), "tm")
-    return p.groupBy("kind").agg(
-        F.count("*").alias("n"), F.count_if(F.size("imputed") > 0).alias("n_imputed"),
-        F.bool_and(F.col("value").between(F.col("low"), F.col("high"))).alias("interval_holds_value"), F.bool_and(F.col("folded_fraction").between(0, 1)).alias("fraction_in_range"))
-
-
 @query("ml6_paired_deltas", "preds", """
 SELECT head, ok, round(avg(round(y_hat - y_real, 6)), 3) AS delta, count(*) AS n_members FROM preds GROUP BY ALL""")
 def ml6(t):
@@ -201,17 +163,6 @@ def ml12(t):
     return j.select("seq_id", (F.col("g4_strand") == "+").alias("g4_forward"), (F.col("tm").isNotNull() & F.col("ph_t").isNotNull()).alias("both_have_values"), "g4_motif")
 
 
-@query("ml13_condition_ablation", "records")
-def ml13(t):
-    """The same folds with and without condition features: what the buffer adds."""
-    out = None
-    for name, use in (("with_conditions", True), ("sequence_only", False)):
-        oof = models.out_of_fold(rows(t, "G4", "tm"), "seq_id", "G4", "regression", "tm", k=2, use_conditions=use, seeds=(0,), rounds=3, depth=3, with_kmers=False)
-        m = stats.regression_metrics(oof.withColumn("p", models.mean_of("members")), "label", "p").select(F.lit(name).alias("features"), "n", "r2", "mae")
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
 @query("ml14_external_windows", "genome")
 def ml14(t):
     """Best motif score of each window over both strands, with motif counts; a window without motifs keeps null."""

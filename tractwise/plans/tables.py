@@ -80,6 +80,27 @@ VIEWS = {
                      CASE WHEN l_tax < 0.02 THEN 'motif_lost' ELSE 'motif_retained' END AS state,
                      l_quantity AS qty, l_extendedprice AS ep
               FROM {lineitem}) x"""),
+    # windows of the genome with the peaks of both targets that reach into them
+    "locus_windows": (["genome", "intervals"], """
+        SELECT g.chrom, g.piece, s AS sequence,
+               CASE WHEN n_g4 > 0 AND n_im > 0 THEN 'both' WHEN n_g4 > 0 THEN 'g4_only' WHEN n_im > 0 THEN 'im_only' ELSE 'neither' END AS state
+        FROM {genome} g LEFT JOIN (
+          SELECT chrom, piece, sum(CASE WHEN target = 'G4' THEN 1 ELSE 0 END) AS n_g4, sum(CASE WHEN target = 'iM' THEN 1 ELSE 0 END) AS n_im
+          FROM (SELECT chrom, target, cast(floor(start_ / 96) AS bigint) AS piece FROM {intervals}
+                UNION ALL
+                SELECT chrom, target, cast(floor((end_ - 1) / 96) AS bigint) AS piece FROM {intervals}
+                WHERE floor((end_ - 1) / 96) > floor(start_ / 96)) x
+          GROUP BY chrom, piece) y ON g.chrom = y.chrom AND g.piece = y.piece"""),
+    # labelled rows of all kinds, one id each
+    "training": (["records", "locus_windows"], """
+        SELECT concat('r', cast(seq_id AS {str}), ':', cast(ln AS {str}), ':', cast(pk AS {str}), ':', cast(sk AS {str}), ':', cast(qty AS {str})) AS record_id, sequence, kind,
+               k, na, li_nh4, mg, ph, temperature, crowder_pct, strand_conc, tm, ph_t, folded, topology, evidence_tier, label_class, source
+        FROM {records}
+        UNION ALL
+        SELECT concat('w', chrom, ':', cast(piece AS {str})), sequence, 'locus', 100.0, 0.0, 0.0, 0.0, cast(NULL AS double), 25.0, 0.0, 5.0,
+               cast(NULL AS double), cast(NULL AS double), cast(NULL AS int), state, 'derived',
+               CASE WHEN state = 'neither' THEN 'catalog' ELSE 'genomic_proxy' END, CASE WHEN state = 'neither' THEN 'locus_shuffled' ELSE 'locus' END
+        FROM {locus_windows}"""),
     # held-out predictions of a classifier and of a regressor
     "preds": (["lineitem"], """
         SELECT l_orderkey AS ok, l_linenumber AS ln, l_orderkey % 97 AS grp,
@@ -117,9 +138,17 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, folder, {}
 
+    def _dealt(self, name) -> DataFrame:
+        """A base table as its derived rows are made: orders, one row group, has its keys dealt out first."""
+        df = getattr(self, name)
+        if name != "orders":
+            return df
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return df.select("o_orderkey").repartition(parts, "o_orderkey")
+
     def _view(self, name) -> DataFrame:
         deps, text = VIEWS[name]
-        return self.spark.sql(text.replace("{str}", "string"), **{d: getattr(self, d) for d in deps})
+        return self.spark.sql(text.replace("{str}", "string"), **{d: self._dealt(d) for d in deps})
 
     def __getattr__(self, name) -> DataFrame:
         if name.startswith("_"):
