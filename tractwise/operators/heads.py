@@ -91,27 +91,10 @@ def grouped(sample: DataFrame) -> DataFrame:
 
 
 def folded(rows: DataFrame, folds=FOLDS) -> DataFrame:
-    """Append fold per head: whole groups, class counts (or sizes) spread evenly; a head's groups are within its sample."""
-    counts = rows.groupBy("head", "task", "n_classes", "group_id", "label").agg(F.count("*").alias("n"))
-
-    def place(frame):
-        task, width = frame["task"].iloc[0], int(frame["n_classes"].iloc[0] or 2)
-        width = 1 if task == "regression" else max(width, 2)
-        vectors = {}
-        for group, label, n in zip(frame["group_id"], frame["label"], frame["n"]):
-            v = vectors.setdefault(group, [0] * width)
-            v[0 if width == 1 else int(label)] += int(n)
-        classes = {}
-        for group in sorted(vectors):
-            classes.setdefault(tuple(vectors[group]), []).append(group)
-        k = min(folds, max(2, len(vectors)))
-        rows_out = []
-        for vector, first, stop, turn in splits.placements([(v, len(g)) for v, g in classes.items()], k):
-            rows_out += [(classes[vector][i], turn[(i - first) % len(turn)]) for i in range(first, stop)]
-        return pd.DataFrame({"head": frame["head"].iloc[0], "group_id": [g for g, _ in rows_out], "fold": np.array([f for _, f in rows_out], dtype=np.int32)})
-
-    placed = counts.groupBy("head").applyInPandas(place, "head string, group_id string, fold int")
-    return rows.join(placed, ["head", "group_id"])
+    """Append fold per head: whole groups, class counts (of values: sizes) spread evenly."""
+    rows = rows.withColumn("_class", F.when(F.col("task") == "regression", 0.0).otherwise(F.col("label")))
+    placed = splits.stratified_folds(rows, "group_id", "_class", folds, ["head"])
+    return rows.drop("_class").join(placed.select("head", "group_id", "fold"), ["head", "group_id"])
 
 
 # ------------------------------------------------------------------- features

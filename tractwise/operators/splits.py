@@ -285,26 +285,31 @@ def placements(classes, k):
             yield vector, 0, count, turns
 
 
-def stratified_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """(group, size, fold): whole groups placed by their class counts, see `placements`.
+def stratified_folds(df: DataFrame, group: str, label: str, k: int = 5, keys=()) -> DataFrame:
+    """(*keys, group, size, fold): whole groups placed by their class counts within each key, see `placements`.
 
     Class names and the distinct count vectors reach the driver; groups are placed by their position among equals,
-    computed in ordered tiles.
+    computed in ordered tiles. A key of fewer than k groups has as many folds as groups, two at least.
     """
-    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+    keys = list(keys)
+    counts = df.groupBy(*keys, group, label).agg(F.count("*").alias("n"))
     places = ordered.value_ranks(counts.select(label).distinct(), label).select(label, F.col("below").cast("int").alias("_c"))
     width = places.agg(F.max("_c")).first()[0]
     counts = counts.join(F.broadcast(places), label)       # one row per class
-    vectors = counts.groupBy(group).agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("_m"))
+    vectors = counts.groupBy(*keys, group).agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("_m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(int(width or 0))), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("bigint")))
-    vectors = vectors.select(group, "size", vector.alias("_v"))
-    classes = [(tuple(r["_v"]), r["n"]) for r in vectors.groupBy("_v").agg(F.count("*").alias("n")).collect()]
-    plan = df.sparkSession.createDataFrame(
-        [(list(v), a, b, f) for v, a, b, f in placements(classes, k)] or [([0], 0, 0, [0])], "_v array<bigint>, first bigint, stop bigint, folds array<int>")
-    placed = ordered.value_ranks(vectors, group, ["_v"]).select("_v", group, F.col("below").alias("_j"))
+    vectors = vectors.select(*keys, group, "size", vector.alias("_v"))
+    classes = {}
+    for r in vectors.groupBy(*keys, "_v").agg(F.count("*").alias("n")).collect():
+        classes.setdefault(tuple(r[c] for c in keys), []).append((tuple(r["_v"]), r["n"]))
+    plan = [(*key, list(v), a, b, f) for key, found in classes.items()
+            for v, a, b, f in placements(found, min(k, max(2, sum(n for _, n in found))))]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in vectors.select(*keys).schema) + "_v array<bigint>, first bigint, stop bigint, folds array<int>"
+    plan = df.sparkSession.createDataFrame(plan, schema)
+    placed = ordered.value_ranks(vectors, group, [*keys, "_v"]).select(*keys, "_v", group, F.col("below").alias("_j"))
     at = F.col("_j")
-    j = placed.join(plan, "_v").where((at >= F.col("first")) & (at < F.col("stop")))
-    return j.select(group, F.aggregate("_v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"),
+    j = placed.join(plan, [*keys, "_v"]).where((at >= F.col("first")) & (at < F.col("stop")))
+    return j.select(*keys, group, F.aggregate("_v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"),
                     F.get("folds", ((at - F.col("first")) % F.size("folds")).cast("int")).alias("fold"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq
-from ..operators import atlas, motifs, ordered, overlap, splits, stats
+from ..operators import atlas, manifest, motifs, ordered, overlap, splits, stats
 from ..sources import ingest, writers
 from . import duck as d
 from .q_atlas import _COMPL, complementary, composition_deltas
@@ -501,19 +501,17 @@ def grp3(t):
 
 _LPT = """g_ AS (SELECT ok, count(*) AS size FROM preds GROUP BY ok),
 o_ AS (SELECT *, row_number() OVER (ORDER BY size DESC, ok) AS i FROM g_),
-f_ AS (SELECT cast(0 AS bigint) AS i, cast(NULL AS bigint) AS ok, cast(NULL AS bigint) AS size, -1 AS fold, [0, 0, 0, 0, 0]::bigint[] AS load
-  UNION ALL SELECT n.i, n.ok, n.size, n.fold, list_transform(f.load, lambda v, j: v + CASE WHEN j = n.fold + 1 THEN n.size ELSE 0 END) FROM
-   (SELECT o_.i, o_.ok, o_.size, list_position(f0.load, list_min(f0.load)) - 1 AS fold FROM f_ f0 JOIN o_ ON o_.i = f0.i + 1) n JOIN f_ f ON n.i = f.i + 1)"""
+f_ AS (SELECT list_reduce(list_prepend({'size': 0::bigint, 'load': [0, 0, 0, 0, 0]::bigint[], 'f': []::bigint[]},
+    list({'size': size, 'load': []::bigint[], 'f': []::bigint[]} ORDER BY i)),
+  lambda s, x: [{'size': x.size, 'load': list_transform(s.load, lambda v, j: v + CASE WHEN j = p THEN x.size ELSE 0 END), 'f': list_append(s.f, p)}
+    FOR p IN [list_position(s.load, list_min(s.load))]][1]).f AS f FROM o_)
+SELECT ok, size, cast(f[i] - 1 AS integer) AS fold FROM o_, f_"""
 
 
-@query("spl1_grouped_folds", "preds", """g_ AS (SELECT ok, count(*) AS size FROM preds GROUP BY ok) SELECT count(*) AS n_groups, cast(sum(size) AS bigint) AS n_rows, true AS balanced, cast(0 AS bigint) AS n_leaked FROM g_""")
+@query("spl1_grouped_folds", "preds", _LPT)
 def spl1(t):
-    """Fold table: all groups placed, loads within one group of each other, and no row with a sibling elsewhere."""
-    folds = splits.grouped_folds(t.preds, "ok")
-    loads = folds.groupBy("fold").agg(F.sum("size").alias("load"), F.count("*").alias("g"), F.max("size").alias("m"))
-    leak = splits.leaked(t.preds.join(folds.select("ok", "fold"), "ok"), "ok", "fold").agg(F.sum("n_leaked").alias("n_leaked"))
-    out = loads.agg(F.sum("g").alias("n_groups"), F.sum("load").alias("n_rows"), (F.max("load") - F.min("load") <= F.max("m")).alias("balanced"))
-    return ordered.attach(out, leak)
+    """Every group with its fold: largest first, each to the lightest fold."""
+    return splits.grouped_folds(t.preds, "ok").select("ok", "size", "fold")
 
 
 @query("spl1_random_leakage", "preds", """
@@ -525,34 +523,75 @@ def spl1_random(t):
     return splits.leaked(t.preds.withColumn("fold", splits.hash_fold(key, 5)), "grp", "fold")
 
 
-@query("spl2_stratified_folds", "preds", "SELECT count(DISTINCT ok) AS n_groups, cast(0 AS bigint) AS n_leaked, true AS class_balance FROM preds")
+def _even(groups, key=""):
+    """Sequential placement by class counts as a fold over the ordered groups; `groups` has [key,] ok, a, b."""
+    by, part = (f"{key}, ", f"PARTITION BY {key} ") if key else ("", "")
+    total = f"GROUP BY {key}" if key else ""
+    return f"""g_ AS ({groups}),
+t_ AS (SELECT {by}greatest(1, sum(a))::hugeint AS ta, greatest(1, sum(b))::hugeint AS tb FROM g_ {total}),
+o_ AS (SELECT *, row_number() OVER ({part}ORDER BY -(2 * (a * a + b * b) - (a + b) * (a + b)), -(a + b), -a, -b, ok) AS i FROM g_),
+f_ AS (SELECT {by}list_reduce(list_prepend({{'a': 0::hugeint, 'b': 0::hugeint, 'la': [0, 0, 0, 0, 0]::hugeint[], 'lb': [0, 0, 0, 0, 0]::hugeint[], 'f': []::bigint[]}},
+    list({{'a': a::hugeint, 'b': b::hugeint, 'la': [ta], 'lb': [tb], 'f': []::bigint[]}} ORDER BY i)),
+  lambda s, x: [{{'a': x.a, 'b': x.b, 'la': list_transform(s.la, lambda v, j: v + CASE WHEN j = p THEN x.a ELSE 0 END),
+      'lb': list_transform(s.lb, lambda v, j: v + CASE WHEN j = p THEN x.b ELSE 0 END), 'f': list_append(s.f, p)}}
+    FOR p IN [list_sort([{{'c': s.la[j] * x.a * x.lb[1] * x.lb[1] + s.lb[j] * x.b * x.la[1] * x.la[1], 'n': s.la[j] + s.lb[j], 'j': j}} FOR j IN range(1, 6)])[1].j]][1]).f AS f
+  FROM o_ {f"JOIN t_ USING ({key})" if key else ", t_"} {total})"""
+
+
+@query("spl2_stratified_folds", "preds", _even("SELECT ok, count_if(y = 0) AS a, count_if(y = 1) AS b FROM preds GROUP BY ok") + """
+SELECT ok, cast(a + b AS bigint) AS size, cast(f[i] - 1 AS integer) AS fold FROM o_, f_""")
 def spl2(t):
-    folds = splits.stratified_folds(t.preds, "ok", "y")
-    placed = t.preds.join(folds.select("ok", "fold"), "ok")
-    share = placed.groupBy("fold").agg(F.avg("y").alias("s")).agg((F.max("s") - F.min("s") < 0.1).alias("class_balance"))
-    leak = splits.leaked(placed, "ok", "fold").agg(F.sum("n_leaked").alias("n_leaked"))
-    n = folds.agg(F.count("*").alias("n_groups"))
-    return ordered.attach(ordered.attach(n, leak), share)
+    """Every group with its fold: placed by class counts, one group after the other."""
+    return splits.stratified_folds(t.preds, "ok", "y").select("ok", "size", "fold")
 
 
-@query("spl3_fold_manifest", "preds", "SELECT head, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, true AS each_held_out_once FROM preds GROUP BY head HAVING count(*) >= 40")
-def spl3(t):
-    """Per head: every row held out exactly once, joined by its own id; heads below the minimum are skipped."""
-    folds = splits.grouped_folds(t.preds, "grp").select("grp", "fold")
-    manifest = t.preds.join(folds, "grp", "left")
-    return manifest.groupBy("head").agg(F.count("*").alias("n_rows"), F.countDistinct("grp").alias("n_groups"),
-                                        F.bool_and(F.col("fold").isNotNull()).alias("each_held_out_once")).where("n_rows >= 40")
+def manifest_rows(preds):
+    """Held-out rows as the manifest sees them: an id each, their group and label."""
+    rid = F.concat_ws(":", *[F.col(c).cast("string") for c in ("ok", "ln", "grp", "y")], F.round(F.col("p") * 1000).cast("bigint").cast("string"), F.round(F.col("y_hat") * 1000).cast("bigint").cast("string"))
+    return preds.select("head", rid.alias("record_id"), F.col("grp").alias("group_id"), "y")
 
 
-@query("spl4_manifest_state", "preds", """
-m_ AS (SELECT head, cast(sum(ok) % 3 AS int) AS a, cast(sum(ln) % 2 AS int) AS b FROM preds GROUP BY head)
-SELECT head, CASE WHEN a = 0 OR b = 0 THEN 'stale' WHEN a = 1 THEN 'historical' ELSE 'reconstructed' END AS state, a = 1 AND b <> 0 AS usable FROM m_""")
+_RID = "concat_ws(':', ok, ln, grp, y, cast(round(p * 1000) AS bigint), cast(round(y_hat * 1000) AS bigint))"
+_DIGEST = """sha256(concat_ws(':', count(*), """ + ", ".join(f"sum(cast('0x' || substr(h, {1 + 15 * i}, 15) AS bigint)::hugeint)" for i in range(4)) + "))"
+
+
+@query("spl3_fold_manifest", "preds", _even("SELECT head, grp AS ok, count_if(y = 0) AS a, count_if(y = 1) AS b FROM preds GROUP BY head, grp", "head") + f""",
+pl_ AS (SELECT head, ok AS grp, cast(f[i] - 1 AS integer) AS fold FROM o_ JOIN f_ USING (head)),
+m_ AS (SELECT head, {_RID} AS record_id, grp, fold, y FROM preds JOIN pl_ USING (head, grp)),
+d_ AS (SELECT head, {_DIGEST} AS rows_fingerprint, count(*) AS n_rows FROM (SELECT head, sha256(concat_ws(chr(31), record_id, grp, fold)) AS h FROM m_) GROUP BY head)
+SELECT head, fold, count(*) AS n, count(DISTINCT grp) AS n_groups, cast(sum(y) AS bigint) AS n_positive, any_value(rows_fingerprint) AS assignments_fingerprint
+FROM m_ JOIN d_ USING (head) WHERE n_rows >= 40 GROUP BY head, fold""")
+def spl3(t):
+    """The manifest of every head as written and read back: rows, groups and positives per fold, and its digest."""
+    rows = manifest_rows(t.preds)
+    path = manifest.scratch(t.spark, "manifest")
+    manifest.write(*manifest.build(rows, "y"), path)
+    held, _ = manifest.read(t.spark, path)
+    digest = manifest.fingerprints(held, "head", ["record_id", "group_id", "fold"]).select("head", F.col("fingerprint").alias("assignments_fingerprint"))
+    labels = rows.select("head", "record_id", "y").distinct()  # the id holds the label
+    per = held.join(labels, ["head", "record_id"]).groupBy("head", "fold").agg(
+        F.count("*").alias("n"), F.countDistinct("group_id").alias("n_groups"), F.sum("y").cast("bigint").alias("n_positive"))
+    return per.join(digest, "head")
+
+
+_LATER = "SELECT * EXCLUDE y, CASE WHEN head = 'head1' AND ok = (SELECT min(ok) FROM preds WHERE head = 'head1') THEN 1 - y ELSE y END AS y FROM preds"
+
+
+@query("spl4_manifest_state", "preds", f"""
+a_ AS (SELECT head, {_DIGEST} AS fp FROM (SELECT head, sha256({_RID}) AS h FROM preds) GROUP BY head),
+c_ AS (SELECT head, {_DIGEST} AS fp FROM (SELECT head, sha256({_RID}) AS h FROM ({_LATER})) GROUP BY head)
+SELECT c_.head, c_.fp AS rows_fingerprint, CASE WHEN c_.head = 'head3' THEN 'missing' WHEN a_.fp <> c_.fp OR c_.head = 'head2' THEN 'stale' ELSE 'historical' END AS state,
+  c_.head <> 'head3' AND a_.fp = c_.fp AS rows_match, c_.head NOT IN ('head2', 'head3') AS split_unchanged, a_.fp = c_.fp AND c_.head NOT IN ('head2', 'head3') AS usable
+FROM c_ JOIN a_ USING (head)""")
 def spl4(t):
-    """Manifest state from fingerprints: unmatched rows or split version make it stale whatever it claims; the gate fails closed."""
-    m = t.preds.groupBy("head").agg((F.sum("ok") % 3).alias("a"), (F.sum("ln") % 2).alias("b"))
-    m = m.select("head", (F.col("a") != 0).alias("rows_match"), (F.col("b") != 0).alias("split_unchanged"), F.when(F.col("a") == 1, "historical").otherwise("reconstructed").alias("claimed"))
-    state = F.when(~(F.col("rows_match") & F.col("split_unchanged")), "stale").otherwise(F.col("claimed"))
-    return m.select("head", state.alias("state"), (state == "historical").alias("usable"))
+    """Manifests recorded before one row of one head changed; one was split by other code and one was never written."""
+    rows = manifest_rows(t.preds)
+    _, meta = manifest.build(rows.where("head <> 'head3'"), "y", provenance="historical")
+    meta = meta.withColumn("split_code", F.when(F.col("head") == "head2", "other").otherwise(F.col("split_code")))
+    first = t.preds.where("head = 'head1'").agg(F.min("ok").alias("first"))
+    later = ordered.attach(t.preds, first).withColumn("y", F.when((F.col("head") == "head1") & (F.col("ok") == F.col("first")), 1 - F.col("y")).otherwise(F.col("y")))
+    now = manifest.fingerprints(manifest_rows(later), "head", ["record_id"])
+    return manifest.states(meta, now).select("head", "rows_fingerprint", "state", "rows_match", "split_unchanged", "usable")
 
 
 @query("spl5_chromosome_holdout", "genome", """
