@@ -6,7 +6,8 @@ and hot values cost one row, and nothing is gathered.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -204,3 +205,175 @@ def clustered_ols(df: DataFrame, y: str, terms, cluster: str):
 def dummies(column: str, levels, prefix=None):
     """Indicator columns for the given levels (the reference level left out by the caller)."""
     return {f"{prefix or column}_{v}": (F.col(column) == v).cast("double") for v in levels}
+
+
+# ------------------------------------------- designs summed in tasks, several keys at once
+def gram(df: DataFrame, key: str, columns, weights=None):
+    """{key: sum over rows of w * x x'}: each task sends one number per key and cell, whatever its rows.
+
+    columns: the names of x. weights: optional name of w.
+    """
+    k = len(columns)
+
+    def work(batches):
+        held = {}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)], axis=1) if batch.num_rows else np.zeros((0, k))
+            w = batch.column(k + 1).to_numpy(zero_copy_only=False) if weights else None
+            for name in set(names):
+                at = names == name
+                left = x[at] * w[at][:, None] if weights else x[at]
+                held[name] = held.get(name, 0) + left.T @ x[at]
+        for name, m in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (k * k)), pa.array(np.arange(k * k)), pa.array(m.ravel())], names=["key", "cell", "v"])
+
+    given = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double") for c in columns], *([F.col(weights).cast("double")] if weights else []))
+    sums = given.mapInArrow(work, "key string, cell long, v double").groupBy("key", "cell").agg(F.sum("v").alias("v")).collect()  # keys x k x k
+    out = {}
+    for r in sums:
+        out.setdefault(r["key"], np.zeros(k * k))[r["cell"]] = r["v"]
+    return {name: m.reshape(k, k) for name, m in out.items()}
+
+
+def nested_r2(m, models):
+    """R2 of several models out of one Gram matrix whose first column is the intercept and whose last is the outcome.
+
+    models: {name: places of its columns}; the intercept is always in.
+    """
+    n, total = m[0, 0], m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    out = {}
+    for name, places in models.items():
+        at = [0, *places]
+        beta = np.linalg.lstsq(m[np.ix_(at, at)], m[at, -1], rcond=1e-12)[0]
+        out[name] = float(1 - (m[-1, -1] - beta @ m[at, -1]) / total) if n and total > 0 else None
+    return out
+
+
+def _sandwich(df, key, cluster, columns, residual, bread, n):
+    """{key: cluster-robust covariance}: scores are summed per cluster, then their products per key."""
+    per = df.groupBy(key, cluster).agg(*[F.sum(F.col(c) * residual).alias(c) for c in columns])
+    meat, groups = gram(per, key, columns), {str(r[key]): r["g"] for r in per.groupBy(key).agg(F.count("*").alias("g")).collect()}
+    out = {}
+    for name, b in bread.items():
+        g, k = groups[name], np.linalg.matrix_rank(b)
+        out[name] = (g / (g - 1) * (n[name] - 1) / (n[name] - k) * b @ meat[name] @ b, g)
+    return out
+
+
+def _linear(key, columns, beta):
+    """The fitted x'b of every row, with the coefficients of its key as literals."""
+    value = F.lit(None).cast("double")
+    for name, b in beta.items():
+        value = F.when(F.col(key).cast("string") == name, sum((F.col(c) * float(v) for c, v in zip(columns, b)), F.lit(0.0))).otherwise(value)
+    return value
+
+
+def clustered_linear(df: DataFrame, key: str, y: str, columns, cluster: str):
+    """Per key OLS on columns (give the intercept as one of them): {key: (coefficients, covariance, n, clusters, gram)}."""
+    m = gram(df, key, [*columns, y])
+    beta = {name: np.linalg.pinv(g[:-1, :-1]) @ g[:-1, -1] for name, g in m.items()}
+    bread = {name: np.linalg.pinv(g[:-1, :-1]) for name, g in m.items()}
+    n = {name: g[0, 0] for name, g in m.items()}
+    cov = _sandwich(df, key, cluster, columns, F.col(y) - _linear(key, columns, beta), bread, n)
+    return {name: (beta[name], *cov[name], int(n[name]), m[name]) for name in m}
+
+
+def clustered_logit(df: DataFrame, key: str, y: str, columns, cluster: str, passes: int = 30, tolerance: float = 1e-10):
+    """Per key logistic regression by reweighted least squares over rows: {key: (coefficients, covariance, clusters, n, converged)}.
+
+    Each pass sums one weighted Gram matrix in the tasks. Columns without variation in a key get a zero coefficient.
+    """
+    beta = {str(r[0]): np.zeros(len(columns)) for r in df.select(key).distinct().collect()}  # the keys are few
+    settled, m, w = dict.fromkeys(beta, False), {}, {}
+    for _ in range(passes):
+        eta = F.greatest(F.least(_linear(key, columns, beta), F.lit(30.0)), F.lit(-30.0))
+        p = 1 / (1 + F.exp(-eta))
+        x = df.withColumn("_w", p * (1 - p)).withColumn("_z", eta + (F.col(y) - p) / F.col("_w"))
+        m = gram(x, key, [*columns, "_z"], "_w")
+        for name, g in m.items():
+            new = np.linalg.pinv(g[:-1, :-1], rcond=1e-12) @ g[:-1, -1]
+            settled[name] = bool(np.abs(new - beta[name]).max() < tolerance)
+            beta[name] = new
+        if all(settled.values()):
+            break
+    counts = {str(r[key]): r["n"] for r in df.groupBy(key).agg(F.count("*").alias("n")).collect()}
+    p = 1 / (1 + F.exp(-_linear(key, columns, beta)))
+    bread = {name: np.linalg.pinv(g[:-1, :-1], rcond=1e-12) for name, g in m.items()}
+    cov = _sandwich(df, key, cluster, columns, F.col(y) - p, bread, counts)
+    return {name: (beta[name], *cov[name], counts[name], settled[name]) for name in beta}
+
+
+# ------------------------------------------------------------- benchmark table
+def benchmark_table(df: DataFrame, keys, group: str, y: str, p: str, replicates: int = 200, seed: int = 0, bins: int = 100) -> DataFrame:
+    """AUROC, AUPRC, Brier score, calibration error and accuracy per key with percentile intervals over whole groups.
+
+    Every group becomes one mergeable sketch: counts of rows and positives per score bin, and sums of score and of its
+    square. A replicate weighs groups by a hash of (group, replicate) and adds sketches, so rows are read once; scores
+    are cut into `bins` equal bins between 0 and 1, and rows of one bin count as ties.
+    """
+    keys = list(keys)
+    cell = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("_b", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int"))
+    cells = cell.groupBy(*keys, group, "_b").agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"), F.sum(p).alias("s1"), F.sum(F.col(p) * F.col(p)).alias("s2"),
+        F.sum(F.col(p) * F.col(y)).alias("sy"), F.sum(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("double")).alias("right"))
+    reps = F.sequence(F.lit(-1), F.lit(replicates - 1))  # -1: every group once
+    draws = cells.select(*keys, group).distinct().withColumn("rep", F.explode(reps)).withColumn(
+        "w", F.when(F.col("rep") < 0, 1).otherwise(poisson_one(hashed_uniform(F.col(group), F.col("rep"), F.lit(seed)))).cast("double")).where("w > 0")
+    sums = ["n", "pos", "s1", "s2", "sy", "right"]
+    merged = cells.join(draws, [*keys, group]).groupBy(*keys, "rep", "_b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums])
+    over = Window.partitionBy(*keys, "rep").orderBy(F.desc("_b"))  # at most `bins` rows
+    up = merged.withColumns({"above": F.sum("n").over(over), "hits": F.sum("pos").over(over)})
+    tenth = F.least(F.floor(F.col("_b") * 10 / bins), F.lit(9))
+    ten = merged.groupBy(*keys, "rep", tenth.alias("_t")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "s1")])
+    ece = ten.groupBy(*keys, "rep").agg((F.sum(F.abs(F.col("pos") - F.col("s1"))) / F.sum("n")).alias("ece"))
+    neg = F.col("n") - F.col("pos")
+    total_pos, total = F.sum("pos"), F.sum("n")
+    wins = F.sum(neg * (F.col("hits") - F.col("pos") / 2))  # positives at or above, ties half
+    per = up.groupBy(*keys, "rep").agg(
+        F.try_divide(wins, total_pos * (total - total_pos)).alias("auroc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("hits") / F.col("above")), total_pos).alias("auprc"),
+        ((F.sum("s2") - 2 * F.sum("sy") + total_pos) / total).alias("brier"), (F.sum("right") / total).alias("accuracy"),
+        total.cast("bigint").alias("n")).join(ece, [*keys, "rep"])
+    return _with_intervals(per, keys, ["auroc", "auprc", "brier", "ece", "accuracy"])
+
+
+def benchmark_values(df: DataFrame, keys, group: str, y: str, p: str, replicates: int = 200, seed: int = 0, bins: int = 32) -> DataFrame:
+    """MAE, R2 and Spearman correlation per key with percentile intervals over whole groups, from mergeable sketches.
+
+    A group becomes counts on a grid of `bins` by `bins` cells between the extremes of its key, and sums; ranks are those
+    of the cells, rows of one cell line count as ties.
+    """
+    keys = list(keys)
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    edges = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in (y, p) for n, f in (("lo", F.min), ("hi", F.max))])
+    place = lambda c: F.least(F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(f"_lo{c}")) * bins, F.col(f"_hi{c}") - F.col(f"_lo{c}")), F.lit(0.0))), F.lit(bins - 1)).cast("int")
+    e = F.col(p) - F.col(y)
+    cells = df.join(F.broadcast(edges), keys).groupBy(*keys, group, place(p).alias("_i"), place(y).alias("_j")).agg(  # a row per key
+        F.count("*").cast("double").alias("n"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    draws = cells.select(*keys, group).distinct().withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn(
+        "w", F.when(F.col("rep") < 0, 1).otherwise(poisson_one(hashed_uniform(F.col(group), F.col("rep"), F.lit(seed)))).cast("double")).where("w > 0")
+    merged = cells.join(draws, [*keys, group]).groupBy(*keys, "rep", "_i", "_j").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "ae", "se", "sy", "syy")])
+
+    def midrank(line, name):
+        before = Window.partitionBy(*keys, "rep").orderBy(line).rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows
+        return merged.groupBy(*keys, "rep", line).agg(F.sum("n").alias("m")).select(
+            *keys, "rep", line, (F.coalesce(F.sum("m").over(before), F.lit(0.0)) + F.col("m") / 2).alias(name))
+
+    j = merged.join(midrank("_i", "ri"), [*keys, "rep", "_i"]).join(midrank("_j", "rj"), [*keys, "rep", "_j"])
+    n, s = F.sum("n"), lambda c: F.sum(F.col("n") * c)
+    ri, rj = F.col("ri"), F.col("rj")
+    cov, vi, vj = s(ri * rj) - s(ri) * s(rj) / n, s(ri * ri) - s(ri) * s(ri) / n, s(rj * rj) - s(rj) * s(rj) / n
+    per = j.groupBy(*keys, "rep").agg(
+        (F.sum("ae") / n).alias("mae"), (1 - F.try_divide(F.sum("se"), F.sum("syy") - F.sum("sy") * F.sum("sy") / n)).alias("r2"),
+        F.try_divide(cov, F.sqrt(vi * vj)).alias("spearman"), n.cast("bigint").alias("n"))
+    return _with_intervals(per, keys, ["mae", "r2", "spearman"])
+
+
+def _with_intervals(per: DataFrame, keys, metrics) -> DataFrame:
+    """(*keys, metric, n, value, ci_low, ci_high) from one row per replicate; replicate -1 is the table itself."""
+    long = per.select(*keys, "rep", "n", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])))
+    q = F.percentile(F.when(F.col("rep") >= 0, F.col("v")), F.array(F.lit(0.025), F.lit(0.975)))  # one value per replicate
+    return long.groupBy(*keys, "metric").agg(
+        F.max(F.when(F.col("rep") < 0, F.col("n"))).alias("n"), F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("value"),
+        q.alias("_q")).select(*keys, "metric", "n", "value", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))

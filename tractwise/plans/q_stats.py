@@ -1,5 +1,7 @@
 """Evaluation metrics, tests, models and bootstrap over held-out predictions and scored variants."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import condition, seq, thermo
@@ -260,40 +262,181 @@ def st14_medians(t):
     return ordered.exact_quantiles(df, "abs_avi", [0.5], ["kind", "cpg"]).select("kind", "cpg", F.col("total").alias("n"), r6("q0").alias("median_abs"))
 
 
-@query("st14_variance_explained", "snvs", SCORED + _PCT + """,
-a_ AS (SELECT kind, cls, count(*) AS n, avg(pct) AS m FROM pc_ GROUP BY ALL), b_ AS (SELECT kind, var_pop(pct) AS v, avg(pct) AS m, count(*) AS n FROM pc_ GROUP BY kind)
-SELECT a_.kind, round(sum(a_.n * power(a_.m - b_.m, 2)) / any_value(b_.v * b_.n), 6) AS r2_class FROM a_ JOIN b_ ON a_.kind = b_.kind GROUP BY a_.kind""")
+# fixed values: substitution classes and effect classes in the order in which a reference level is chosen
+SUBSTS = ["C>A", "C>G", "C>T", "T>A", "T>C", "T>G"]
+CLASSES = ["motif_lost", "destabilising", "moderate", "neutral", "stabilising", "flank", "control"]
+LEAST_LEVEL, LEAST_REFERENCE, LEAST_EVENTS = 200, 100, 50
+
+
+def design(df, chroms=()):
+    """Indicator columns for every class, substitution and chromosome, and the intercept; returns (DataFrame, names by block)."""
+    made = {"one": F.lit(1.0)} | {f"c_{c}": (F.col("cls") == c) for c in CLASSES} | {f"s_{i}": (F.col("subst") == x) for i, x in enumerate(SUBSTS)} | {
+        f"h_{c}": (F.col("chrom") == c) for c in chroms}
+    blocks = {"cls": [f"c_{c}" for c in CLASSES], "subst": [f"s_{i}" for i in range(len(SUBSTS))], "chrom": [f"h_{c}" for c in chroms]}
+    return df.withColumns({n: c.cast("double") for n, c in made.items()}), blocks
+
+
+def large_levels(df):
+    """(kind, subst) of at least LEAST_LEVEL flank rows."""
+    return df.where("cls = 'flank'").groupBy("kind", "subst").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_LEVEL).select("kind", "subst")
+
+
+def _reduced(source, width, cols):
+    """SQL Gauss-Jordan elimination of the matrices in `source` (kind, m: rows of width + 1 + cols numbers); columns without a pivot are skipped."""
+    return f"""list_reduce(list_prepend({{'p': 0::bigint, 'r': 0::bigint, 'm': m}}, list_transform(range(1, {width + 1}), lambda q: {{'p': q::bigint, 'r': 0::bigint, 'm': []::double[][]}})),
+   lambda a, b: CASE WHEN abs(a.m[b.p][b.p]) < 1e-7 THEN {{'p': b.p, 'r': a.r, 'm': a.m}} ELSE
+     {{'p': b.p, 'r': a.r + 1, 'm': list_transform(a.m, lambda row, i: CASE WHEN i = b.p THEN list_transform(row, lambda v: v / a.m[b.p][b.p])
+        ELSE list_transform(row, lambda v, j: v - row[b.p] * a.m[b.p][j] / a.m[b.p][b.p]) END)}} END)"""
+
+
+def _gram_sql(rows, x):
+    """Gram matrices of the arrays x (outcome last) per kind, as a list of lists."""
+    return f"""x_ AS (SELECT kind, motif_id, {x} AS x FROM {rows}),
+gij_ AS (SELECT kind, i, j, sum(x[i] * x[j]) AS v FROM x_, range(1, len(x) + 1) a(i), range(1, len(x) + 1) b(j) GROUP BY ALL),
+gm_ AS (SELECT kind, list(r ORDER BY i) AS g FROM (SELECT kind, i, list(v ORDER BY j) AS r FROM gij_ GROUP BY kind, i) GROUP BY kind)"""
+
+
+def _r2_sql(name, places, y):
+    at = "[" + ", ".join(map(str, places)) + "]"
+    w = len(places)
+    return f"""{name}_ AS (SELECT kind, g[{y}][{y}] AS yy, g[1][{y}] * g[1][{y}] / g[1][1] AS y2, [g[i][{y}] FOR i IN {at}] AS c, {_reduced('', w, 0)}.m AS s
+  FROM (SELECT kind, g, [[g[i][j] FOR j IN list_append({at}, {y})] FOR i IN {at}] AS m FROM gm_)),
+{name}v_ AS (SELECT kind, 1 - (yy - list_sum(list_transform(c, lambda v, i: CASE WHEN abs(s[i][i] - 1) < 1e-6 THEN v * s[i][{w + 1}] ELSE 0 END))) / (yy - y2) AS r2 FROM {name}_)"""
+
+
+_X14 = ("list_concat([1.0::double], [(cls = c)::int::double FOR c IN [" + ", ".join(f"'{c}'" for c in CLASSES) + "]], [(subst = c)::int::double FOR c IN ["
+        + ", ".join(f"'{c}'" for c in SUBSTS) + "]], [cpg::double, pct])")
+_C, _S, _P, _Y = list(range(2, 9)), list(range(9, 15)), 15, 16
+
+
+@query("st14_variance_explained", "snvs", SCORED + _PCT + f""",
+lv_ AS (SELECT kind, subst FROM pc_ WHERE cls = 'flank' GROUP BY ALL HAVING count(*) >= {LEAST_LEVEL}),
+in_rows AS (SELECT * FROM pc_ WHERE cls <> 'other' AND (kind, subst) IN (SELECT (kind, subst) FROM lv_)),
+{_gram_sql("in_rows", _X14)},
+{_r2_sql("cl", [1, *_C], _Y)}, {_r2_sql("co", [1, *_S, _P], _Y)}, {_r2_sql("bo", [1, *_C, *_S, _P], _Y)}
+SELECT gm_.kind, cast(round(g[1][1]) AS bigint) AS n, round(clv_.r2, 6) AS motif_class, round(cov_.r2, 6) AS cpg_plus_subst, round(bov_.r2, 6) AS both_ FROM gm_ JOIN clv_ USING (kind) JOIN cov_ USING (kind) JOIN bov_ USING (kind)""")
 def st14_r2(t):
-    """R2 of the class-only model, by the same solver the larger models use."""
-    df, out = ranked_rows(t).persist(), []
-    levels = sorted(r[0] for r in df.select("cls").distinct().collect())  # class names
-    for kind in ("G4", "iM"):
-        _, info = stats.clustered_ols(df.where(F.col("kind") == kind), "pct", stats.dummies("cls", levels[1:]), "motif_id")
-        out.append((kind, round(info["r2"], 6)))
-    df.unpersist()
-    return t.spark.createDataFrame(out, "kind string, r2_class double")
+    """R2 of composition, of motif class and of both, out of one Gram matrix of the joint design."""
+    df = ranked_rows(t).where("cls <> 'other'")
+    x, blocks = design(df.join(large_levels(df), ["kind", "subst"], "left_semi").withColumn("cpg_", F.col("cpg").cast("double")))
+    columns = ["one", *blocks["cls"], *blocks["subst"], "cpg_", "pct"]
+    place = {c: i for i, c in enumerate(columns)}
+    c, s = [place[n] for n in blocks["cls"]], [place[n] for n in blocks["subst"]] + [place["cpg_"]]
+    out = []
+    for kind, m in sorted(stats.gram(x, "kind", columns).items()):
+        r2 = stats.nested_r2(m, {"motif_class": c, "cpg_plus_subst": s, "both_": [*c, *s]})
+        out.append((kind, int(round(m[0, 0])), *[round(r2[n], 6) for n in ("motif_class", "cpg_plus_subst", "both_")]))
+    return t.spark.createDataFrame(out, "kind string, n bigint, motif_class double, cpg_plus_subst double, both_ double")
+
+
+@query("st14_substitution_contrasts", "snvs", SCORED + _PCT + f""",
+f_ AS (SELECT * FROM pc_ WHERE cls = 'flank'),
+l_ AS (SELECT kind, subst, count(*) AS n, avg(pct) AS m FROM f_ GROUP BY ALL HAVING count(*) >= {LEAST_LEVEL}),
+k_ AS (SELECT *, first_value(subst) OVER w AS ref, first_value(m) OVER w AS mr, first_value(n) OVER w AS nr, count(*) OVER (PARTITION BY kind) AS levels, sum(n) OVER (PARTITION BY kind) AS total
+  FROM l_ WINDOW w AS (PARTITION BY kind ORDER BY subst)),
+s_ AS (SELECT f_.kind, motif_id, f_.subst, sum(pct - m) AS s FROM f_ JOIN l_ ON f_.kind = l_.kind AND f_.subst = l_.subst GROUP BY ALL),
+g_ AS (SELECT kind, count(DISTINCT motif_id) AS g FROM s_ GROUP BY kind),
+v_ AS (SELECT k_.kind, k_.subst, sum(power(d, 2)) AS v FROM k_ JOIN (SELECT k.kind, k.subst, motif_id, sum(CASE WHEN s_.subst = k.subst THEN s / k.n ELSE -s / k.nr END) AS d FROM k_ k JOIN s_ ON s_.kind = k.kind AND s_.subst IN (k.subst, k.ref) GROUP BY ALL) x ON x.kind = k_.kind AND x.subst = k_.subst GROUP BY ALL)
+SELECT kind, subst, ref AS reference, n, round(m - mr, 6) AS delta, round(sqrt(v * g / (g - 1.0::double) * (total - 1.0::double) / (total - levels)), 6) AS se
+FROM k_ JOIN v_ USING (kind, subst) JOIN g_ USING (kind) WHERE subst <> ref""")
+def st14_subst(t):
+    """Percentile shift of each substitution against the first one, on flank rows, clustered by motif; levels of 200 rows or more."""
+    df = ranked_rows(t)
+    levels = large_levels(df)
+    x, blocks = design(df.where("cls = 'flank'").join(levels, ["kind", "subst"], "left_semi"))
+    counts = {(r["kind"], r["subst"]): r["n"] for r in x.groupBy("kind", "subst").agg(F.count("*").alias("n")).collect()}  # kinds x six
+    out = []
+    for kind in sorted({k for k, _ in counts}):
+        present = [s for s in SUBSTS if (kind, s) in counts]
+        names = ["one", *[f"s_{SUBSTS.index(s)}" for s in present[1:]]]
+        beta, cov, *_ = stats.clustered_linear(x.where(F.col("kind") == kind), "kind", "pct", names, "motif_id")[kind]
+        out += [(kind, s, present[0], counts[kind, s], round(float(beta[i + 1]), 6), round(float(cov[i + 1, i + 1]) ** 0.5, 6)) for i, s in enumerate(present[1:])]
+    return t.spark.createDataFrame(out, "kind string, subst string, reference string, n bigint, delta double, se double")
+
+
+def adjusted(t, df, y, how):
+    """Models of y on class, substitution, CpG, GC and chromosome per kind: (kind, reference, names, beta, cov) for the classes that have rows.
+
+    The reference class is the flank where it has more than LEAST_REFERENCE rows, else the control.
+    """
+    chroms = sorted(r[0] for r in df.select("chrom").distinct().collect())  # chromosome names
+    x, _ = design(df.withColumn("cpg_", F.col("cpg").cast("double")), chroms)
+    found = {}
+    for r in x.groupBy("kind", "cls", "subst").agg(F.count("*").alias("n")).collect():  # kinds x classes x substitutions
+        k = found.setdefault(r["kind"], ({}, set()))
+        k[0][r["cls"]] = k[0].get(r["cls"], 0) + r["n"]
+        k[1].add(r["subst"])
+    x = x.persist()  # every pass of a fit reads the same rows
+    for kind, (classes, substs) in sorted(found.items()):
+        present = [c for c in CLASSES if c in classes]
+        base = "flank" if classes.get("flank", 0) > LEAST_REFERENCE else "control" if "control" in classes else present[-1]
+        names = ["one", *[f"c_{c}" for c in present if c != base], *[f"s_{SUBSTS.index(s)}" for s in SUBSTS if s in substs][1:], "cpg_", "gc", *[f"h_{c}" for c in chroms[1:]]]
+        fit = how(x.where(F.col("kind") == kind), "kind", y, names, "motif_id")
+        yield kind, base, names, fit.get(kind)
+    x.unpersist()
+
+
+_XEQ = ("list_concat([1.0::double], [(cls = c)::int::double FOR c IN [" + ", ".join(f"'{c}'" for c in CLASSES) + "]], [(subst = c)::int::double FOR c IN ["
+        + ", ".join(f"'{c}'" for c in SUBSTS) + "]], [(chrom = c)::int::double FOR c IN ['chr1', 'chr2', 'chr3', 'chr4', 'chr5']], [cpg::double, gc, pct])")
+_WEQ = 1 + len(CLASSES) + len(SUBSTS) + 5 + 2
+
+
+@query("st14_equivalence_bound", "snvs", SCORED + _PCT + f""",
+in_rows AS (SELECT * FROM pc_ WHERE cls <> 'other' AND kind IN (SELECT kind FROM pc_ WHERE cls = 'flank' GROUP BY kind HAVING count(*) > {LEAST_REFERENCE})),
+{_gram_sql("in_rows", _XEQ)},
+so_ AS (SELECT kind, g, {_reduced('', _WEQ, 2)} AS s FROM (SELECT kind, g, [[CASE WHEN j <= {_WEQ} THEN g[i][j] WHEN j = {_WEQ} + 1 THEN g[i][{_WEQ} + 1] WHEN i = 2 THEN 1 WHEN i = 7 THEN -1 ELSE 0 END
+     FOR j IN range(1, {_WEQ} + 3)] FOR i IN range(1, {_WEQ} + 1)] AS m FROM gm_)),
+bz_ AS (SELECT kind, g[1][1] AS n, s.r AS rank, [CASE WHEN abs(s.m[i][i] - 1) < 1e-6 THEN s.m[i][{_WEQ} + 1] ELSE 0 END FOR i IN range(1, {_WEQ} + 1)] AS b,
+     [CASE WHEN abs(s.m[i][i] - 1) < 1e-6 THEN s.m[i][{_WEQ} + 2] ELSE 0 END FOR i IN range(1, {_WEQ} + 1)] AS z FROM so_),
+t_ AS (SELECT kind, motif_id, sum((x[{_WEQ} + 1] - list_dot_product(b, x[1:{_WEQ}])) * list_dot_product(z, x[1:{_WEQ}])) AS t FROM x_ JOIN bz_ USING (kind) GROUP BY ALL),
+v_ AS (SELECT kind, b[2] - b[7] AS delta, sqrt(sum(t * t) * count(*) / (count(*) - 1.0::double) * (n - 1) / (n - rank)) AS se, count(*) AS g FROM t_ JOIN bz_ USING (kind) GROUP BY kind, b, n, rank)
+SELECT kind, 'flank' AS reference, g AS n_clusters, round(delta, 6) AS delta, round(delta - 1.959963984540054 * se, 6) AS ci_low, round(delta + 1.959963984540054 * se, 6) AS ci_high,
+  round(100 * greatest(abs(delta - 1.959963984540054 * se), abs(delta + 1.959963984540054 * se)), 3) AS largest_effect_points FROM v_""")
+def st14_equivalence(t):
+    """The largest percentile shift that losing the motif can have, by the interval of the adjusted model clustered by motif."""
+    out = []
+    for kind, base, names, fit in adjusted(t, ranked_rows(t).where("cls <> 'other'"), "pct", stats.clustered_linear):
+        if fit is None or base != "flank" or "c_motif_lost" not in names:
+            continue
+        i, (beta, cov, groups, *_) = names.index("c_motif_lost"), fit
+        half = Z95 * float(cov[i, i]) ** 0.5
+        low, high = float(beta[i]) - half, float(beta[i]) + half
+        out.append((kind, base, groups, round(float(beta[i]), 6), round(low, 6), round(high, 6), round(100 * max(abs(low), abs(high)), 3)))
+    return t.spark.createDataFrame(out, "kind string, reference string, n_clusters bigint, delta double, ci_low double, ci_high double, largest_effect_points double")
+
+
+Z95 = 1.959963984540054  # fixed value: 97.5 % quantile of the normal distribution
 
 
 @query("st13_adjusted_logit", "snvs")
 def st13(t):
-    """Adjusted logit of top-1 % membership on covariate cells; skipped per kind below 50 events."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    df = with_top(scored(t)).where("cls <> 'other'").persist()  # several passes over the same rows
-    events = {r["kind"]: r["e"] for r in df.groupBy("kind").agg(F.sum("top1").alias("e")).collect()}  # two kinds
+    """Odds ratios of top-1 % membership per class, adjusted and clustered by motif; kinds below fifty events are left out."""
+    df = with_top(scored(t)).where("cls <> 'other'")
+    enough = df.groupBy("kind").agg(F.sum("top1").alias("e")).where(F.col("e") >= LEAST_EVENTS).select("kind")
     out = []
-    for kind in ("G4", "iM"):
-        if events.get(kind, 0) < 50:
-            continue
-        cells = df.where(F.col("kind") == kind).groupBy("cls", "subst", "cpg", "gc", "chrom", "top1").agg(F.count("*").cast("double").alias("w"))
-        levels = lambda c: sorted(r[0] for r in df.select(c).distinct().collect())  # short name lists
-        terms = stats.dummies("cls", [c for c in levels("cls") if c != "flank"]) | stats.dummies("subst", levels("subst")[1:]) | {
-            "cpg": F.col("cpg").cast("double"), "gc": F.col("gc")} | stats.dummies("chrom", levels("chrom")[1:])
-        x = VectorAssembler(inputCols=list(terms), outputCol="x").transform(cells.select("top1", "w", *[c.alias(n) for n, c in terms.items()]))
-        fit = GeneralizedLinearRegression(family="binomial", labelCol="top1", featuresCol="x", weightCol="w", maxIter=25).fit(x)
-        out += [(kind, n, float(b)) for n, b in zip(terms, fit.coefficients) if n.startswith("cls_")]
-    df.unpersist()
-    return t.spark.createDataFrame(out, "kind string, term string, log_odds double")
+    for kind, base, names, fit in adjusted(t, df.join(F.broadcast(enough), "kind", "left_semi"), "top1", stats.clustered_logit):  # two kinds
+        beta, cov, groups, n, settled = fit
+        for i, name in enumerate(names):
+            if name.startswith("c_"):
+                b, half = float(beta[i]), Z95 * float(cov[i, i]) ** 0.5
+                out.append((kind, base, name[2:], n, groups, settled, b, math.exp(b), math.exp(b - half), math.exp(b + half)))
+    return t.spark.createDataFrame(out, "kind string, reference string, term string, n bigint, n_clusters bigint, converged boolean, log_odds double, odds_ratio double, ci_low double, ci_high double")
+
+
+@query("st13_class_logit", "snvs", SCORED + TOP + f""",
+k_ AS (SELECT kind FROM tp_ WHERE cls IN ('motif_lost', 'flank') GROUP BY kind HAVING sum(top1) >= {LEAST_EVENTS}),
+r_ AS (SELECT kind, motif_id, cls = 'motif_lost' AS a, top1 FROM tp_ WHERE cls IN ('motif_lost', 'flank') AND kind IN (SELECT kind FROM k_)),
+p_ AS (SELECT kind, avg(top1) FILTER (a) AS p1, avg(top1) FILTER (NOT a) AS p0, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n0, count(DISTINCT motif_id) AS g FROM r_ GROUP BY kind),
+s_ AS (SELECT r_.kind, motif_id, sum(CASE WHEN a THEN (top1 - p1) / (n1 * p1 * (1 - p1)) ELSE -(top1 - p0) / (n0 * p0 * (1 - p0)) END) AS s FROM r_ JOIN p_ USING (kind) GROUP BY ALL)
+SELECT kind, n0 + n1 AS n, g AS n_clusters, round(any_value(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))), 6) AS log_odds,
+  round(sqrt(sum(s * s) * g / (g - 1.0::double) * (n0 + n1 - 1.0::double) / (n0 + n1 - 2)), 6) AS se FROM s_ JOIN p_ USING (kind) GROUP BY kind, n0, n1, g""")
+def st13_class(t):
+    """The same fit with the class alone, whose coefficient and clustered error have a closed form."""
+    df = with_top(scored(t)).where("cls IN ('motif_lost', 'flank')").withColumns({"one": F.lit(1.0), "lost": (F.col("cls") == "motif_lost").cast("double")})
+    enough = df.groupBy("kind").agg(F.sum("top1").alias("e")).where(F.col("e") >= LEAST_EVENTS).select("kind")
+    fits = stats.clustered_logit(df.join(F.broadcast(enough), "kind", "left_semi").persist(), "kind", "top1", ["one", "lost"], "motif_id")  # two kinds
+    out = [(kind, n, g, round(float(b[1]), 6), round(float(cov[1, 1]) ** 0.5, 6)) for kind, (b, cov, g, n, _) in sorted(fits.items())]
+    return t.spark.createDataFrame(out, "kind string, n bigint, n_clusters bigint, log_odds double, se double")
 
 
 _CAL = f"""x_ AS (SELECT kind, tm, sequence, k + na + li_nh4 AS mono, mg, coalesce(ph, 7) AS ph, crowder_pct AS cr FROM records WHERE tm IS NOT NULL AND evidence_tier = 'experimental'),
@@ -351,14 +494,49 @@ def st17(t):
     return auc.join(ece, "head")
 
 
-@query("st18_benchmark_table", "preds", _AUC + """,
-a_ AS (SELECT head AS tool, 'AUROC' AS metric, (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS v, count(*) AS n FROM r_ GROUP BY head),
-b_ AS (SELECT head AS tool, 'MAE' AS metric, avg(abs(y_hat - y_real)) AS v, count(*) AS n FROM preds GROUP BY head)
-SELECT tool, metric, round(v, 4) AS value, n FROM (SELECT * FROM a_ UNION ALL SELECT * FROM b_)""")
+_DRAWS = "dr_ AS (SELECT head, grp, rep, CASE WHEN rep < 0 THEN 1.0 " + " ".join(
+    f"WHEN u < {c!r} THEN {i}.0" for i, c in enumerate(stats.POISSON_ONE)) + f""" ELSE {len(stats.POISSON_ONE)}.0 END::double AS w
+  FROM (SELECT head, grp, rep, cast('0x' || substr(md5(concat_ws('|', grp, rep, 0)), 1, 8) AS bigint) / 4294967296.0::double AS u FROM (SELECT DISTINCT head, grp FROM preds), range(-1, 200) r(rep)))"""
+_INTERVALS = """SELECT task, head AS tool, metric, max(n) FILTER (rep < 0) AS n, round(max(v) FILTER (rep < 0), 6) AS value,
+  round(quantile_cont(v, 0.025) FILTER (rep >= 0), 6) AS ci_low, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 6) AS ci_high, any_value(note) AS note FROM long_ GROUP BY ALL"""
+# fixed values: how a metric is to be read
+NOTES = {"auroc": "ties count half", "auprc": "average precision", "brier": "mean squared error of the probability", "ece": "ten bins of equal width",
+         "accuracy": "threshold 0.5", "mae": "unit of the label", "r2": "against the mean of the rows of the tool", "spearman": "ranks of a grid"}
+_NOTE = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in NOTES.items()) + " END"
+
+
+def noted(df, task):
+    note = F.element_at(F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair]), F.col("metric"))
+    return df.select(F.lit(task).alias("task"), F.col("head").alias("tool"), "metric", "n", *[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")], note.alias("note"))
+
+
+@query("st18_benchmark_table", "preds", _DRAWS + f""",
+x_ AS (SELECT head, rep, w, y, p, cast(least(floor(p * 100), 99) AS int) AS b FROM preds JOIN dr_ USING (head, grp) WHERE w > 0),
+m_ AS (SELECT head, rep, b, sum(w) AS n, sum(w * y) AS pos, sum(w * p) AS s1, sum(w * p * p) AS s2, sum(w * p * y) AS sy, sum(w * ((p >= 0.5)::int = y)::int) AS hit FROM x_ GROUP BY ALL),
+u_ AS (SELECT *, sum(n) OVER o AS above, sum(pos) OVER o AS hits FROM m_ WINDOW o AS (PARTITION BY head, rep ORDER BY b DESC)),
+t_ AS (SELECT head, rep, sum(abs(p - s)) / sum(n) AS ece FROM (SELECT head, rep, least(b // 10, 9) AS t, sum(n) AS n, sum(pos) AS p, sum(s1) AS s FROM m_ GROUP BY ALL) GROUP BY ALL),
+v_ AS (SELECT head, rep, sum((n - pos) * (hits - pos / 2)) / (sum(pos) * (sum(n) - sum(pos))) AS auroc, sum(pos * hits / above) / sum(pos) AS auprc,
+   (sum(s2) - 2 * sum(sy) + sum(pos)) / sum(n) AS brier, sum(hit) / sum(n) AS accuracy, cast(sum(n) AS bigint) AS n FROM u_ GROUP BY ALL),
+long_ AS (SELECT 'class' AS task, *, {_NOTE} AS note FROM (UNPIVOT (SELECT * FROM v_ JOIN t_ USING (head, rep)) ON auroc, auprc, brier, ece, accuracy INTO NAME metric VALUE v)) {_INTERVALS}""")
 def st18(t):
-    auc = stats.ranking_metrics(t.preds, "y", "p", ["head"]).select(F.col("head").alias("tool"), F.lit("AUROC").alias("metric"), F.round("auroc", 4).alias("value"), "n")
-    mae = stats.regression_metrics(t.preds, "y_real", "y_hat", ["head"]).select(F.col("head").alias("tool"), F.lit("MAE").alias("metric"), F.round("mae", 4).alias("value"), "n")
-    return auc.unionByName(mae)
+    """Tools by classification metrics, with intervals from resampled groups and a note each."""
+    return noted(stats.benchmark_table(t.preds, ["head"], "grp", "y", "p"), "class")
+
+
+@query("st18_value_table", "preds", _DRAWS + f""",
+e_ AS (SELECT head, min(y_real) AS ly, max(y_real) AS hy, min(y_hat) AS lp, max(y_hat) AS hp FROM preds GROUP BY head),
+x_ AS (SELECT head, rep, w, y_real AS y, y_hat AS p, cast(least(floor((y_hat - lp) * 32 / (hp - lp)), 31) AS int) AS i, cast(least(floor((y_real - ly) * 32 / (hy - ly)), 31) AS int) AS j
+  FROM preds JOIN e_ USING (head) JOIN dr_ USING (head, grp) WHERE w > 0),
+m_ AS (SELECT head, rep, i, j, sum(w) AS n, sum(w * abs(p - y)) AS ae, sum(w * (p - y) * (p - y)) AS se, sum(w * y) AS sy, sum(w * y * y) AS syy FROM x_ GROUP BY ALL),
+i_ AS (SELECT head, rep, i, coalesce(sum(m) OVER (PARTITION BY head, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + m / 2 AS ri FROM (SELECT head, rep, i, sum(n) AS m FROM m_ GROUP BY ALL)),
+j_ AS (SELECT head, rep, j, coalesce(sum(m) OVER (PARTITION BY head, rep ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + m / 2 AS rj FROM (SELECT head, rep, j, sum(n) AS m FROM m_ GROUP BY ALL)),
+v_ AS (SELECT head, rep, cast(sum(n) AS bigint) AS n, sum(ae) / sum(n) AS mae, 1 - sum(se) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) AS r2,
+   (sum(n * ri * rj) - sum(n * ri) * sum(n * rj) / sum(n)) / sqrt((sum(n * ri * ri) - sum(n * ri) * sum(n * ri) / sum(n)) * (sum(n * rj * rj) - sum(n * rj) * sum(n * rj) / sum(n))) AS spearman
+  FROM m_ JOIN i_ USING (head, rep, i) JOIN j_ USING (head, rep, j) GROUP BY ALL),
+long_ AS (SELECT 'value' AS task, *, {_NOTE} AS note FROM (UNPIVOT v_ ON mae, r2, spearman INTO NAME metric VALUE v)) {_INTERVALS}""")
+def st18_values(t):
+    """Tools by regression metrics, with intervals from resampled groups and a note each."""
+    return noted(stats.benchmark_values(t.preds, ["head"], "grp", "y_real", "y_hat"), "value")
 
 
 _PANEL = "pn_ AS (SELECT grp AS panel, CASE WHEN ln = 7 THEN NULL ELSE y_real END AS obs, CASE WHEN ok % 10 = 0 THEN NULL ELSE y_hat END AS pred, ok % 10 = 0 AS refused, (ok + ln) % 3 AS topo, ok % 3 AS pick FROM preds)"
