@@ -87,6 +87,31 @@ def with_neighbours(pieces: DataFrame, ahead: int, behind: int = 0) -> DataFrame
         join(lambda x: x["shift"] < 0).alias("prev")).where(F.length("own") > 0)
 
 
+PACKED = 65_536  # bases of a packed piece
+
+
+def packed(pieces: DataFrame, piece_len: int):
+    """(pieces of about PACKED bases, their length): short pieces of (chrom, piece, s) are put together in order."""
+    many = max(1, PACKED // piece_len)
+    if many == 1:
+        return pieces, piece_len
+    wide = pieces.groupBy("chrom", F.floor(F.col("piece") / many).alias("wide")).agg(F.array_sort(F.collect_list(F.struct("piece", "s"))).alias("_p"))
+    return wide.select("chrom", F.col("wide").alias("piece"), F.array_join(F.col("_p.s"), "").alias("s")), piece_len * many
+
+
+def with_margins(pieces: DataFrame, look: int) -> DataFrame:
+    """Each piece of (chrom, piece, s) as own, with the last `look` bases before it (prev) and the first after it (next).
+
+    Only margins travel to the neighbours, so the genome is exchanged once.
+    """
+    parts = F.array(F.struct(F.lit(0).alias("shift"), F.col("s")), F.struct(F.lit(1).alias("shift"), F.left("s", F.lit(look)).alias("s")),
+                    F.struct(F.lit(-1).alias("shift"), F.right("s", F.lit(look)).alias("s")))
+    spread = pieces.select("chrom", "piece", F.inline(parts)).select("chrom", (F.col("piece") - F.col("shift")).alias("piece"), "shift", "s")
+    one = lambda shift: F.max(F.when(F.col("shift") == shift, F.col("s")))
+    got = spread.groupBy("chrom", "piece").agg(one(0).alias("own"), one(1).alias("next"), one(-1).alias("prev")).where("own IS NOT NULL")
+    return got.withColumns({c: F.coalesce(c, F.lit("")) for c in ("next", "prev")})
+
+
 def genome_hits(pieces: DataFrame, piece_len: int, look: int = 200, max_len: int = 60) -> DataFrame:
     """Left-to-right non-overlapping hits on both strands of a genome held in fixed-length pieces.
 
@@ -94,8 +119,8 @@ def genome_hits(pieces: DataFrame, piece_len: int, look: int = 200, max_len: int
     Hits longer than `max_len` are seen whole and dropped. The greedy pass runs
     over chains of overlapping hits, which end wherever nothing reaches across.
     """
-    span = -(-look // piece_len)
-    near = with_neighbours(pieces, span, span)
+    pieces, piece_len = packed(pieces, piece_len)
+    near = with_margins(pieces, look)
     begin = F.col("piece") * piece_len
     stop = begin + F.length("own")
     strands = F.array(

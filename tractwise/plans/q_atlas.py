@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq, variant
-from ..operators import atlas, motifs, ordered
+from ..operators import atlas, manifest, motifs, ordered
 from ..sources import buffers, ingest, readers
 from . import duck as d
-from .q_motifs import _hits_sql
+from .q_motifs import _genome_sql, _hits_sql
 from .q_sequences import r6
 from .registry import query
 
@@ -22,6 +22,27 @@ def src1(t):
     return readers.fasta_records(text).select("id", "sequence")
 
 
+def fasta_file(t):
+    """The genome as FASTA text, a file per chromosome with lines of 48 bases; returns its folder."""
+    path = manifest.scratch(t.spark, "fasta")
+    first = t.genome.groupBy("chrom").agg(F.min("piece").alias("first"))
+    lines = F.concat_ws("\n", F.when(F.col("piece") == F.col("first"), F.concat(F.lit(">"), "chrom", F.lit(" made of pieces >1"))), F.substring("s", 1, 48), F.lower(F.substring("s", 49, 48)))
+    rows = t.genome.join(F.broadcast(first), "chrom").select(F.col("chrom").alias("folder"), "chrom", "piece", lines.alias("value"))  # a row per chromosome
+    rows.repartition("folder").sortWithinPartitions("folder", "piece").select("folder", "value").write.partitionBy("folder").text(path)
+    return f"{path}/folder=*"
+
+
+@query("src1_fasta_lengths", "genome", "SELECT chrom AS id, cast(sum(length(s)) AS bigint) AS length FROM genome GROUP BY chrom")
+def src1_lengths(t):
+    return readers.fasta_lengths(t.spark, fasta_file(t))
+
+
+@query("src1_fasta_to_motifs", "genome", _genome_sql() + "SELECT * FROM gm")
+def src1_motifs(t):
+    """From FASTA text to the motifs of the genome: byte ranges, pieces, hits."""
+    hits = motifs.genome_hits(readers.fasta_pieces(t.spark, fasta_file(t)), 65_536)
+    return hits.withColumnsRenamed({"start": "start_", "end": "end_", "text": "text_"})
+
 
 
 def pasted_lines(t):
@@ -84,6 +105,25 @@ def src4_wide(t):
     return readers.score_rows(wide, "row")
 
 
+@query("src4_score_fates", "snvs", """
+w_ AS (SELECT CASE WHEN pos % 23 = 0 THEN 'bad_position' WHEN pos % 19 = 0 OR score IS NULL THEN 'absent' ELSE 'kept' END AS fate, * FROM snvs),
+k_ AS (SELECT count(*) AS n FROM (SELECT DISTINCT chrom, pos, ref, alt, motif_id % 3 FROM w_ WHERE fate = 'kept'))
+SELECT fate, CASE fate WHEN 'kept' THEN (SELECT n FROM k_) ELSE count(*) END AS n FROM w_ GROUP BY fate
+UNION ALL SELECT 'overwritten', count(*) - (SELECT n FROM k_) FROM w_ WHERE fate = 'kept' HAVING count(*) > (SELECT n FROM k_)""")
+def src4_fates(t):
+    """What became of every row of a score table."""
+    return readers.score_fates(long_scores(t), "row")
+
+
+@query("src5_bundle_region", "snvs", """
+SELECT chrom, pos, ref, alt, score FROM snvs WHERE chrom = 'chr2' AND pos BETWEEN 1000 AND 9000""")
+def src5_bundle(t):
+    """A region of a bundle written by chromosome and position; chosen folders and row groups are all that is read."""
+    path = manifest.scratch(t.spark, "bundle")
+    readers.write_bundle(t.snvs.select("chrom", "pos", "ref", "alt", "score"), path)
+    return readers.read_bundle(t.spark, path, "chr2", 1000, 9000).select("chrom", "pos", "ref", "alt", "score")
+
+
 @query("src5_region_scores", "snvs", """
 SELECT chrom, pos, ref, alt, score FROM snvs WHERE chrom = 'chr2' AND pos BETWEEN 1000 AND 9000""")
 def src5(t):
