@@ -46,7 +46,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFr
 
 
 def fit(lengths, counts, budget: int, window: int = WINDOW):
-    """How many documents of each length (ascending, positive) to take so that their words come closest below budget."""
+    """How many documents of each length (ascending, positive) to take so that their words come closest to budget.
+
+    Documents taken in proportion go back into the budget until it holds `window` words, so that sums of whole
+    documents on either side of it are in reach; of two equally near ones the smaller is taken.
+    """
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(n * c for n, c in zip(lengths, counts))
     budget = min(int(budget), total)
@@ -56,25 +60,33 @@ def fit(lengths, counts, budget: int, window: int = WINDOW):
         more = min(counts[i] - take[i], max(0, left - window) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
+    share = window // max(1, len(lengths))
+    for part in (share, window):  # first a little of every length, then whatever there is
+        for i in range(len(lengths)):
+            back = min(take[i], max(1, part // lengths[i]), -(-max(0, window - left) // lengths[i]))
+            take[i] -= back
+            left += back * lengths[i]
+    top = left + (lengths[-1] if lengths else 0)
     parts = []  # (words, index, copies): counts as powers of two
     for i, n in enumerate(lengths):
-        free, k = min(counts[i] - take[i], left // n), 1
+        free, k = min(counts[i] - take[i], top // n), 1
         while free > 0:
             k = min(k, free)
             parts.append((n * k, i, k))
             free, k = free - k, 2 * k
-    first = np.full(left + 1, -1, dtype=np.int32)  # part with which a sum is first reached
-    reached = np.zeros(left + 1, dtype=bool)
+    first = np.full(top + 1, -1, dtype=np.int32)  # part with which a sum is first reached
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
     for p, (w, _, _) in enumerate(parts):
-        if w > left:
+        if w > top:
             continue
-        new = reached[:left + 1 - w] & ~reached[w:]
+        new = reached[:top + 1 - w] & ~reached[w:]
         first[w:][new] = p
         reached[w:] |= new
         if reached[left]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - left).argmin()])
     while at > 0:
         w, i, k = parts[first[at]]
         take[i] += k
