@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import condition, motif, seq
 
+# fixed values: feature names and their order
 ARCHITECTURE = [
     "has_4tracts", "tract_len_min", "tract_len_max", "tract_len_mean", "loop1", "loop2", "loop3",
     "loop_total", "loop_mean", "loop_sd", "loop_min", "loop_max", "loop_asymmetry", "core_span",
@@ -21,6 +22,7 @@ RUNS = ["n_runs", "max_run", "mean_run", "n_Gruns", "max_Grun", "n_Cruns", "max_
 TAIL = ["longest_homopolymer", "shannon_entropy"]
 NAMED = COMPOSITION + RUNS + ARCHITECTURE + TAIL
 KMERS = ["".join(p) for k in (1, 2, 3) for p in itertools.product("ACGT", repeat=k)]
+KMERS_NAMED = [f"k{len(m)}_{m}" for m in KMERS]
 # buffer protonation of cytosine N3: fixed value
 CYTOSINE_PKA = 4.6
 
@@ -134,6 +136,7 @@ def condition_columns():
     }
 
 
+# fixed values: names of the buffer block
 CONDITION_NAMES = list(condition.FIELDS) + [
     "log1p_k", "log1p_na", "log1p_li_nh4", "log1p_mg", "monovalent", "log1p_monovalent", "ionic_strength",
     "log1p_ionic_strength", "k_fraction", "na_fraction", "li_fraction", "g4_competent_cation",
@@ -155,6 +158,7 @@ def interaction_columns():
     }
 
 
+# fixed values: names of the interaction block
 INTERACTION_NAMES = [
     "gtracts_x_logK", "gc_x_logIonic", "loopsum_x_logK", "len_x_logK", "ctracts_x_protonation",
     "cfrac_x_protonation", "loopsum_x_protonation", "gc_x_temp", "g4h_x_logKcompetent", "tracts_x_pH"]
@@ -170,6 +174,7 @@ def featurize(df: DataFrame, s: str, kind: str = "G4", use_conditions: bool = Tr
     return df, names
 
 
+# fixed values: names of the window statistics
 WINDOW_STATS = ["g4h_win_max25", "g4h_win_min25", "g4h_mean_all", "n_g3_canonical", "n_g3_longloop",
                 "n_g2_relaxed", "n_g3_runs", "max_g_run", "total_g3_run_nt", "frac_windows_ge_1p2"]
 
@@ -189,3 +194,25 @@ def with_window_stats(df: DataFrame, s: str) -> DataFrame:
         "total_g3_run_nt": F.aggregate("_long", F.lit(0), lambda a, x: a + x).cast("double"),
         "frac_windows_ge_1p2": F.size(F.filter("_means", lambda x: x >= 1.2)) / F.size("_means"),
     }).drop("_means", "_long")
+
+
+def window_feature_names():
+    """The 266 names of the window vector: sequence block and window statistics of the G-richer strand, then of the other."""
+    return [f"{side}_{n}" for side in ("first", "second") for n in NAMED + KMERS_NAMED + WINDOW_STATS]
+
+
+def with_window_features(df: DataFrame, s: str) -> DataFrame:
+    """Append the strand-symmetric window vector of s.
+
+    What the other strand shares is not counted again: its k-mers are the reverse complements of the first strand's,
+    its shares of bases and signed means follow by exchange of letters and sign.
+    """
+    given = list(df.columns)
+    forward = seq.hunter_sum(s) >= 0
+    df = df.withColumns({"first": F.when(forward, F.col(s)).otherwise(seq.revcomp(s)), "second": F.when(forward, seq.revcomp(s)).otherwise(F.col(s))})
+    df = with_window_stats(with_sequence_features(df, "first", "G4"), "first")
+    df = df.withColumnsRenamed({n: f"first_{n}" for n in NAMED + KMERS_NAMED + WINDOW_STATS})
+    df = with_window_stats(with_architecture(with_runs(with_composition(df, "second"), "second", "G4"), "second", "G4"), "second")
+    turned = {f"second_k{len(m)}_{m}": F.col(f"first_k{len(m)}_{m[::-1].translate(str.maketrans('ACGT', 'TGCA'))}") for m in KMERS}
+    df = df.withColumns(turned).withColumnsRenamed({n: f"second_{n}" for n in NAMED + WINDOW_STATS})
+    return df.select(*given, *window_feature_names())

@@ -377,3 +377,53 @@ def _with_intervals(per: DataFrame, keys, metrics) -> DataFrame:
     return long.groupBy(*keys, "metric").agg(
         F.max(F.when(F.col("rep") < 0, F.col("n"))).alias("n"), F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("value"),
         q.alias("_q")).select(*keys, "metric", "n", "value", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+
+# ------------------------------------------------------- isotonic calibration
+def _pooled(low, high, n, total):
+    """Adjacent blocks (ascending) pooled until their means ascend."""
+    out = []
+    for block in zip(low, high, n, total):
+        out.append(list(block))
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            a, b = out[-2:]
+            out[-2:] = [[a[0], b[1], a[2] + b[2], a[3] + b[3]]]
+    return out
+
+
+def isotonic(df: DataFrame, p: str, y: str, keys=(), tiles: int = 256) -> DataFrame:
+    """Steps of the isotonic fit of y (0 or 1) on p: (*keys, low, high, n, positives); the value is positives / n.
+
+    Equal scores are one block. Blocks are pooled within tiles of the score first, where the tiles run side by side;
+    what a tile leaves is ascending, and pooling those blocks once more per key gives the same fit as pooling all rows.
+    """
+    keys = list(keys)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema) + "low double, high double, n bigint, positives bigint"
+    blocks = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("low")).agg(
+        F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("positives")).withColumn("high", F.col("low"))
+
+    def pool(frame):
+        frame = frame.sort_values("low")
+        out = pd.DataFrame(_pooled(*[frame[c].tolist() for c in ("low", "high", "n", "positives")]), columns=["low", "high", "n", "positives"])
+        for c in keys:
+            out[c] = frame[c].iloc[0]
+        return out[[*keys, "low", "high", "n", "positives"]]
+
+    inside = blocks.withColumn("_tile", F.floor(F.col("low") * tiles)).groupBy(*keys, "_tile").applyInPandas(pool, schema)
+    return inside.groupBy(*keys).applyInPandas(pool, schema)
+
+
+def calibrated(df: DataFrame, p: str, steps: DataFrame, name: str, keys=()) -> DataFrame:
+    """Append the value of p on the steps: the block that holds it, else the straight line between its neighbours.
+
+    The steps of a key travel as one sorted array; there are at most as many as the fit has levels.
+    """
+    keys = list(keys)
+    line = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("low", "high", (F.col("positives") / F.col("n")).alias("v")))).alias("_s"))
+    j = df.join(F.broadcast(line), keys) if keys else df.crossJoin(F.broadcast(line))  # a row per key
+    at = F.size(F.filter("_s", lambda b: b["low"] <= F.col(p)))
+    j = j.withColumn("_at", at)
+    here, after = F.get("_s", F.col("_at") - 1), F.get("_s", F.col("_at"))
+    between = here["v"] + (after["v"] - here["v"]) * F.try_divide(F.col(p) - here["high"], after["low"] - here["high"])
+    value = (F.when(F.col("_at") == 0, after["v"]).when((F.col(p) <= here["high"]) | (F.col("_at") == F.size("_s")), here["v"]).otherwise(between))
+    return j.withColumn(name, value).drop("_s", "_at")

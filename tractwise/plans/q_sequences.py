@@ -449,16 +449,44 @@ def fea11(t):
     return df.select("seq_id", *_stats({n: F.col(n) for n in features.WINDOW_STATS}))
 
 
+def _side_sql(name, col):
+    """The 133 values of one strand of a window, by the oracle's own expressions."""
+    kmers = ", ".join(f"list_transform(range(1, length({col}) - {k - 2}), lambda i: substr({col}, i, {k})) AS m{k}" for k in (1, 2, 3))
+    values = ", ".join(f"round(cast(len(list_filter(m{len(m)}, lambda v: v = '{m}')) AS double) / len(m{len(m)}), 5) AS k{len(m)}_{m}" for m in features.KMERS)
+    w = d.window_means(col)
+    runs = f"list_transform(regexp_extract_all({col}, 'G{{3,}}'), lambda r: length(r))"
+    stats = {
+        "g4h_win_max25": f"list_max({w})", "g4h_win_min25": f"list_min({w})", "g4h_mean_all": d.hunter_mean(col),
+        "n_g3_canonical": _ov(col, "{3,}", 7), "n_g3_longloop": _ov(col, "{3,}", 12), "n_g2_relaxed": _ov(col, "{2,}", 7),
+        "n_g3_runs": f"len({runs})", "max_g_run": f"coalesce(list_max({runs}), 0)", "total_g3_run_nt": f"coalesce(list_sum({runs}), 0)",
+        "frac_windows_ge_1p2": f"cast(len(list_filter({w}, lambda v: v >= 1.2)) AS double) / len({w})"}
+    return f"""{name}b_ AS (WITH {_base_sql(f"{name}_", col, "G4")}),
+{name}k_ AS (SELECT seq_id, {values} FROM (SELECT seq_id, {kmers} FROM {name}_)),
+{name}s_ AS (SELECT seq_id, {", ".join(f"round(cast({e} AS double), 5) AS {n}" for n, e in stats.items())} FROM {d.scored(f"{name}_", col)})"""
+
+
+_WINDOW_NAMES = features.NAMED + features.KMERS_NAMED + features.WINDOW_STATS
+
+
+def _both_sides():
+    """Columns of both strands, each under its side's name."""
+    out = []
+    for side, t in (("first", "fi"), ("second", "se")):
+        for n in _WINDOW_NAMES:
+            table = f"{t}k_" if n in features.KMERS_NAMED else f"{t}s_" if n in features.WINDOW_STATS else f"{t}b_"
+            out.append(f"{table}.{n} AS {side}_{n}")
+    return ", ".join(out)
+
+
 @query("fea12_strand_symmetric", "seqs", f"""
-x AS (SELECT seq_id, CASE WHEN {d.hunter_sum('s')} >= 0 THEN s ELSE {d.revcomp('s')} END AS a,
-             CASE WHEN {d.hunter_sum('s')} >= 0 THEN {d.revcomp('s')} ELSE s END AS b FROM seqs)
-SELECT seq_id, round({d.hunter_mean('a')}, 6) AS first_mean, round({d.hunter_mean('b')}, 6) AS second_mean,
-       cast(len(regexp_extract_all(a, 'G{{3,}}')) AS bigint) AS first_runs, cast(len(regexp_extract_all(b, 'G{{3,}}')) AS bigint) AS second_runs FROM x""")
+fi_ AS (SELECT seq_id, CASE WHEN {d.hunter_sum('s')} >= 0 THEN s ELSE {d.revcomp('s')} END AS s FROM seqs),
+se_ AS (SELECT seq_id, CASE WHEN {d.hunter_sum('s')} >= 0 THEN {d.revcomp('s')} ELSE s END AS s FROM seqs),
+{_side_sql("fi", "s")},
+{_side_sql("se", "s")}
+SELECT fib_.seq_id, {_both_sides()} FROM fib_ JOIN fik_ USING (seq_id) JOIN fis_ USING (seq_id) JOIN seb_ USING (seq_id) JOIN sek_ USING (seq_id) JOIN ses_ USING (seq_id)""")
 def fea12(t):
-    df = window_strands(t.seqs, "s")
-    return df.select("seq_id", r6(seq.hunter_mean("first")).alias("first_mean"), r6(seq.hunter_mean("second")).alias("second_mean"),
-                     F.regexp_count("first", F.lit("G{3,}")).cast("bigint").alias("first_runs"),
-                     F.regexp_count("second", F.lit("G{3,}")).cast("bigint").alias("second_runs"))
+    """The whole window vector: 133 values of the G-richer strand and 133 of the other."""
+    return features.with_window_features(t.seqs, "s").select("seq_id", *[F.round(n, 5).alias(n) for n in features.window_feature_names()])
 
 
 def window_strands(df, s):
