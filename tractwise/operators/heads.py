@@ -277,3 +277,86 @@ class Heads:
                         F.when(told & (F.col("task") == "binary"), answer("members")).alias("probability"),
                         F.when(told & (F.col("task") == "multiclass"), posterior).alias("posterior"),
                         F.when(number, shape).alias("folded_fraction"), "refusal", "in_domain")
+
+
+# ---------------------------------------------------------------------- scans
+def scored_kinds(model: Heads):
+    """{kind: its trained heads that answer with one number}."""
+    out = {}
+    for head in sorted(model.models):
+        if model.specs[head][2] != "multiclass":
+            out.setdefault(model.specs[head][1], []).append(head)
+    return out
+
+
+def member_deltas(model: Heads, wild: DataFrame, mutants: DataFrame, key, heads) -> DataFrame:
+    """Append head, delta and delta_sd to mutants: member-wise mutant minus wild type, then mean and population spread.
+
+    wild: *key, sequence and conditions, one row per key; mutants: *key, sequence, conditions and others.
+    """
+    base = model.members(wild.select(*key, "sequence", *condition.FIELDS), heads).select(*key, "head", F.col("members").alias("_w"))
+    j = model.members(mutants, heads).join(base, [*key, "head"])
+    d = F.zip_with("members", "_w", lambda a, b: F.get(a, 0) - F.get(b, 0))
+    j = j.withColumn("_d", d)
+    mean = F.aggregate("_d", F.lit(0.0), lambda a, v: a + v) / F.size("_d")
+    j = j.withColumn("delta", mean)
+    spread = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, v: a + (v - F.col("delta")) * (v - F.col("delta"))) / F.size("_d"))
+    return j.withColumn("delta_sd", spread).drop("members", "_w", "_d")
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    return df.withColumns({f: F.lit(v) for f, v in condition.DEFAULTS.items() if f not in df.columns})
+
+
+def mutation_scan(model: Heads, df: DataFrame, key: str, s: str, routed, substitutions, state) -> DataFrame:
+    """Every substitution of every sequence for every head of one number, on the strand its kind is asked about.
+
+    Columns: key, head, strand, label, state, other_gain (the other strand gains a motif; reported, never scored),
+    delta and delta_sd. A lost motif, or none before and after, has no number.
+    """
+    out = None
+    for kind, names in scored_kinds(model).items():
+        if kind == "locus":
+            continue
+        wild = with_defaults(routed(df, s, kind)).withColumn("_before", motif.motif_count("sequence", kind)).withColumn(
+            "_other", motif.has_motif(seq.revcomp("sequence"), kind))
+        edits = substitutions(wild.select(key, "sequence", "strand", "_before", "_other", *condition.FIELDS), [key, "strand", "_before", "_other", *condition.FIELDS], "sequence")
+        edits = edits.withColumns({"state": state(F.col("_before"), motif.motif_count("mutant", kind)),
+                                   "other_gain": ~F.col("_other") & motif.has_motif(seq.revcomp("mutant"), kind)})
+        usable = ~F.col("state").isin("motif_lost", "no_motif")
+        columns = [key, "strand", "label", "state", "other_gain"]
+        todo = edits.where(usable).select(*columns, F.col("mutant").alias("sequence"), *condition.FIELDS)
+        scored = member_deltas(model, wild, todo, [key], names).select(*columns, "head", "delta", "delta_sd")
+        rest = edits.where(~usable).select(*columns, F.explode(F.array(*[F.lit(h) for h in names])).alias("head"),
+                                           F.lit(None).cast("double").alias("delta"), F.lit(None).cast("double").alias("delta_sd"))
+        part = scored.unionByName(rest)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def condition_scan(model: Heads, df: DataFrame, ids, axis: str, values) -> DataFrame:
+    """(*ids, head, axis, state, point, value): one condition varied, everything else as given.
+
+    A head whose training rows never varied along the axis is inert: it keeps one row with that state and no number.
+    """
+    seen = {r["head"]: r["n_unique"] for r in model.ranges.where(F.col("axis") == axis).collect()}  # one row per head
+    names = [h for names in scored_kinds(model).values() for h in names]
+    varied = [h for h in names if seen.get(h, 0) > 1]
+    grid = df.select(*ids, "sequence", *[f for f in condition.FIELDS if f != axis], F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(axis))
+    inert = df.select(*ids, F.explode(F.array(*[F.lit(h) for h in names if h not in varied]).cast("array<string>")).alias("head"), F.lit(axis).alias("axis"),
+                      F.lit("inert").alias("state"), F.lit(None).cast("double").alias("point"), F.lit(None).cast("double").alias("value"))
+    if not varied:
+        return inert
+    points = model.members(grid, varied).select(*ids, "head", F.lit(axis).alias("axis"), F.lit("varied").alias("state"), F.col(axis).alias("point"), answer("members").alias("value"))
+    return points.unionByName(inert)
+
+
+def fingerprint(model: Heads) -> str:
+    """Digest of all fitted members, whatever the order they were fitted in."""
+    import hashlib
+    total = hashlib.sha256()
+    for head in sorted(model.models):
+        for member in model.models[head]:
+            for name in sorted(member):
+                total.update(f"{head}:{name}".encode() + np.ascontiguousarray(member[name]).tobytes())
+    return total.hexdigest()

@@ -163,11 +163,33 @@ def substitutions(df: DataFrame, keys, s: str) -> DataFrame:
     return df.select("*", mutant.alias("mutant"), F.concat("wt", (F.col("at") + 1).cast("string"), "alt").alias("label"))
 
 
+def half_census(s, base: str):
+    """Hits of both kinds and strands whose tracts are runs of `base` on this strand.
+
+    G tracts are G4 on this strand and i-motif on the other, C tracts the reverse. Without four disjoint threes of the
+    base there is none, which one cheap pass tells.
+    """
+    near, far = ("G4", "iM") if base == "G" else ("iM", "G4")
+    return F.when(F.regexp_count(s, F.lit(base * 3)) >= 4, motif.motif_count(s, near) + motif.motif_count(seq.revcomp(s), far)).otherwise(F.lit(0).cast("bigint"))
+
+
 def census(s):
     """Hits of both kinds on both strands."""
-    r = seq.revcomp(s)
-    return (motif.motif_count(s, "G4") + motif.motif_count(r, "G4")
-            + motif.motif_count(s, "iM") + motif.motif_count(r, "iM"))
+    return half_census(s, "G") + half_census(s, "C")
+
+
+def census_changes(df: DataFrame, keys, s: str) -> DataFrame:
+    """Every substitution with the census before and after: *keys, at, wt, alt, label, ref_total, mut_total.
+
+    Only the half whose base is removed or brought in can change; it alone is matched anew.
+    """
+    held = df.withColumns({"_g": half_census(s, "G"), "_c": half_census(s, "C")})
+    edits = substitutions(held, [*keys, "_g", "_c"], s)
+
+    def after(base, before):
+        return F.when((F.col("wt") == base) | (F.col("alt") == base), half_census("mutant", base)).otherwise(F.col(before))
+
+    return edits.select(*keys, "at", "wt", "alt", "label", (F.col("_g") + F.col("_c")).alias("ref_total"), (after("G", "_g") + after("C", "_c")).alias("mut_total"))
 
 
 def with_qgrs_score(df: DataFrame, s: str, name: str, max_len=30, min_g=2) -> DataFrame:

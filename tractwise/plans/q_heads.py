@@ -1,14 +1,18 @@
 """Heads: their rows, out-of-fold answers, intervals, gates and posteriors."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import condition
+from ..functions import condition, motif, seq, thermo, variant
 from ..operators import heads as heads_
-from ..operators import ordered, overlap, stats
-from ..functions import seq
+from ..operators import models, motifs, ordered, ranking, stats
+from ..session import cut_lineage
 from . import duck as d
 from .q_audit import conformal_coverage
+from .q_motifs import _GENOME_EDITS, _state_sql, genome_motifs, motif_edits
 from .q_sequences import r6
+from .q_stats import linear_fit
+from .q_variants import _REC, KEY, headline, records, track_max
 from .registry import query
 
 # the derived table numbers its sources; which of them stands for which published one
@@ -203,3 +207,212 @@ def ml13_metrics(t):
     """What the buffer adds: R2 and MAE per regression head with and without its features."""
     held = heads_.out_of_fold(heads_of(t, (True, False)).fitted).where("task = 'regression'")
     return stats.regression_metrics(held.withColumn("p", heads_.answer("members")), "label", "p", ["head", "conditions"])
+
+
+# ---------------------------------------------------------------------- scans
+_TRAINED_SQL = HEAD_SQL + ", tr_ AS (SELECT head, hkind, task, target FROM hd_ WHERE head IN (SELECT head FROM sm_))"
+
+
+def _routed(kind, base):
+    f, r = d.mcount("o", kind), d.mcount(d.revcomp("o"), kind)
+    other = {"G": "C", "C": "G"}[base]
+    return f"""SELECT '{kind}' AS hkind, seq_id, CASE WHEN CASE WHEN f > 0 OR r > 0 THEN f >= r ELSE {d.count('o', base)} >= {d.count('o', other)} END THEN o ELSE {d.revcomp('o')} END AS o
+  FROM (SELECT *, {f} AS f, {r} AS r FROM oligos)"""
+
+
+_ROUTED_ONLY = f"rt_ AS ({_routed('G4', 'G')} UNION ALL {_routed('iM', 'C')})"
+_ROUTED_EDITS = f"""{_ROUTED_ONLY},
+re_ AS (SELECT hkind, seq_id, o, concat(substr(o, 1, i0), b, substr(o, i0 + 2)) AS mut FROM (SELECT *, unnest(range(0, length(o))) AS i0 FROM rt_)
+  JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(b) ON b <> substr(o, i0 + 1, 1)),
+rs_ AS (SELECT hkind, seq_id, CASE hkind WHEN 'G4' THEN {_state_sql(d.mcount('o', 'G4'), d.mcount('mut', 'G4'))} ELSE {_state_sql(d.mcount('o', 'iM'), d.mcount('mut', 'iM'))} END AS state,
+  CASE hkind WHEN 'G4' THEN {d.mcount(d.revcomp('o'), 'G4')} = 0 AND {d.mcount(d.revcomp('mut'), 'G4')} > 0 ELSE {d.mcount(d.revcomp('o'), 'iM')} = 0 AND {d.mcount(d.revcomp('mut'), 'iM')} > 0 END AS other FROM re_)"""
+
+
+@query("ml7_mutation_scan", "training oligos", _TRAINED_SQL + ", " + _ROUTED_EDITS + """
+SELECT head, state, count(*) AS n, cast(CASE WHEN state IN ('motif_lost', 'no_motif') THEN 0 ELSE count(*) END AS bigint) AS n_delta,
+  cast(CASE WHEN state IN ('motif_lost', 'no_motif') THEN 0 ELSE count(*) END AS bigint) AS n_spread, cast(count_if(other) AS bigint) AS n_other_gain
+FROM rs_ JOIN tr_ USING (hkind) WHERE task <> 'multiclass' GROUP BY head, state""")
+def ml7(t):
+    """All substitutions of all oligos for all heads of one number."""
+    scan = heads_.mutation_scan(heads_of(t), t.oligos, "seq_id", "o", models.routed, motifs.substitutions, variant.motif_state)
+    return scan.groupBy("head", "state").agg(F.count("*").alias("n"), F.count("delta").alias("n_delta"), F.count_if(F.col("delta_sd") >= 0).alias("n_spread"),
+                                             F.count_if("other_gain").alias("n_other_gain"))
+
+
+_AXES = {"k": [0, 10, 25, 50, 100, 150], "ph": [5, 6, 7, 8], "crowder_pct": [0, 20, 40]}
+
+
+@query("ml8_condition_scan", "training oligos", _TRAINED_SQL + """,
+un_ AS (SELECT head, axis, count(DISTINCT round(v, 3)) AS u FROM (SELECT head, k, ph::double AS ph, crowder_pct FROM sm_) UNPIVOT (v FOR axis IN (k, ph, crowder_pct)) GROUP BY ALL),
+po_(axis, points) AS (VALUES """ + ", ".join(f"('{a}', {len(v)})" for a, v in _AXES.items()) + """)
+SELECT head, axis, CASE WHEN u > 1 THEN 'varied' ELSE 'inert' END AS state, CASE WHEN u > 1 THEN points ELSE 1 END * (SELECT count(*) FROM oligos) AS n,
+  CASE WHEN u > 1 THEN points ELSE 0 END * (SELECT count(*) FROM oligos) AS n_values
+FROM tr_ JOIN un_ USING (head) JOIN po_ USING (axis) WHERE task <> 'multiclass'""")
+def ml8(t):
+    """Three axes by all heads: responsive ones along every point, inert ones listed once."""
+    base = heads_.with_defaults(t.oligos.select("seq_id", F.col("o").alias("sequence")))
+    out = None
+    for axis, values in _AXES.items():
+        part = heads_.condition_scan(heads_of(t), base, ["seq_id"], axis, values)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("head", "axis", "state").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+@query("ml9_batch", "training oligos", _TRAINED_SQL + """
+SELECT head, preset, count(*) AS n, cast(count_if(seq_id % 13 = 0) AS bigint) AS n_excluded, count(*) - cast(count_if(seq_id % 13 = 0) AS bigint) AS n_scored
+FROM oligos, (VALUES ('k100'), ('na100')) v(preset), tr_ GROUP BY head, preset""")
+def ml9(t):
+    """Sequences by conditions by heads; an excluded record is named with its reason and never scored."""
+    model = heads_of(t)
+    given = t.oligos.select("seq_id", seq.clean(F.when(F.col("seq_id") % 13 == 0, "").otherwise(F.col("o"))).alias("sequence"))
+    cells = given.select("*", F.inline(condition.presets_array(["k100", "na100"])))
+    scored = model.members(cells.where("sequence <> ''").select("seq_id", "preset", "sequence", *condition.FIELDS)).select("seq_id", "preset", "head", heads_.answer("members").alias("value"))
+    every = cells.select("seq_id", "preset", F.when(F.col("sequence") == "", "no nucleotides after cleaning").alias("reason"), F.explode(F.array(*[F.lit(h) for h in sorted(model.models)])).alias("head"))
+    out = every.join(scored, ["seq_id", "preset", "head"], "left")
+    return out.groupBy("head", "preset").agg(F.count("*").alias("n"), F.count("reason").alias("n_excluded"), F.count("value").alias("n_scored"))
+
+
+def structural(t):
+    """Every SNV of every genome motif: lost, or retained with the change of the first head of its kind that is trained."""
+    model, gm = heads_of(t), cut_lineage(genome_motifs(t))
+    edits = motif_edits(gm)
+    out = edits.where("state = 'motif_lost'").select(*KEY, "kind", "strand", "state", F.lit(None).cast("double").alias("delta"))
+    for kind, wanted in (("G4", ["g4_tm", "g4_fold"]), ("iM", ["im_pht", "im_fold"])):
+        names = [h for h in wanted if h in model.models][:1]
+        key = ["chrom", "start_", "end_", "strand"]
+        wild = heads_.with_defaults(gm.where(F.col("kind") == kind).select(*key, F.col("text_").alias("sequence")))
+        todo = heads_.with_defaults(edits.where((F.col("kind") == kind) & (F.col("state") == "motif_retained")).select(*key, "pos", "ref", "alt", "kind", "state", F.col("mutant").alias("sequence")))
+        if names:
+            part = heads_.member_deltas(model, wild, todo, key, names).select(*KEY, "kind", "strand", "state", F.round("delta", 3).alias("delta"))
+        else:
+            part = todo.select(*KEY, "kind", "strand", "state", F.lit(None).cast("double").alias("delta"))
+        out = out.unionByName(part)
+    return out
+
+
+_HAS_NUMBER = "CASE kind WHEN 'G4' THEN EXISTS (FROM tr_ WHERE head IN ('g4_tm', 'g4_fold')) ELSE EXISTS (FROM tr_ WHERE head IN ('im_pht', 'im_fold')) END"
+
+
+@query("ml10_variant_scan", "training genome snvs", _TRAINED_SQL + ", " + _GENOME_EDITS + ", " + _REC + f""",
+vs_ AS (SELECT ge_.kind, ge_.state, hl_.score AS reg, {_HAS_NUMBER} AS has FROM ge_ LEFT JOIN hl_ ON ge_.chrom = hl_.chrom AND ge_.pos = hl_.pos AND ge_.ref = hl_.ref AND ge_.alt = hl_.alt)
+SELECT kind, count(*) AS n, cast(count_if(state = 'motif_lost') AS bigint) AS n_lost, count(reg) AS n_regulatory, cast(count_if(state <> 'motif_lost' AND has) AS bigint) AS n_delta,
+  cast(count_if(reg IS NULL OR (state <> 'motif_lost' AND NOT has)) AS bigint) AS n_unclassified, cast(count_if(reg IS NOT NULL AND (state = 'motif_lost' OR has)) AS bigint) AS n_ranked FROM vs_ GROUP BY kind""")
+def ml10(t):
+    """Genome motif variants joined to regulatory scores on the whole key and ranked on both axes."""
+    reg = headline(track_max(records(t), KEY), KEY, "scorer1").select(*KEY, F.col("score").alias("reg"))
+    v = cut_lineage(structural(t).join(reg, KEY, "left"))  # scored once, ranked from the written rows
+    q = ranking.quadrants(v.select("*", F.col("state").alias("motif_state"), F.abs("delta").alias("magnitude")))
+    return q.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_if(F.col("state") == "motif_lost").alias("n_lost"), F.count("reg").alias("n_regulatory"), F.count("delta").alias("n_delta"),
+        F.count_if(F.col("quadrant") == "unclassified").alias("n_unclassified"), F.count("combined_rank").alias("n_ranked"))
+
+
+@query("ml11_structural_effects", "training genome", _TRAINED_SQL + ", " + _GENOME_EDITS + f"""
+SELECT chrom, kind, state, count(*) AS n, cast(count_if(state <> 'motif_lost' AND {_HAS_NUMBER}) AS bigint) AS n_delta FROM ge_ GROUP BY ALL""")
+def ml11(t):
+    return structural(t).groupBy("chrom", "kind", "state").agg(F.count("*").alias("n"), F.count("delta").alias("n_delta"))
+
+
+# fixed values: which heads speak for which structure, and which are proxies
+CARDS = {"G4": ["g4_fold", "g4_topology", "g4_tm", "g4_tm_distilled"], "iM": ["im_fold", "im_pht", "im_pht_condition", "im_tm_condition", "im_architecture"]}
+PROXIES = {"G4": ["g4_fold_genomic"], "iM": ["im_fold_genomic"]}
+
+
+@query("ml12_strand_evidence", "training oligos", _TRAINED_SQL + ", " + _ROUTED_ONLY + f"""
+SELECT seq_id, hkind AS structure, rt_.o = oligos.o AS forward, CASE hkind WHEN 'G4' THEN {d.mcount('rt_.o', 'G4')} ELSE {d.mcount('rt_.o', 'iM')} END > 0 AS has_motif,
+  (SELECT count(*) FROM tr_ WHERE head IN ({", ".join(f"'{h}'" for c in CARDS.values() for h in c)}) AND tr_.hkind = rt_.hkind) AS n_cards,
+  (SELECT count(*) FROM tr_ WHERE head IN ('g4_fold_genomic', 'im_fold_genomic') AND tr_.hkind = rt_.hkind) AS n_proxies,
+  (SELECT count(*) FROM tr_ WHERE head = 'locus_peak_overlap_state') AS n_locus
+FROM rt_ JOIN oligos USING (seq_id)""")
+def ml12(t):
+    """Per structure the strand that carries it and the answers of its own heads; proxies and locus stay apart, nothing is combined."""
+    model, out = heads_of(t), None
+    locus = [h for h in ("locus_peak_overlap_state",) if h in model.models]
+    plain = heads_.with_defaults(t.oligos.select("seq_id", F.col("o").alias("sequence")))
+    near = model.members(plain, locus).select("seq_id", "head") if locus else plain.select("seq_id", F.lit("").alias("head")).limit(0)
+    near = near.groupBy("seq_id").agg(F.count("*").alias("n_locus"))
+    for kind in ("G4", "iM"):
+        names = [h for h in CARDS[kind] + PROXIES[kind] if h in model.models]
+        side = heads_.with_defaults(models.routed(t.oligos, "o", kind).select("seq_id", "o", "strand", "sequence")).withColumns({
+            "structure": F.lit(kind), "has_motif": motif.has_motif("sequence", kind), "forward": F.col("sequence") == F.col("o")})
+        got = model.members(side, names).groupBy("seq_id").agg(
+            F.count_if(F.col("head").isin(*CARDS[kind]) & heads_.answer("members").isNotNull()).alias("n_cards"), F.count_if(F.col("head").isin(*PROXIES[kind])).alias("n_proxies"))
+        part = side.select("seq_id", "structure", "forward", "has_motif").join(got, "seq_id", "left").join(near, "seq_id", "left")
+        out = part if out is None else out.unionByName(part)
+    return out.select("seq_id", "structure", "forward", "has_motif", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_cards", "n_proxies", "n_locus")])
+
+
+def one_head(t, kind):
+    """The head that scores elements of a kind: the first of its list that is trained."""
+    return next(h for h in {"G4": ["g4_tm", "g4_fold"], "iM": ["im_pht", "im_fold"]}[kind] if h in heads_of(t).models)
+
+
+def _found(view, keys, x):
+    """Elements of both kinds on both strands of x."""
+    return " UNION ALL ".join(f"SELECT {keys}, '{kind}' AS kind, '{strand}' AS strand, unnest(regexp_extract_all({y}, '{d.PAT[kind]}')) AS e FROM {view}"
+                              for kind in ("G4", "iM") for strand, y in (("+", x), ("-", d.revcomp(x))))
+
+
+@query("ml14_external_windows", "genome", f"""f_ AS ({_found('genome', 'chrom, piece', 's')})
+SELECT g.chrom, g.piece, count(e) FILTER (kind = 'G4') AS n_g4, count(e) FILTER (kind = 'iM') AS n_im, count(e) FILTER (kind = 'G4') > 0 AS has_g4_score, count(e) FILTER (kind = 'iM') > 0 AS has_im_score
+FROM genome g LEFT JOIN f_ ON f_.chrom = g.chrom AND f_.piece = g.piece GROUP BY ALL""")
+def ml14(t):
+    """Best motif score of each window per kind over both strands, with motif counts; a window without motifs keeps null."""
+    model, out = heads_of(t), t.genome.select("chrom", "piece")
+    for kind, short in (("G4", "g4"), ("iM", "im")):
+        found = motifs.find(t.genome, ["chrom", "piece"], "s", [kind])
+        fill = heads_.with_defaults(found.select("chrom", "piece", F.col("text").alias("sequence")))
+        best = model.members(fill, [one_head(t, kind)]).groupBy("chrom", "piece").agg(F.max(heads_.answer("members")).alias(f"best_{short}"), F.count("*").alias(f"n_{short}"))
+        out = out.join(best, ["chrom", "piece"], "left")
+    return out.select("chrom", "piece", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("g4", "im")], *[F.col(f"best_{k}").isNotNull().alias(f"has_{k}_score") for k in ("g4", "im")])
+
+
+FREEZE = "1996-01-01"  # panels count from this day on
+
+
+@query("ml15_frozen_panels", "training records", f"""
+pn_ AS (SELECT r.*, o_custkey % 40 AS panel, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS day FROM records r JOIN orders ON seq_id = o_orderkey),
+pd_ AS (SELECT panel, count(day) = count(*) AS dated, min(day) AS since FROM pn_ GROUP BY panel)
+SELECT panel, CASE WHEN NOT dated THEN 'undated' WHEN since < TIMESTAMP '{FREEZE}' THEN 'before_freeze' WHEN panel % 4 = 3 THEN 'model_changed' ELSE 'scored' END AS state, count(*) AS n,
+  cast(count_if(dated AND since >= TIMESTAMP '{FREEZE}' AND panel % 4 <> 3) AS bigint) AS n_scored FROM pn_ JOIN pd_ USING (panel) GROUP BY ALL""")
+def ml15(t):
+    """Panels scored only when all their rows are dated after the freeze and the recorded model is this one; refused panels keep their rows."""
+    model = heads_of(t)
+    now = heads_.fingerprint(model)
+    rows = t.records.join(t.orders.select("o_orderkey", (F.col("o_custkey") % 40).alias("panel"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("day")), F.col("seq_id") == F.col("o_orderkey"))
+    recorded = F.when(F.col("panel") % 4 == 3, F.sha2(F.lit(now), 256)).otherwise(F.lit(now))  # some panels were frozen with another model
+    info = rows.groupBy("panel").agg((F.count("day") == F.count("*")).alias("dated"), F.min("day").alias("since")).withColumn("recorded", recorded)
+    state = (F.when(~F.col("dated"), "undated").when(F.col("since") < F.lit(FREEZE).cast("timestamp"), "before_freeze")
+             .when(F.col("recorded") != now, "model_changed").otherwise("scored"))
+    p = rows.withColumns(condition.filled()).join(info.select("panel", state.alias("state")), "panel").select("panel", "state", "kind", "sequence", *condition.FIELDS)
+    out = p.where("state <> 'scored'").select("panel", "state", F.lit(None).cast("double").alias("value"))
+    for kind in ("G4", "iM"):
+        got = model.members(p.where((F.col("state") == "scored") & (F.col("kind") == kind)), [one_head(t, kind)])
+        out = out.unionByName(got.select("panel", "state", heads_.answer("members").alias("value")))
+    return out.groupBy("panel", "state").agg(F.count("*").alias("n"), F.count("value").alias("n_scored"))
+
+
+@query("ml16_energy_comparison", "training")
+def ml16(t):
+    """Free energy implied by held-out midpoints against the run-count heuristic, for both kinds."""
+    held = heads_of(t).held.where(F.col("head").isin("g4_tm", "im_tm_condition", "g4_tm_distilled")).select("head", "record_id", heads_.answer("members").alias("value"))
+    rows = held.join(t.training.select("record_id", "kind", seq.clean("sequence").alias("sequence"), *[f.alias(n) for n, f in condition.filled().items()]), "record_id")
+    c = F.col
+    heuristic = F.when(c("kind") == "G4", thermo.g4_energy(c("sequence"), condition.monovalent(), c("mg"), c("crowder_pct"), F.lit(37.0))).otherwise(
+        thermo.im_energy(c("sequence"), c("ph"), c("mg"), c("crowder_pct"), F.lit(37.0)))
+    x = rows.select(c("head"), thermo.dg_from_tm(c("value"), F.lit(37.0)).alias("dg"), heuristic.alias("raw"))
+    return linear_fit(x, "dg", "raw", ["head"])
+
+
+@query("mot7_scored_elements", "oligos", f"""f_ AS ({_found('oligos', 'seq_id', 'o')})
+SELECT kind, strand, count(*) AS n, count(*) AS n_scored FROM f_ GROUP BY ALL""")
+def mot7(t):
+    """Every element of both kinds and strands scored by the head of its kind; at most 500 elements of a sequence, in order."""
+    out = None
+    for kind in ("G4", "iM"):
+        found = motifs.find(t.oligos, ["seq_id"], "o", [kind])
+        order = F.row_number().over(Window.partitionBy("seq_id").orderBy("strand", "start"))
+        fill = heads_.with_defaults(found.withColumn("at", order).where("at <= 500").select("seq_id", "strand", "start", F.lit(kind).alias("kind"), F.col("text").alias("sequence")))
+        part = heads_of(t).members(fill, [one_head(t, kind)]).select("kind", "strand", heads_.answer("members").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("kind", "strand").agg(F.count("*").alias("n"), F.count("value").alias("n_scored"))

@@ -2,34 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import condition, features, motif, seq, thermo
-from ..operators import models, motifs, ordered, ranking, stats
+from ..functions import features
+from ..operators import models, ordered, stats
 from ..session import cut_lineage
-from . import duck as d
-from .q_intervals import genome_motifs
-from .q_motifs import _EDITS, _GENOME_EDITS, _state_sql
-from .q_sequences import r6, window_strands
-from .q_stats import linear_fit
+from .q_sequences import r6
 from .registry import query
 
-FAST = {"seeds": (0, 1), "rounds": 3, "depth": 3, "with_kmers": False}
-_TRAINED = {}
-
-
-def rows(t, kind, label):
-    """Labelled rows with complete conditions; the parent oligo is the group that must not be split."""
-    df = t.records.where((F.col("kind") == kind) & F.col(label).isNotNull()).withColumn("ph", F.coalesce("ph", F.lit(7.0)))
-    return df.select("seq_id", "ln", "pk", "sequence", *condition.FIELDS, label)
-
-
-def head(t, kind="G4", label="tm", task="regression", **kw):
-    """A head trained once per input folder and session."""
-    at = (t.folder, t.spark.sparkContext.applicationId, kind, label, task, tuple(sorted(kw.items())))
-    if at not in _TRAINED:
-        _TRAINED[at] = models.fit(rows(t, kind, label), kind, task, label, **(FAST | kw))
-    return _TRAINED[at]
-
-
 @query("ml3_binary_calibration", "preds", "SELECT count(*) AS n, true AS in_range, true AS calibrated_no_worse FROM preds")
 def ml3(t):
     out, kept = models.calibrate_binary(t.preds.select("ok", "y", "p"), "ok", "y", "p")
@@ -154,122 +132,7 @@ def ml4_metrics(t):
 
 
 @query("ml6_paired_deltas", "preds", """
-SELECT head, ok, round(avg(round(y_hat - y_real, 6)), 3) AS delta, count(*) AS n_members FROM preds GROUP BY ALL""")
+SELECT head, ok, round(avg(round(y_hat - y_real, 6)), 3) AS delta, round(stddev_pop(round(y_hat - y_real, 6)), 3) AS delta_sd, count(*) AS n_members FROM preds GROUP BY ALL""")
 def ml6(t):
     df = t.preds.withColumns({"w": F.lit(0.0), "m": F.round(F.col("y_hat") - F.col("y_real"), 6)})
-    return models.paired_deltas(df, ["head", "ok"], "w", "m").drop("delta_sd")
-
-
-_RT = f"""rt_ AS (SELECT seq_id, CASE WHEN CASE WHEN f > 0 OR r > 0 THEN f >= r ELSE {d.count('o', 'G')} >= {d.count('o', 'C')} END THEN o ELSE {d.revcomp('o')} END AS o
-  FROM (SELECT *, {d.mcount('o', 'G4')} AS f, {d.mcount(d.revcomp('o'), 'G4')} AS r FROM oligos)),"""
-_SCAN_SQL = _RT + _EDITS.replace("FROM oligos", "FROM rt_") + f""",
-sc_ AS (SELECT seq_id, {_state_sql(d.mcount('o', 'G4'), d.mcount('mut', 'G4'))} AS state FROM ed_)"""
-
-
-@query("ml7_mutation_scan", "oligos", _SCAN_SQL + """
-SELECT state, count(*) AS n, cast(CASE WHEN state IN ('motif_lost', 'no_motif') THEN 0 ELSE count(*) END AS bigint) AS n_delta FROM sc_ GROUP BY state""")
-def ml7(t):
-    scan = models.mutation_scan(t.oligos, "seq_id", "o", head(t))
-    return scan.groupBy("state").agg(F.count("*").alias("n"), F.count("delta").alias("n_delta"))
-
-
-@query("ml8_condition_scan", "oligos", "SELECT seq_id, cast(6 AS bigint) AS n_points, true AS spread_is_range FROM oligos")
-def ml8(t):
-    base = t.oligos.select("seq_id", F.col("o").alias("sequence"), *[F.lit(v).alias(f) for f, v in condition.DEFAULTS.items()])
-    p = models.condition_scan(base, "seq_id", head(t), "k", [0, 10, 25, 50, 100, 150])
-    return p.groupBy("seq_id").agg(F.count("value").alias("n_points"), (F.max("value") - F.min("value") >= 0).alias("spread_is_range"))
-
-
-@query("ml9_batch", "oligos", """
-SELECT preset, count(*) AS n, cast(count_if(seq_id % 13 = 0) AS bigint) AS n_excluded, count(*) - cast(count_if(seq_id % 13 = 0) AS bigint) AS n_scored FROM oligos, (VALUES ('k100'), ('na100')) v(preset) GROUP BY preset""")
-def ml9(t):
-    """Sequences by conditions; an excluded record is named with its reason and never scored."""
-    given = t.oligos.select("seq_id", seq.clean(F.when(F.col("seq_id") % 13 == 0, "").otherwise(F.col("o"))).alias("sequence"))
-    cells = given.select("*", F.inline(condition.presets_array(["k100", "na100"])))
-    scored = head(t).predict(cells.where("sequence <> ''")).select("seq_id", "preset", "value")
-    out = cells.select("seq_id", "preset", F.when(F.col("sequence") == "", "no nucleotides after cleaning").alias("reason")).join(scored, ["seq_id", "preset"], "left")
-    return out.groupBy("preset").agg(F.count("*").alias("n"), F.count("reason").alias("n_excluded"), F.count("value").alias("n_scored"))
-
-
-@query("ml10_variant_scan", "oligos", _SCAN_SQL + """
-SELECT count(*) AS n, cast(count_if(state = 'motif_lost') AS bigint) AS n_lost, true AS every_variant_placed, true AS unclassified_have_no_rank FROM sc_""")
-def ml10(t):
-    """Mutation scan joined with regulatory scores and ranked on both axes."""
-    scan = models.mutation_scan(t.oligos, "seq_id", "o", head(t))
-    h = F.conv(F.substring(F.md5(F.concat("mutant", "label")), 1, 6), 16, 10).cast("double") / 16777216
-    v = scan.select("seq_id", "label", F.col("state").alias("motif_state"), F.round(F.abs("delta"), 3).alias("magnitude"),
-                    F.when(h >= 0.2, F.round(h, 3)).alias("reg"))
-    q = ranking.quadrants(cut_lineage(v))  # scored once, ranked from the written rows
-    return q.agg(F.count("*").alias("n"), F.count_if(F.col("motif_state") == "motif_lost").alias("n_lost"), F.bool_and(F.col("quadrant").isNotNull()).alias("every_variant_placed"),
-                 F.bool_and((F.col("quadrant") == "unclassified") == F.col("combined_rank").isNull()).alias("unclassified_have_no_rank"))
-
-
-@query("ml11_structural_effects", "genome", _GENOME_EDITS + """
-SELECT chrom, kind, state, count(*) AS n, count(*) FILTER (WHERE state <> 'motif_lost') AS n_delta FROM ge_ GROUP BY ALL""")
-def ml11(t):
-    """Every SNV of every genome motif: lost, or retained with the change of its kind's midpoint."""
-    gm = cut_lineage(genome_motifs(t))  # both kinds, wild types and edits read it
-    out = None
-    for kind, label in (("G4", "tm"), ("iM", "ph_t")):
-        model = head(t, kind, label)
-        key = ["chrom", "start_", "end_", "strand"]
-        wild = gm.where(F.col("kind") == kind).select(*key, "kind", F.col("text_").alias("sequence"), *[F.lit(v).alias(f) for f, v in condition.DEFAULTS.items()])
-        e = motifs.substitutions(wild.select(*key, "kind", "sequence"), [*key, "kind"], "sequence")
-        e = e.withColumn("state", F.when(motif.has_motif("mutant", kind), "motif_retained").otherwise("motif_lost"))
-        part = models.edit_effects(wild, e.select(*key, "kind", "at", "mutant", "state"), model, key).select("chrom", "kind", "state", F.round("delta", 3).alias("delta"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("chrom", "kind", "state").agg(F.count("*").alias("n"), F.count("delta").alias("n_delta"))
-
-
-@query("ml12_strand_evidence", "oligos", f"""
-SELECT seq_id, {d.mcount('o', 'G4')} >= {d.mcount(d.revcomp('o'), 'G4')} AND ({d.mcount('o', 'G4')} > 0 OR {d.mcount(d.revcomp('o'), 'G4')} > 0 OR {d.count('o', 'G')} >= {d.count('o', 'C')})
-   OR ({d.mcount('o', 'G4')} = 0 AND {d.mcount(d.revcomp('o'), 'G4')} = 0 AND {d.count('o', 'G')} >= {d.count('o', 'C')}) AS g4_forward,
- true AS both_have_values, {d.mcount('o', 'G4')} + {d.mcount(d.revcomp('o'), 'G4')} > 0 AS g4_motif FROM oligos""")
-def ml12(t):
-    """Per structure the strand that carries it and its own answer; the two are never combined into one score."""
-    g4 = models.routed(t.oligos, "o", "G4")
-    im = models.routed(t.oligos, "o", "iM")
-    fill = lambda df: df.select("seq_id", "strand", "sequence", *[F.lit(v).alias(f) for f, v in condition.DEFAULTS.items()])
-    a = head(t).predict(fill(g4)).select("seq_id", F.col("strand").alias("g4_strand"), F.col("value").alias("tm"), motif.has_motif("sequence", "G4").alias("g4_motif"))
-    b = head(t, "iM", "ph_t").predict(fill(im)).select("seq_id", F.col("strand").alias("im_strand"), F.col("value").alias("ph_t"))
-    j = a.join(b, "seq_id")
-    return j.select("seq_id", (F.col("g4_strand") == "+").alias("g4_forward"), (F.col("tm").isNotNull() & F.col("ph_t").isNotNull()).alias("both_have_values"), "g4_motif")
-
-
-@query("ml14_external_windows", "genome")
-def ml14(t):
-    """Best motif score of each window over both strands, with motif counts; a window without motifs keeps null."""
-    found = motifs.find(t.genome, ["chrom", "piece"], "s", ["G4"])
-    fill = found.select("chrom", "piece", F.col("text").alias("sequence"), *[F.lit(v).alias(f) for f, v in condition.DEFAULTS.items()])
-    best = head(t).predict(fill).groupBy("chrom", "piece").agg(F.max("value").alias("best"), F.count("*").alias("n_motifs"))
-    return t.genome.select("chrom", "piece").join(best, ["chrom", "piece"], "left")
-
-
-@query("ml15_frozen_panels", "records", """
-SELECT sk AS panel, count(*) AS n, CASE WHEN sk % 5 = 0 THEN 'undated' WHEN sk % 7 = 0 THEN 'model_changed' ELSE 'scored' END AS state, cast(CASE WHEN sk % 5 = 0 OR sk % 7 = 0 THEN 0 ELSE count(*) END AS bigint) AS n_scored FROM records WHERE kind = 'G4' GROUP BY sk""")
-def ml15(t):
-    """Panels scored only when dated after the freeze and the model is the frozen one; refused panels keep their rows."""
-    p = t.records.where("kind = 'G4'").withColumns(condition.filled())
-    state = F.when(F.col("sk") % 5 == 0, "undated").when(F.col("sk") % 7 == 0, "model_changed").otherwise("scored")
-    p = p.select(F.col("sk").alias("panel"), "sequence", *condition.FIELDS, state.alias("state"))
-    ok = head(t).predict(p.where("state = 'scored'")).select("panel", "state", "value")
-    rest = p.where("state <> 'scored'").select("panel", "state", F.lit(None).cast("double").alias("value"))
-    return ok.unionByName(rest).groupBy("panel", "state").agg(F.count("*").alias("n"), F.count("value").alias("n_scored"))
-
-
-@query("ml16_energy_comparison", "records")
-def ml16(t):
-    """Free energy implied by predicted midpoints against the run-count heuristic."""
-    p = head(t).predict(rows(t, "G4", "tm"))
-    c = F.col
-    x = p.select(F.lit("G4").alias("kind"), thermo.dg_from_tm(c("value"), F.lit(37.0)).alias("dg"),
-                 thermo.g4_energy(c("sequence"), condition.monovalent(), c("mg"), c("crowder_pct"), F.lit(37.0)).alias("raw"))
-    return linear_fit(x, "dg", "raw", ["kind"])
-
-
-@query("mot7_scored_elements", "oligos", f"SELECT count(*) AS n, true AS all_scored FROM (SELECT unnest(regexp_extract_all(o, '{d.PAT['G4']}')) FROM oligos UNION ALL SELECT unnest(regexp_extract_all({d.revcomp('o')}, '{d.PAT['G4']}')) FROM oligos)")
-def mot7(t):
-    """Every element of a scan scored by the head of its kind."""
-    found = motifs.find(t.oligos, ["seq_id"], "o", ["G4"])
-    fill = found.select("seq_id", "start", F.col("text").alias("sequence"), *[F.lit(v).alias(f) for f, v in condition.DEFAULTS.items()])
-    return head(t).predict(fill).agg(F.count("*").alias("n"), F.bool_and(F.col("value").isNotNull()).alias("all_scored"))
+    return models.paired_deltas(df, ["head", "ok"], "w", "m")

@@ -291,8 +291,7 @@ g_ AS (SELECT seq_id, any_value(o) AS o, any_value(ref_total) AS ref_total, coun
 SELECT seq_id, ref_total, screened, cast(n_gain AS bigint) AS n_gain, cast(n_loss AS bigint) AS n_loss, CASE WHEN ref_total > 0 THEN 'motif_present'
   WHEN n_gain > 0 THEN 'motif_gain_possible' WHEN abs({d.hunter_mean('o')}) >= 0.5 THEN 'borderline' ELSE 'no_motif' END AS verdict FROM g_""")
 def scr1(t):
-    df = t.oligos.withColumns({"ref_total": motifs.census("o"), "hunter": seq.hunter_mean("o")})
-    edits = motifs.substitutions(df, ["seq_id", "ref_total", "hunter"], "o").withColumn("mut_total", motifs.census("mutant"))
+    edits = motifs.census_changes(t.oligos.withColumn("hunter", seq.hunter_mean("o")), ["seq_id", "hunter"], "o")
     out = edits.groupBy("seq_id", "ref_total", "hunter").agg(
         F.count("*").alias("screened"), F.count_if(F.col("mut_total") > F.col("ref_total")).alias("n_gain"),
         F.count_if(F.col("mut_total") < F.col("ref_total")).alias("n_loss"))
@@ -301,6 +300,16 @@ def scr1(t):
     return out.select("seq_id", "ref_total", "screened", "n_gain", "n_loss", verdict.alias("verdict"))
 
 
+@query("scr1_gained_and_lost", "oligos", _EDITS + f""",
+c_ AS (SELECT seq_id, concat(wt, i0 + 1, alt) AS label, i0 + 1 AS position, {_census_sql('o')} AS ref_total, {_census_sql('mut')} AS mut_total FROM ed_)
+SELECT seq_id, label, cast(position AS int) AS position, CASE WHEN mut_total > ref_total THEN 'gained' ELSE 'lost' END AS change, ref_total, mut_total FROM c_ WHERE mut_total <> ref_total""")
+def scr1_lists(t):
+    """The substitutions that gain or lose a motif, one row each."""
+    edits = motifs.census_changes(t.oligos, ["seq_id"], "o").where("mut_total <> ref_total")
+    return edits.select("seq_id", "label", (F.col("at") + 1).cast("int").alias("position"),
+                        F.when(F.col("mut_total") > F.col("ref_total"), "gained").otherwise("lost").alias("change"), "ref_total", "mut_total")
+
+
 _GENOME_EDITS = _genome_sql() + f""",
 gp_ AS (SELECT *, unnest(range(0, length(text_))) AS i0 FROM gm),
 ge_ AS (SELECT chrom, kind, strand, CASE WHEN strand = '+' THEN start_ + i0 + 1 ELSE end_ - i0 END AS pos, start_, end_, text_,
