@@ -90,3 +90,21 @@ def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, wei
         best = best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= n)
         out = best if out is None else out.unionByName(best)
     return out
+
+
+VIOLATIONS = ["allele_mismatch", "outside_window", "duplicate_keys", "mixed_scorers", "count_mismatch"]
+
+
+def export_violations(rows: DataFrame, genome: DataFrame, piece_len: int, declared: DataFrame) -> DataFrame:
+    """Per chromosome how often a score export breaks its contract: chrom, n_rows and a count for each of VIOLATIONS.
+
+    rows: chrom, pos, ref, alt, scorer; genome: chrom, piece, s; declared: chrom and the number of rows its header names.
+    """
+    keys = rows.groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("n")).withColumn("piece", F.floor((F.col("pos") - 1) / piece_len))
+    x = keys.join(genome, ["chrom", "piece"], "left").withColumn("base", F.substr("s", (1 + (F.col("pos") - 1) % piece_len).cast("int"), F.lit(1)))
+    per_key = x.groupBy("chrom").agg(F.count_if(F.col("base") != F.col("ref")).alias("allele_mismatch"), F.count_if(F.col("base").isNull()).alias("outside_window"),
+                                     F.count_if(F.col("n") > 1).alias("duplicate_keys"))
+    whole = rows.groupBy("chrom").agg(F.count("*").alias("n_rows"), (F.countDistinct("scorer") - 1).alias("mixed_scorers"))
+    j = whole.join(per_key, "chrom").join(declared, "chrom", "left")
+    return j.select("chrom", "n_rows", "allele_mismatch", "outside_window", "duplicate_keys", "mixed_scorers",
+                    F.abs(F.coalesce("declared", F.lit(0)) - F.col("n_rows")).alias("count_mismatch"))

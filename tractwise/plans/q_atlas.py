@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq, variant
-from ..operators import atlas, manifest, motifs, ordered
+from ..operators import atlas, manifest, motifs, ordered, splits
 from ..sources import buffers, ingest, readers
 from . import duck as d
 from .q_motifs import _genome_sql, _hits_sql
@@ -377,26 +377,45 @@ def src17(t):
         "seq_id", "ln", "pk", F.col("row_value").alias("ph"), r6(strength * 1000).alias("k"), "tm")
 
 
-@query("src18_best_motif_in_window", "seqs", _hits_sql("seqs", "s", ["G4"]) + """,
-b_ AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY end_ - start_ DESC, score DESC, strand, start_) AS r FROM hits)
-SELECT s.seq_id, b_.strand, b_.start_, b_.text_, b_.seq_id IS NOT NULL AS kept FROM seqs s LEFT JOIN (SELECT * FROM b_ WHERE r = 1) b_ ON s.seq_id = b_.seq_id""")
+@query("src18_best_motif_in_window", "seqs", _hits_sql("seqs", "s", ["G4", "iM"]) + """,
+b_ AS (SELECT *, row_number() OVER (PARTITION BY seq_id, kind ORDER BY end_ - start_ DESC, score DESC, strand, start_) AS r FROM hits)
+SELECT s.seq_id, k.kind, b_.strand, b_.start_, b_.text_, b_.seq_id IS NOT NULL AS kept FROM seqs s CROSS JOIN (VALUES ('G4'), ('iM')) k(kind)
+LEFT JOIN (SELECT * FROM b_ WHERE r = 1) b_ ON s.seq_id = b_.seq_id AND k.kind = b_.kind""")
 def src18(t):
-    return best_motif(t.seqs).select("seq_id", "strand", "start_", "text_", "kept")
+    return best_motif(t.seqs).select("seq_id", "kind", "strand", "start_", "text_", "kept")
 
 
-def best_motif(windows, kind="G4"):
-    """Longest, then best-scoring motif of each window on either strand; a window without one stays, flagged."""
-    h = motifs.find(windows, ["seq_id"], "s", [kind])
+def best_motif(windows, kinds=("G4", "iM")):
+    """Longest, then best-scoring motif of each kind in each window, on either strand; a window without one stays, flagged."""
+    h = motifs.find(windows, ["seq_id"], "s", list(kinds))
     order = F.struct(F.col("end") - F.col("start"), F.round("score", 6), F.when(F.col("strand") == "+", 1).otherwise(0), -F.col("start"))
-    best = h.groupBy("seq_id").agg(F.max_by(F.struct("strand", F.col("start").alias("start_"), F.col("text").alias("text_")), order).alias("b"))
-    return windows.join(best, "seq_id", "left").select("seq_id", "s", "b.*", F.col("b").isNotNull().alias("kept"))
+    best = h.groupBy("seq_id", "kind").agg(F.max_by(F.struct("strand", F.col("start").alias("start_"), F.col("text").alias("text_")), order).alias("b"))
+    each = windows.select("seq_id", "s", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    return each.join(best, ["seq_id", "kind"], "left").select("seq_id", "kind", "s", "b.*", F.col("b").isNotNull().alias("kept"))
+
+
+@query("src18_motif_negatives", "seqs")
+def src18_negatives(t):
+    """Shuffles of the windows that still carry a motif of the kind, as far as 25 draws give one: windows, negatives, and those that changed composition."""
+    kept, out = best_motif(t.seqs).where("kept"), None
+    for kind in ("G4", "iM"):
+        draws = kept.where(F.col("kind") == kind).select("seq_id", "s", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("draw"))
+        draws = draws.withColumn("negative", splits.dinucleotide_shuffle(F.col("s"), F.col("seq_id"), F.col("draw")))
+        found = draws.where((F.col("negative") != F.col("s")) & (motif.has_motif("negative", kind) | motif.has_motif(seq.revcomp("negative"), kind)))
+        first = found.groupBy("seq_id", "s").agg(F.min_by("negative", "draw").alias("negative"))
+        moved = sum((F.abs(seq.count_of("s", b) - seq.count_of("negative", b)) for b in seq.BASES), F.lit(0))
+        part = first.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_negatives"), F.count_if(moved > 0).alias("n_composition_changed"))
+        part = ordered.attach(part, kept.where(F.col("kind") == kind).agg(F.count("*").alias("n_windows")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("agg21_motif_yield", "seqs", f"""
-SELECT seq_id % 20 AS sample, count(*) AS windows, cast(count_if({d.mcount('s', 'G4')} + {d.mcount(d.revcomp('s'), 'G4')} > 0) AS bigint) AS kept,
-  round(count_if({d.mcount('s', 'G4')} + {d.mcount(d.revcomp('s'), 'G4')} > 0) / count(*), 6) AS fraction FROM seqs GROUP BY ALL""")
+m_ AS (SELECT seq_id, 'G4' AS kind, {d.mcount('s', 'G4')} + {d.mcount(d.revcomp('s'), 'G4')} > 0 AS has FROM seqs
+  UNION ALL SELECT seq_id, 'iM', {d.mcount('s', 'iM')} + {d.mcount(d.revcomp('s'), 'iM')} > 0 FROM seqs)
+SELECT kind, seq_id % 20 AS sample, count(*) AS windows, cast(count_if(has) AS bigint) AS kept, round(count_if(has) / count(*), 6) AS fraction FROM m_ GROUP BY ALL""")
 def agg21(t):
-    return best_motif(t.seqs).groupBy((F.col("seq_id") % 20).alias("sample")).agg(
+    return best_motif(t.seqs).groupBy("kind", (F.col("seq_id") % 20).alias("sample")).agg(
         F.count("*").alias("windows"), F.count_if("kept").alias("kept"), r6(F.count_if("kept") / F.count("*")).alias("fraction"))
 
 

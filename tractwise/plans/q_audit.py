@@ -1,10 +1,12 @@
 """Overlap audits, leakage control, reconciliation, negatives and exports."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq
 from ..operators import atlas, manifest, motifs, ordered, overlap, splits, stats
-from ..sources import ingest, writers
+from ..sources import ingest, readers, writers
 from . import duck as d
 from .q_atlas import _COMPL, complementary, composition_deltas
 from .q_sequences import _POOL_CLASS, pool, r6
@@ -41,17 +43,18 @@ def snk3(t):
 
 @query("jn7_benchmark_contamination", "oligos records", """
 b_ AS (SELECT DISTINCT concat('set', seq_id % 6) AS benchmark, CASE WHEN seq_id % 5 = 0 THEN reverse(o) ELSE o END AS key FROM oligos),
-c_ AS (SELECT DISTINCT sequence AS key FROM records WHERE evidence_tier = 'predicted')
-SELECT benchmark, count(*) AS n, count(c_.key) AS n_hit, round(count(c_.key) / count(*), 4) AS fraction,
-  CASE WHEN count(c_.key) / count(*) > 0.05 THEN 'contamination_risk' ELSE 'no_material_overlap' END AS verdict FROM b_ LEFT JOIN c_ ON b_.key = c_.key GROUP BY benchmark""")
+c_ AS (SELECT sequence AS key, bool_or(evidence_tier = 'predicted') AS hit FROM records GROUP BY sequence)
+SELECT benchmark, count(*) AS n, cast(count_if(hit) AS bigint) AS n_hit, round(count_if(hit) / count(*), 4) AS fraction, round(count_if(c_.key IS NULL) / count(*), 4) AS fraction_new,
+  CASE WHEN count_if(hit) / count(*) > 0.05 THEN 'contamination_risk' ELSE 'no_material_overlap' END AS verdict, count_if(c_.key IS NULL) / count(*) < 0.5 AS mostly_known FROM b_ LEFT JOIN c_ ON b_.key = c_.key GROUP BY benchmark""")
 def jn7(t):
+    """Per benchmark set: the share that a training tier holds, and whether less than half of it is new to the table."""
     b = t.oligos.select(F.concat(F.lit("set"), (F.col("seq_id") % 6).cast("string")).alias("benchmark"),
                         seq.dna_key(F.when(F.col("seq_id") % 5 == 0, F.reverse("o")).otherwise(F.col("o"))).alias("key")).distinct()
-    c = t.records.where("evidence_tier = 'predicted'").select(seq.dna_key("sequence").alias("key"), F.lit(1).alias("hit")).distinct()
-    share = F.count("hit") / F.count("*")
+    c = t.records.groupBy(seq.dna_key("sequence").alias("key")).agg(F.bool_or(F.col("evidence_tier") == "predicted").alias("hit"), F.lit(1).alias("known"))
+    n, hits, new = F.count("*"), F.count_if("hit"), F.count_if(F.col("known").isNull())
     return b.join(c, "key", "left").groupBy("benchmark").agg(
-        F.count("*").alias("n"), F.count("hit").alias("n_hit"), F.round(share, 4).alias("fraction"),
-        F.when(share > 0.05, "contamination_risk").otherwise("no_material_overlap").alias("verdict"))
+        n.alias("n"), hits.alias("n_hit"), F.round(hits / n, 4).alias("fraction"), F.round(new / n, 4).alias("fraction_new"),
+        F.when(hits / n > 0.05, "contamination_risk").otherwise("no_material_overlap").alias("verdict"), (new / n < 0.5).alias("mostly_known"))
 
 
 def rna_pool(t):
@@ -79,6 +82,17 @@ def jn8(t):
     return ordered.attach(counts, both).select("n_sequences", "n_table_rows", F.col("n").alias("n_pairs"), r6("spearman").alias("rho"))
 
 
+@query("jn8_detail_rows", "records", _RNA + """
+SELECT translate(rn_.key, 'T', 'U') AS rna, rn_.key, score, count(*) AS n_rna_rows, any_value(at_.n) AS n_table_rows, any_value(med_tm) AS median_tm FROM rn_ JOIN at_ ON rn_.key = at_.key GROUP BY rn_.key, score""")
+def jn8_detail(t):
+    """Matched rows with both molecules: what the RNA row scored and what the table holds of its DNA twin."""
+    rna = rna_pool(t).select(seq.rna_key("rna").alias("rna"), seq.dna_key("rna").alias("key"), "score")
+    dna = t.records.withColumn("key", seq.dna_key("sequence"))
+    med = ordered.exact_quantiles(dna, "tm", [0.5], ["key"]).select("key", F.round("q0", 9).alias("median_tm"))
+    counts = rna.groupBy("rna", "key", "score").agg(F.count("*").alias("n_rna_rows"))
+    return counts.join(dna.groupBy("key").agg(F.count("*").alias("n_table_rows")), "key").join(med, "key", "left")
+
+
 @query("jn9_containment", "oligos seqs records", f"""
 ne_ AS (SELECT DISTINCT substr(o, cast(1 + seq_id % 5 AS bigint), cast(9 + seq_id % 4 AS bigint)) AS needle FROM oligos),
 le_ AS (SELECT DISTINCT length(needle) AS n FROM ne_),
@@ -228,6 +242,24 @@ def jn16(t):
         F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("ref") == F.col("alt")).alias("same_base"))
 
 
+@query("jn16_refused_exports", "snvs genome", """
+v_ AS (SELECT chrom, pos, ref, alt, count(*) AS n FROM snvs GROUP BY ALL),
+x_ AS (SELECT v_.*, substr(s, cast(1 + (pos - 1) % 96 AS bigint), 1) AS base FROM v_ LEFT JOIN genome g ON g.chrom = v_.chrom AND g.piece = (pos - 1) // 96),
+k_ AS (SELECT chrom, count(*) AS n_rows, count(DISTINCT concat('track', motif_id % (CASE WHEN chrom IN ('chr1', 'chr3') THEN 1 ELSE 3 END))) AS scorers FROM snvs GROUP BY chrom),
+b_ AS (SELECT chrom, count_if(base IS NULL) > 0 AS o, count_if(base <> ref) > 0 AS m, count_if(n > 1) > 0 AS d FROM x_ GROUP BY chrom)
+SELECT chrom, n_rows, concat_ws(';', CASE WHEN m THEN 'allele_mismatch' END, CASE WHEN o THEN 'outside_window' END, CASE WHEN d THEN 'duplicate_keys' END,
+  CASE WHEN scorers > 1 THEN 'mixed_scorers' END, CASE WHEN chrom = 'chr4' THEN 'count_mismatch' END) AS reasons,
+  CASE WHEN o OR m OR d OR scorers > 1 OR chrom = 'chr4' THEN 0 ELSE n_rows END AS n_accepted FROM k_ JOIN b_ USING (chrom)""")
+def jn16_refusals(t):
+    """An export that breaks its contract anywhere is refused as a whole, with every reason; only sound ones keep rows."""
+    tracks = F.when(F.col("chrom").isin("chr1", "chr3"), 1).otherwise(3)
+    rows = t.snvs.withColumn("scorer", F.concat(F.lit("track"), (F.col("motif_id") % tracks).cast("string")))
+    declared = rows.groupBy("chrom").agg((F.count("*") + F.when(F.col("chrom") == "chr4", 1).otherwise(0)).alias("declared"))  # one header lies
+    checked = overlap.export_violations(rows, t.genome, 96, declared)
+    reasons = F.concat_ws(";", *[F.when(F.col(c) > 0, c) for c in overlap.VIOLATIONS])
+    return checked.select("chrom", "n_rows", reasons.alias("reasons"), F.when(reasons == "", F.col("n_rows")).otherwise(0).alias("n_accepted"))
+
+
 @query("jn17_rebuild_comparison", "records", """
 o_ AS (SELECT source, count(*) AS n, count(tm) AS t, count(ph_t) AS p FROM records WHERE source <> 'src7' GROUP BY source), w_ AS (SELECT source, count(*) AS n, count(tm) AS t, count(ph_t) AS p FROM records
   WHERE source <> 'src2' AND NOT (source = 'src3' AND ep < 20000) GROUP BY source)
@@ -327,17 +359,19 @@ def agg13(t):
         F.round(F.count_if(strong & parent) / F.count_if(strong), 4).alias("concentration"))
 
 
-@query("agg14_batch_reconciliation", "oligos", """
-SELECT count(*) AS n_in, cast(count_if(seq_id % 13 <> 0) AS bigint) AS n_scored, cast(count_if(seq_id % 13 = 0) AS bigint) AS n_excluded, cast(0 AS bigint) AS unaccounted, (SELECT count(*) FROM (SELECT seq_id % 700 FROM oligos GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids FROM oligos""")
+@query("agg14_batch_reconciliation", "oligos records", """
+g_ AS (SELECT seq_id AS i, seq_id % 700 AS id, seq_id % 13 = 0 AS gone, EXISTS (SELECT 1 FROM records r WHERE r.seq_id = o.seq_id AND ln = 1) AS answered FROM oligos o)
+SELECT count(*) AS n_in, cast(count_if(NOT gone AND answered) AS bigint) AS n_scored, cast(count_if(gone) AS bigint) AS n_excluded, cast(count_if(NOT gone AND NOT answered) AS bigint) AS unaccounted,
+  (SELECT count(*) FROM (SELECT id FROM g_ GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids FROM g_""")
 def agg14(t):
-    """Every input lands in exactly one of scored and excluded, by index; duplicate ids are listed, not merged."""
+    """Inputs by index: scored, excluded with a reason, or unaccounted for (no answer came back); duplicate ids are listed, not merged."""
     given = t.oligos.select(F.col("seq_id").alias("i"), (F.col("seq_id") % 700).alias("id"), seq.clean(F.when(F.col("seq_id") % 13 == 0, "").otherwise(F.col("o"))).alias("c"))
-    scored, excluded = given.where("c <> ''").select("i"), given.where("c = ''").select("i", F.lit("no nucleotides after cleaning").alias("reason"))
-    state = given.join(scored.withColumn("s", F.lit(1)), "i", "left").join(excluded.withColumn("x", F.lit(1)), "i", "left")
+    answers = t.records.where("ln = 1").select(F.col("seq_id").alias("i"), F.lit(True).alias("answered")).distinct()
+    fate = F.when(F.col("c") == "", "excluded").when(F.col("answered"), "scored").otherwise("unaccounted")
+    state = given.join(answers, "i", "left").withColumn("fate", fate)
     dup = given.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_ids"))
-    out = state.agg(F.count("*").alias("n_in"), F.count("s").alias("n_scored"), F.count("x").alias("n_excluded"),
-                     F.count_if(F.col("s").isNull() == F.col("x").isNull()).alias("unaccounted"))
-    return ordered.attach(out, dup)
+    n = lambda f: F.count_if(F.col("fate") == f)
+    return ordered.attach(state.agg(F.count("*").alias("n_in"), n("scored").alias("n_scored"), n("excluded").alias("n_excluded"), n("unaccounted").alias("unaccounted")), dup)
 
 
 @query("agg15_response_summary", "preds", """
@@ -670,19 +704,54 @@ def spl8(t):
 
 
 # -------------------------------------------------------------------- exports
-@query("snk1_resumable_partitions", "genome", "SELECT chrom, count(*) AS n FROM genome WHERE chrom NOT IN ('chr1', 'chr3') GROUP BY chrom")
+@query("snk1_resumable_partitions", "genome", "SELECT chrom, count(*) AS n, CASE WHEN chrom IN ('chr1', 'chr3') THEN 0 ELSE count(*) END AS n_second_run, cast(0 AS bigint) AS n_third_run FROM genome GROUP BY chrom")
 def snk1(t):
-    """What a second run would still write when two chromosomes are there already."""
-    done = t.genome.where("chrom IN ('chr1', 'chr3')")
-    return writers.pending(t.genome, done).groupBy("chrom").agg(F.count("*").alias("n"))
+    """Two chromosomes written, then the run resumed twice: what each run wrote and what the table holds in the end."""
+    path = manifest.scratch(t.spark, "resumable")
+    writers.write_resumable(t.genome.where("chrom IN ('chr1', 'chr3')"), path)
+    before = t.spark.read.parquet(path).groupBy("chrom").agg(F.count("*").alias("n0")).collect()  # a row per chromosome
+    writers.write_resumable(t.genome, path)
+    middle = t.spark.read.parquet(path).groupBy("chrom").agg(F.count("*").alias("n1")).collect()
+    writers.write_resumable(t.genome, path)
+    held = t.spark.read.parquet(path).groupBy("chrom").agg(F.count("*").alias("n"))
+    had = t.spark.createDataFrame([(r["chrom"], r["n0"]) for r in before], "chrom string, n0 bigint")
+    then = t.spark.createDataFrame([(r["chrom"], r["n1"]) for r in middle], "chrom string, n1 bigint")
+    j = held.join(then, "chrom").join(had, "chrom", "left")
+    return j.select("chrom", "n", (F.col("n1") - F.coalesce("n0", F.lit(0))).alias("n_second_run"), (F.col("n") - F.col("n1")).alias("n_third_run"))
+
+
+@query("snk2_flat_export", "snvs", "SELECT chrom, cast(pos AS varchar) AS pos, ref, alt, state, cast(delta AS varchar) AS delta FROM snvs WHERE alt <> ref")
+def snk2(t):
+    """The export as written and read back: text in a fixed order, an absent number blank."""
+    path = exported(t)
+    return readers.read_delimited(t.spark, path).select("chrom", "pos", "ref", "alt", "state", "delta")
 
 
-@query("snk2_flat_export", "snvs", "SELECT chrom, cast(pos AS varchar) AS pos, ref, alt, state, coalesce(cast(delta AS varchar), '') AS delta FROM snvs")
-def snk2(t):
-    return writers.flat_export(t.snvs, ["chrom", "pos", "ref", "alt", "state", "delta"])
+@query("snk2_run_record", "snvs", """SELECT count(*) AS n_in, cast(count_if(alt = ref) AS bigint) AS n_excluded, cast(count_if(delta IS NULL) AS bigint) AS n_defaulted, '{"sort": "none"}' AS settings FROM snvs""")
+def snk2_record(t):
+    """The record beside the export: how many rows came in, were left out, and had no number."""
+    return t.spark.read.schema("n_in bigint, n_excluded bigint, n_defaulted bigint, settings string").json(exported(t) + ".run")
+
+
+def exported(t):
+    path = manifest.scratch(t.spark, "export") + ".csv"
+    record = writers.run_record(t.snvs, {"sort": "none"}, F.array_compact(F.array(F.when(F.col("delta").isNull(), F.lit("delta")))), F.col("alt") == F.col("ref"))
+    writers.write_csv(t.snvs.where("alt <> ref"), path, ["chrom", "pos", "ref", "alt", "state", "delta"], record)
+    return path
+
+
+_RECORD_COLUMNS = ["seq_id", "ln", "pk", "sk", "sequence", "kind"]
 
 
-@query("snk4_run_record", "records", """
-SELECT count(*) AS n_in, cast(count_if(tm IS NULL) AS bigint) AS n_excluded, cast(count_if(ph IS NULL) AS bigint) AS n_defaulted, '{"head": "g4_tm", "preset": "k100"}' AS settings FROM records""")
+@query("snk4_run_record", "records", f"""
+SELECT count(*) AS n_in, cast(count_if(tm IS NULL) AS bigint) AS n_excluded, cast(count_if(ph IS NULL) AS bigint) AS n_defaulted, '{{"head": "g4_tm", "preset": "k100"}}' AS settings,
+  '{{"crowder_pct": 0.0, "k": 100.0, "li_nh4": 0.0, "mg": 0.0, "na": 0.0, "ph": 7.0, "strand_conc": 5.0, "temperature": 25.0}}' AS condition, (SELECT {_DIGEST} FROM (SELECT sha256(concat_ws(chr(31), {", ".join(_RECORD_COLUMNS)})) AS h FROM records)) AS table_fingerprint,
+  (SELECT count(DISTINCT sequence) FROM records) AS n_sequences, '{{"no_tm": ' || cast(count_if(tm IS NULL) AS varchar) || '}}' AS exclusions FROM records""")
 def snk4(t):
-    return writers.run_record(t.records, {"preset": "k100", "head": "g4_tm"}, condition.imputed(), F.col("tm").isNull())
+    """The record of a run: rows, exclusions by reason, what was defaulted, the condition, and the digest of the table it ran on."""
+    record = writers.run_record(t.records, {"preset": "k100", "head": "g4_tm"}, condition.imputed(), F.col("tm").isNull())
+    digest = manifest.fingerprints(t.records.withColumn("all_", F.lit("all")), "all_", _RECORD_COLUMNS).select(F.col("fingerprint").alias("table_fingerprint"))
+    names = t.records.agg(F.countDistinct("sequence").alias("n_sequences"))
+    out = ordered.attach(ordered.attach(record, digest), names)
+    used = condition.DEFAULTS | condition.PRESETS["k100"]
+    return out.withColumns({"condition": F.lit(json.dumps({k: used[k] for k in sorted(used)})), "exclusions": F.concat(F.lit('{"no_tm": '), F.col("n_excluded").cast("string"), F.lit("}"))})
