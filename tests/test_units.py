@@ -317,7 +317,7 @@ def test_leader_groups_equal_a_greedy_pass(spark):
             i = rng.randrange(40)
             texts.add(base[:i] + rng.choice("ACGT") + base[i + 1:])
     order = sorted(texts, key=lambda s: (-len(s), s))
-    m = splits._count_matrix(order, 4)
+    m = splits.kmer_counts(order, 4)
     norm = (m * m).sum(axis=1)
     want, leaders = {}, []
     for i, s in enumerate(order):

@@ -113,7 +113,7 @@ def with_features(df: DataFrame, kind: str) -> DataFrame:
 def matrix(x, texts):
     """Named features and k-mer frequencies, one row per text: named sequence block, buffer blocks, 1-, 2- and 3-mers."""
     length = np.array([len(s) for s in texts])[:, None]
-    blocks = [splits._count_matrix(texts, k) / np.maximum(length - (k - 1), 1) for k in (1, 2, 3)]
+    blocks = [splits.kmer_counts(texts, k) / np.maximum(length - (k - 1), 1) for k in (1, 2, 3)]
     return np.concatenate([x, *blocks], axis=1).astype(np.float32)
 
 

@@ -1,10 +1,12 @@
 """Overlap between sequence sets: exact keys, containment, near matches, nearest neighbours."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import condition, seq
-from . import ordered
+from . import ordered, splits
 
 
 def contained(needles: DataFrame, needle: str, hay: DataFrame, hay_text: str) -> DataFrame:
@@ -53,43 +55,71 @@ def cation_pairs(df: DataFrame, least=5.0, share=0.15, ph=0.3) -> DataFrame:
         "sequence", "k", "na", ((F.col("ph_k") + F.col("ph_na")) / 2).alias("ph"), "tm_k", "tm_na", (F.col("_nk") * F.col("_nn")).alias("n_pairs"))
 
 
-QUERY_BLOCK = 1_000
+QUERY_BLOCK, ROW_BLOCK = 1_000, 50_000  # queries and rows that meet in one task
 
 
-def with_kmer_counts(df: DataFrame, s: str, k: int, name: str) -> DataFrame:
-    """Append the k-mer counts of a sequence as a map."""
-    df = df.withColumn("_km", F.filter(seq.kmers(s, k), lambda m: ~m.contains("N")))
-    names = F.array_distinct("_km")
-    return df.withColumn(name, F.map_from_arrays(names, F.transform(
-        names, lambda m: F.size(F.filter("_km", lambda x: x == m))))).drop("_km")
+def _six(x):
+    """Rounded to six places, halves away from zero, as SQL rounds."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
 
 
 def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, weight: float = 0.35, shortlist: int | None = None) -> DataFrame:
-    """The n rows nearest to each query in sequence and buffer.
+    """The n rows nearest to each query in sequence and buffer: query_id, row_id, similarity, joint, place.
 
     Cosine of k-mer counts, lowered by buffer distance, ranks every row; with a shortlist only the rows most similar in
-    sequence are ranked. Queries are taken in blocks of QUERY_BLOCK, each held by the tasks that read the table.
+    sequence are ranked. Rows and queries are dealt in blocks and every pair of blocks is one task, so neither the plan
+    nor a task grows with the number of queries. Inside, the joint score never exceeds the similarity: the joint score
+    of the n most similar rows bounds from below what another row must reach in similarity to be looked at at all.
     """
-    count = queries.count()
-    q = with_kmer_counts(queries, "q_sequence", k, "_q").select("query_id", "_q", *[F.col(f).alias(f"q_{f}") for f in condition.FIELDS])
-    rows = with_kmer_counts(table, "sequence", k, "_m")
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x * x)
-    dot = F.aggregate(F.map_entries("_q"), F.lit(0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("_m"), e["key"]), F.lit(0)))
-    d = condition.distance({f: F.col(f) for f in condition.FIELDS}, {f: F.col(f"q_{f}") for f in condition.FIELDS})
-    similar = F.round(F.coalesce(dot / F.sqrt(square(F.col("_q")) * square(F.col("_m"))), F.lit(0.0)), 6)
-    near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")  # rank limits are applied before the exchange
-    last = Window.partitionBy("query_id").orderBy(F.desc("joint"), "row_id")
-    out, blocks = None, max(1, -(-count // QUERY_BLOCK))
-    for block in range(blocks):
-        here = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        held = here.agg(F.collect_list(F.struct(*here.columns)).alias("_qs"))  # about QUERY_BLOCK rows
-        best = ordered.attach(rows, held).select(*rows.columns, F.inline("_qs")).withColumn("similarity", similar).drop("_q", "_m")
-        if shortlist is not None:
-            best = best.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= shortlist).drop("_r")
-        best = best.withColumn("joint", F.round(F.col("similarity") - weight * d / (1 + d), 6))
-        best = best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= n)
-        out = best if out is None else out.unionByName(best)
-    return out
+    row_blocks = max(1, -(-table.count() // ROW_BLOCK))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    fields = list(condition.STEP)
+    left = table.select("row_id", seq.clean("sequence").alias("s"), *[F.col(f).cast("double").alias(f) for f in fields],
+                        F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
+    right = queries.select("query_id", seq.clean("q_sequence").alias("s"), *[F.col(f).cast("double").alias(f) for f in fields],
+                           F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("i"))
+    keep = shortlist or n
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (table, "row_id"))}
+    out = f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, similarity double, distance double"
+
+    def compare(rows, asked):
+        found = []
+        if len(rows) and len(asked):
+            m, q = (splits.kmer_counts(list(x["s"]), k).astype(np.float64) for x in (rows, asked))
+            norm = np.sqrt(np.outer((q * q).sum(axis=1), (m * m).sum(axis=1)))
+            with np.errstate(invalid="ignore"):
+                similarity = _six(np.nan_to_num(q @ m.T / norm))
+            z, zq = (x[fields].to_numpy() for x in (rows, asked))
+            step, ids = np.array([condition.STEP[f] for f in fields]), rows["row_id"].to_numpy()
+
+            def distance(at, query):
+                return np.sqrt((((z[at] - zq[query]) / step) ** 2).sum(axis=1))
+
+            def joint(at, query, d):
+                return _six(similarity[query, at] - weight * d / (1 + d))
+
+            for query in range(len(asked)):
+                own = similarity[query]
+                top = np.argpartition(-own, min(keep, len(own)) - 1)[:keep]
+                if shortlist is None:
+                    least = np.sort(joint(top, query, distance(top, query)))[0] if len(top) == keep else -np.inf
+                    at = np.flatnonzero(own >= least)
+                    d = distance(at, query)
+                    rank = np.lexsort((ids[at], -joint(at, query, d)))[:keep]
+                else:
+                    at = np.flatnonzero(own >= own[top].min())
+                    d = distance(at, query)
+                    rank = np.lexsort((ids[at], -own[at]))[:keep]
+                found.append(pd.DataFrame({"query_id": asked["query_id"].iloc[query], "row_id": ids[at][rank], "similarity": own[at][rank], "distance": d[rank]}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["query_id", "row_id", "similarity", "distance"])
+
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, out)
+    if shortlist is not None:
+        near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")  # shortlist rows a block
+        best = best.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= shortlist).drop("_r")
+    best = best.withColumn("joint", F.round(F.col("similarity") - weight * F.col("distance") / (1 + F.col("distance")), 6)).drop("distance")
+    last = Window.partitionBy("query_id").orderBy(F.desc("joint"), "row_id")  # n rows a block
+    return best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= n)
 
 
 VIOLATIONS = ["allele_mismatch", "outside_window", "duplicate_keys", "mixed_scorers", "count_mismatch"]

@@ -85,7 +85,7 @@ def matched_negatives(positives: DataFrame, key: str, s: str, kind: str, n: int
 NUMERATOR, DENOMINATOR = 81, 100  # cosine 0.90, squared, so that whole numbers decide
 
 
-def _count_matrix(texts, k):
+def kmer_counts(texts, k):
     """k-mer counts of a batch of clean sequences, one row each."""
     m = np.zeros((len(texts), 4 ** k), dtype=np.int64)
     # all texts in one buffer, a blank between them; a window holding anything but ACGT does not count
@@ -130,12 +130,12 @@ def _similar_pairs(texts: DataFrame, k: int) -> DataFrame:
     def held(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += (_count_matrix(list(batch["s"]), k) > 0).sum(axis=0)
+            total += (kmer_counts(list(batch["s"]), k) > 0).sum(axis=0)
         yield pd.DataFrame({"i": np.arange(size), "n": total})
 
     def index(batches):
         for batch in batches:
-            row, kmer = np.nonzero(_heads(_count_matrix(list(batch["s"]), k), rank))
+            row, kmer = np.nonzero(_heads(kmer_counts(list(batch["s"]), k), rank))
             yield pd.DataFrame({"kmer": kmer, "s": batch["s"].to_numpy()[row]})
 
     found = texts.select("s").mapInPandas(held, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
@@ -145,7 +145,7 @@ def _similar_pairs(texts: DataFrame, k: int) -> DataFrame:
     rank = np.argsort(np.lexsort((np.arange(size), often)))
 
     def compare(_, group):
-        m = _count_matrix(list(group["s"]), k)
+        m = kmer_counts(list(group["s"]), k)
         head = _heads(m, rank)
         norm, s, kmer = (m * m).sum(axis=1), group["s"].to_numpy(), int(group["kmer"].iloc[0])
         low = np.flatnonzero((group["own"] == group["i"]).to_numpy())
