@@ -208,3 +208,12 @@ def test_nearest_rows_at_any_block_size(spark, monkeypatch, shortlist):
         results.append(sorted((r["query_id"], r["place"], r["row_id"], r["joint"]) for r in got))
     assert results[0] == results[1] and len(results[0]) == 3 * len(asked)
     assert [r[2] for r in results[0] if r[0] == 9][:2] == ["again", "agaim"][::-1]
+
+
+def test_equal_intervals_stay_in_one_locus(spark):
+    from tractwise.operators import intervals
+    rows = [("c", 10 * i, 10 * i + 8, j) for i in range(400) for j in range(3)]
+    df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, j int").repartition(9, "j")
+    for touching in (True, False):
+        got = intervals.merge(df, ["chrom"], "start", "end", 1_000, touching, [F.count("*").alias("n")])
+        assert sorted((r["start"], r["end"], r["n"]) for r in got.collect()) == [(10 * i, 10 * i + 8, 3) for i in range(400)]

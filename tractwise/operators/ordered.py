@@ -103,7 +103,9 @@ def running(df: DataFrame, keys, tile: str, order, value, name: str, how: str, i
     before = Window.partitionBy(*keys).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
     carry = df.groupBy(*keys, tile).agg(reduce("_v").alias("_t")).select(
         *keys, tile, reduce("_t").over(before).alias("_carry"))
-    inside = Window.partitionBy(*keys, tile).orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*keys, tile).orderBy(*order)
+    # a maximum that includes the row includes its equals in order too, so that it does not depend on how they are sorted
+    inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive and how == "max" else inside.rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     here = reduce("_v").over(inside)
     joined = df.join(carry, keys + [tile])
