@@ -28,11 +28,11 @@ REGRESSION = [s[0] for s in SPECS if s[2] == "regression"]
 _TRAINED = {}
 
 
-def heads_of(t, variants=(True,)) -> heads_.Heads:
-    """The heads fitted once per input folder and session, on everything their arguments say."""
-    at = (t.folder, t.spark.sparkContext.applicationId, variants)
+def heads_of(t, variants=(True,), only=None) -> heads_.Heads:
+    """The heads (or those named in `only`) fitted once per input folder and session, on everything their arguments say."""
+    at = (t.folder, t.spark.sparkContext.applicationId, variants, only)
     if at not in _TRAINED:
-        _TRAINED[at] = heads_.Heads(t.training, SPECS, variants=variants)
+        _TRAINED[at] = heads_.Heads(t.training, [s for s in SPECS if only is None or s[0] in only], variants=variants)
     return _TRAINED[at]
 
 
@@ -196,7 +196,7 @@ def ml5_coverage(t):
 SELECT head, conditions, count(*) AS n, round(avg(lab), 6) AS mean_label, cast(0 AS bigint) AS n_other_fold FROM sm_, (VALUES (true), (false)) v(conditions) WHERE task = 'regression' GROUP BY ALL""")
 def ml13(t):
     """Regression heads with and without buffer features over the same folds."""
-    held = heads_.out_of_fold(heads_of(t, (True, False)).fitted).where("task = 'regression'")
+    held = heads_.out_of_fold(heads_of(t, (True, False), tuple(REGRESSION)).fitted).where("task = 'regression'")
     folds = held.groupBy("head", "record_id").agg((F.min("fold") != F.max("fold")).alias("moved"))
     moved = folds.groupBy("head").agg(F.count_if("moved").alias("n_other_fold"))
     return held.groupBy("head", "conditions").agg(F.count("*").alias("n"), r6(F.avg("label")).alias("mean_label")).join(moved, "head")
@@ -205,7 +205,7 @@ def ml13(t):
 @query("ml13_ablation_metrics")
 def ml13_metrics(t):
     """What the buffer adds: R2 and MAE per regression head with and without its features."""
-    held = heads_.out_of_fold(heads_of(t, (True, False)).fitted).where("task = 'regression'")
+    held = heads_.out_of_fold(heads_of(t, (True, False), tuple(REGRESSION)).fitted).where("task = 'regression'")
     return stats.regression_metrics(held.withColumn("p", heads_.answer("members")), "label", "p", ["head", "conditions"])
 
 
@@ -228,17 +228,30 @@ rs_ AS (SELECT hkind, seq_id, CASE hkind WHEN 'G4' THEN {_state_sql(d.mcount('o'
   CASE hkind WHEN 'G4' THEN {d.mcount(d.revcomp('o'), 'G4')} = 0 AND {d.mcount(d.revcomp('mut'), 'G4')} > 0 ELSE {d.mcount(d.revcomp('o'), 'iM')} = 0 AND {d.mcount(d.revcomp('mut'), 'iM')} > 0 END AS other FROM re_)"""
 
 
-@query("ml7_mutation_scan", "training oligos", _TRAINED_SQL + ", " + _ROUTED_EDITS + """
+_SCAN_SQL = """
 SELECT head, state, count(*) AS n, cast(CASE WHEN state IN ('motif_lost', 'no_motif') THEN 0 ELSE count(*) END AS bigint) AS n_delta,
   cast(CASE WHEN state IN ('motif_lost', 'no_motif') THEN 0 ELSE count(*) END AS bigint) AS n_spread, cast(count_if(other) AS bigint) AS n_other_gain
-FROM rs_ JOIN tr_ USING (hkind) WHERE task <> 'multiclass' GROUP BY head, state""")
-def ml7(t):
-    """All substitutions of all oligos for all heads of one number."""
-    scan = heads_.mutation_scan(heads_of(t), t.oligos, "seq_id", "o", models.routed, motifs.substitutions, variant.motif_state)
+FROM rs_ JOIN tr_ USING (hkind) WHERE task <> 'multiclass'{} GROUP BY head, state"""
+
+
+def scan_counts(t, model):
+    scan = heads_.mutation_scan(model, t.oligos, "seq_id", "o", models.routed, motifs.substitutions, variant.motif_state)
     return scan.groupBy("head", "state").agg(F.count("*").alias("n"), F.count("delta").alias("n_delta"), F.count_if(F.col("delta_sd") >= 0).alias("n_spread"),
                                              F.count_if("other_gain").alias("n_other_gain"))
 
 
+@query("ml7_mutation_scan", "training oligos", _TRAINED_SQL + ", " + _ROUTED_EDITS + _SCAN_SQL.format(" AND head = 'g4_tm'"))
+def ml7(t):
+    """All substitutions of all oligos for the melting head."""
+    return scan_counts(t, heads_of(t, only=("g4_tm",)))
+
+
+@query("ml7_all_heads", "training oligos", _TRAINED_SQL + ", " + _ROUTED_EDITS + _SCAN_SQL.format(""))
+def ml7_all(t):
+    """All substitutions of all oligos for all heads of one number."""
+    return scan_counts(t, heads_of(t))
+
+
 _AXES = {"k": [0, 10, 25, 50, 100, 150], "ph": [5, 6, 7, 8], "crowder_pct": [0, 20, 40]}
 
 
