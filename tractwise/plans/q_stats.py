@@ -314,16 +314,21 @@ lv_ AS (SELECT kind, subst FROM pc_ WHERE cls = 'flank' GROUP BY ALL HAVING coun
 in_rows AS (SELECT * FROM pc_ WHERE cls <> 'other' AND (kind, subst) IN (SELECT (kind, subst) FROM lv_)),
 {_gram_sql("in_rows", _X14)},
 {_r2_sql("cl", [1, *_C], _Y)}, {_r2_sql("co", [1, *_S, _P], _Y)}, {_r2_sql("bo", [1, *_C, *_S, _P], _Y)}
-SELECT gm_.kind, cast(round(g[1][1]) AS bigint) AS n, round(clv_.r2, 6) AS motif_class, round(cov_.r2, 6) AS cpg_plus_subst, round(bov_.r2, 6) AS both_ FROM gm_ JOIN clv_ USING (kind) JOIN cov_ USING (kind) JOIN bov_ USING (kind)""")
+SELECT kind, coalesce(cast(round(g[1][1]) AS bigint), 0) AS n, round(clv_.r2, 6) AS motif_class, round(cov_.r2, 6) AS cpg_plus_subst, round(bov_.r2, 6) AS both_
+FROM (VALUES ('G4'), ('iM')) k(kind) LEFT JOIN gm_ USING (kind) LEFT JOIN clv_ USING (kind) LEFT JOIN cov_ USING (kind) LEFT JOIN bov_ USING (kind)""")
 def st14_r2(t):
-    """R2 of composition, of motif class and of both, out of one Gram matrix of the joint design."""
+    """R2 of composition, of motif class and of both, out of one Gram matrix of the joint design; null where no level is large enough."""
     df = ranked_rows(t).where("cls <> 'other'")
     x, blocks = design(df.join(large_levels(df), ["kind", "subst"], "left_semi").withColumn("cpg_", F.col("cpg").cast("double")))
     columns = ["one", *blocks["cls"], *blocks["subst"], "cpg_", "pct"]
     place = {c: i for i, c in enumerate(columns)}
     c, s = [place[n] for n in blocks["cls"]], [place[n] for n in blocks["subst"]] + [place["cpg_"]]
-    out = []
-    for kind, m in sorted(stats.gram(x, "kind", columns).items()):
+    out, grams = [], stats.gram(x, "kind", columns)
+    for kind in ("G4", "iM"):
+        if kind not in grams:
+            out.append((kind, 0, None, None, None))
+            continue
+        m = grams[kind]
         r2 = stats.nested_r2(m, {"motif_class": c, "cpg_plus_subst": s, "both_": [*c, *s]})
         out.append((kind, int(round(m[0, 0])), *[round(r2[n], 6) for n in ("motif_class", "cpg_plus_subst", "both_")]))
     return t.spark.createDataFrame(out, "kind string, n bigint, motif_class double, cpg_plus_subst double, both_ double")
@@ -338,14 +343,15 @@ s_ AS (SELECT f_.kind, motif_id, f_.subst, sum(pct - m) AS s FROM f_ JOIN l_ ON
 g_ AS (SELECT kind, count(DISTINCT motif_id) AS g FROM s_ GROUP BY kind),
 v_ AS (SELECT k_.kind, k_.subst, sum(power(d, 2)) AS v FROM k_ JOIN (SELECT k.kind, k.subst, motif_id, sum(CASE WHEN s_.subst = k.subst THEN s / k.n ELSE -s / k.nr END) AS d FROM k_ k JOIN s_ ON s_.kind = k.kind AND s_.subst IN (k.subst, k.ref) GROUP BY ALL) x ON x.kind = k_.kind AND x.subst = k_.subst GROUP BY ALL)
 SELECT kind, subst, ref AS reference, n, round(m - mr, 6) AS delta, round(sqrt(v * g / (g - 1.0::double) * (total - 1.0::double) / (total - levels)), 6) AS se
-FROM k_ JOIN v_ USING (kind, subst) JOIN g_ USING (kind) WHERE subst <> ref""")
+FROM k_ JOIN v_ USING (kind, subst) JOIN g_ USING (kind) WHERE subst <> ref
+UNION ALL SELECT kind, subst, NULL, count(*), NULL, NULL FROM f_ GROUP BY kind, subst HAVING count(*) < {LEAST_LEVEL}""")
 def st14_subst(t):
-    """Percentile shift of each substitution against the first one, on flank rows, clustered by motif; levels of 200 rows or more."""
-    df = ranked_rows(t)
-    levels = large_levels(df)
-    x, blocks = design(df.where("cls = 'flank'").join(levels, ["kind", "subst"], "left_semi"))
-    counts = {(r["kind"], r["subst"]): r["n"] for r in x.groupBy("kind", "subst").agg(F.count("*").alias("n")).collect()}  # kinds x six
-    out = []
+    """Percentile shift of each substitution against the first one, on flank rows, clustered by motif; smaller levels are listed without one."""
+    df = ranked_rows(t).where("cls = 'flank'")
+    x, _ = design(df.join(large_levels(df), ["kind", "subst"], "left_semi"))
+    every = {(r["kind"], r["subst"]): r["n"] for r in df.groupBy("kind", "subst").agg(F.count("*").alias("n")).collect()}  # kinds x six
+    counts = {k: n for k, n in every.items() if n >= LEAST_LEVEL}
+    out = [(*k, None, n, None, None) for k, n in every.items() if n < LEAST_LEVEL]
     for kind in sorted({k for k, _ in counts}):
         present = [s for s in SUBSTS if (kind, s) in counts]
         names = ["one", *[f"s_{SUBSTS.index(s)}" for s in present[1:]]]
@@ -427,15 +433,17 @@ def st13(t):
 k_ AS (SELECT kind FROM tp_ WHERE cls IN ('motif_lost', 'flank') GROUP BY kind HAVING sum(top1) >= {LEAST_EVENTS}),
 r_ AS (SELECT kind, motif_id, cls = 'motif_lost' AS a, top1 FROM tp_ WHERE cls IN ('motif_lost', 'flank') AND kind IN (SELECT kind FROM k_)),
 p_ AS (SELECT kind, avg(top1) FILTER (a) AS p1, avg(top1) FILTER (NOT a) AS p0, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n0, count(DISTINCT motif_id) AS g FROM r_ GROUP BY kind),
-s_ AS (SELECT r_.kind, motif_id, sum(CASE WHEN a THEN (top1 - p1) / (n1 * p1 * (1 - p1)) ELSE -(top1 - p0) / (n0 * p0 * (1 - p0)) END) AS s FROM r_ JOIN p_ USING (kind) GROUP BY ALL)
-SELECT kind, n0 + n1 AS n, g AS n_clusters, round(any_value(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))), 6) AS log_odds,
-  round(sqrt(sum(s * s) * g / (g - 1.0::double) * (n0 + n1 - 1.0::double) / (n0 + n1 - 2)), 6) AS se FROM s_ JOIN p_ USING (kind) GROUP BY kind, n0, n1, g""")
+s_ AS (SELECT r_.kind, motif_id, sum(CASE WHEN a THEN (top1 - p1) / (n1 * p1 * (1 - p1)) ELSE -(top1 - p0) / (n0 * p0 * (1 - p0)) END) AS s FROM r_ JOIN p_ USING (kind) GROUP BY ALL),
+o_ AS (SELECT kind, n0 + n1 AS n, g AS n_clusters, round(any_value(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))), 6) AS log_odds,
+  round(sqrt(sum(s * s) * g / (g - 1.0::double) * (n0 + n1 - 1.0::double) / (n0 + n1 - 2)), 6) AS se FROM s_ JOIN p_ USING (kind) GROUP BY kind, n0, n1, g)
+SELECT k.kind, n, n_clusters, log_odds, se FROM (VALUES ('G4'), ('iM')) k(kind) LEFT JOIN o_ ON o_.kind = k.kind""")
 def st13_class(t):
     """The same fit with the class alone, whose coefficient and clustered error have a closed form."""
     df = with_top(scored(t)).where("cls IN ('motif_lost', 'flank')").withColumns({"one": F.lit(1.0), "lost": (F.col("cls") == "motif_lost").cast("double")})
     enough = df.groupBy("kind").agg(F.sum("top1").alias("e")).where(F.col("e") >= LEAST_EVENTS).select("kind")
     fits = stats.clustered_logit(df.join(F.broadcast(enough), "kind", "left_semi").persist(), "kind", "top1", ["one", "lost"], "motif_id")  # two kinds
     out = [(kind, n, g, round(float(b[1]), 6), round(float(cov[1, 1]) ** 0.5, 6)) for kind, (b, cov, g, n, _) in sorted(fits.items())]
+    out += [(kind, None, None, None, None) for kind in ("G4", "iM") if kind not in fits]  # too few events
     return t.spark.createDataFrame(out, "kind string, n bigint, n_clusters bigint, log_odds double, se double")
 
 
