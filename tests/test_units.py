@@ -375,6 +375,41 @@ def test_containment_and_near_matches(spark):
     assert got == {("ACGA", "ACGT", 3, -3.0), ("ACGA", "TCGA", 0, -4.0)}
 
 
+def exchanged_rows(df):
+    """Rows written to shuffles by a collected query."""
+    todo, seen, total = [df._jdf.queryExecution().executedPlan()], set(), 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_single_substitution_pairs_send_a_sequence_twice_and_match_all_pairs(spark):
+    rng = random.Random(5)
+    texts = [random_dna(8, rng) for _ in range(60)]
+    crowd = ["GGGG" + "".join(x) for x in itertools.product("ACGT", repeat=4)]     # far more than FEW share a half
+    rows = [(i % 2, "GGGG" + x) for i, x in enumerate(texts)] + [(0, x) for x in crowd] + [(0, x) for x in (None, "", "A", "C", "AC", "AA", "ACG", "ATG")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "k int, s string, v double")
+    got = sorted(tuple(r) for r in overlap.hamming_one(df, ["k"], "s", ["v"]).select("k", "pos", "first", "second").collect())
+    known = sorted({r for r in rows if r[1]})
+    want = sorted((k, next(i for i in range(len(a)) if a[i] != b[i]), a, b) for k, a in known for j, b in known
+                  if k == j and len(a) == len(b) and a < b and sum(x != y for x, y in zip(a, b)) == 1)
+    assert got == want
+    few = spark.createDataFrame([(0, random_dna(32, rng), 1.0) for _ in range(500)], "k int, s string, v double")
+    pairs = overlap.hamming_one(few, ["k"], "s", ["v"])
+    pairs.collect()
+    assert exchanged_rows(pairs) <= 4 * 500  # before: one row per base
+
+
 def test_temperature_keeps_calibrated_posteriors(spark):
     rng = np.random.default_rng(9)
     rows = []

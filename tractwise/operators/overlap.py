@@ -24,21 +24,40 @@ def contained(needles: DataFrame, needle: str, hay: DataFrame, hay_text: str) ->
     return parts.join(distinct, "_part", "left_semi").distinct().withColumnRenamed("_part", needle)
 
 
+FEW = 64  # sequences that share a half and are compared with each other inside one row
+
+
 def hamming_one(df: DataFrame, keys, s: str, values) -> DataFrame:
     """Pairs of sequences differing in exactly one base within a buffer, replicates averaged first.
 
-    Sequences are matched on their text with one position blanked; such a group
-    holds at most one sequence per letter, whatever the table's size.
+    Such a pair is equal in one half and differs in the other, so a sequence travels twice, once under each half. Those
+    few that share a half are compared in place; where many do, they meet under the other half with one position
+    blanked, which at most one sequence per letter can share, whatever the table's size.
     """
-    mean = df.groupBy(*keys, s).agg(*[F.avg(v).alias(v) for v in values])
-    blank = mean.select("*", F.explode(F.sequence(F.lit(1), F.length(s))).alias("pos")).withColumn(
-        "_pattern", F.overlay(F.col(s), F.lit("*"), F.col("pos"), F.lit(1)))
-    sides = blank.groupBy(*keys, "pos", "_pattern").agg(F.array_sort(F.collect_list(F.struct(s, *values))).alias("_g")).where(F.size("_g") > 1)
-    pairs = F.flatten(F.transform("_g", lambda a, i: F.transform(
-        F.slice("_g", i + 2, F.size("_g")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    out = sides.select(*keys, (F.col("pos") - 1).alias("pos"), F.explode(pairs).alias("p"))
-    return out.select(*keys, "pos", F.col(f"p.a.{s}").alias("first"), F.col(f"p.b.{s}").alias("second"),
-                      *[F.col(f"p.a.{v}").alias(f"{v}_first") for v in values], *[F.col(f"p.b.{v}").alias(f"{v}_second") for v in values])
+    mean = df.where(F.col(s).isNotNull()).groupBy(*keys, s).agg(*[F.avg(v).alias(v) for v in values])
+    n, cut = F.length(s), F.floor(F.length(s) / 2).cast("int")
+    halves = F.array(*[F.struct(F.lit(side).alias("side"), n.alias("n"), F.substr(s, F.lit(1) + start, length).alias("same"))
+                       for side, start, length in ((0, F.lit(0), cut), (1, cut, n - cut))])
+    shared = [*keys, "_h.side", "_h.n", "_h.same"]
+    met = mean.withColumn("_h", F.explode(halves)).withColumn("_c", F.count("*").over(Window.partitionBy(*shared)))
+    row = F.struct(s, *values)
+
+    def paired(groups, close):
+        pairs = F.flatten(F.transform("_g", lambda a, i: F.transform(
+            F.filter(F.slice("_g", i + 2, F.size("_g")), lambda b: close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        return groups.select(*keys, F.explode(pairs).alias("p"))
+
+    few = met.where(F.col("_c").between(2, FEW)).groupBy(*shared).agg(F.array_sort(F.collect_list(row)).alias("_g"))
+    pairs = paired(few, lambda a, b: F.levenshtein(a[s], b[s], 1) == 1)  # of equal length: one substitution
+    first, last = F.when(F.col("_h.side") == 0, cut + 1).otherwise(1), F.when(F.col("_h.side") == 0, n).otherwise(cut)
+    blank = met.where(F.col("_c") > FEW).where(last >= first).select(*keys, s, *values, F.explode(F.sequence(first, last)).alias("_at"))
+    blank = blank.withColumn("_pattern", F.overlay(F.col(s), F.lit("*"), F.col("_at"), F.lit(1)))
+    many = blank.groupBy(*keys, "_at", "_pattern").agg(F.array_sort(F.collect_list(row)).alias("_g")).where(F.size("_g") > 1)
+    pairs = pairs.unionByName(paired(many, lambda a, b: F.lit(True)))
+    a, b = F.col(f"p.a.{s}"), F.col(f"p.b.{s}")
+    pos = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), True) - 1
+    return pairs.select(*keys, pos.cast("int").alias("pos"), a.alias("first"), b.alias("second"),
+                        *[F.col(f"p.a.{v}").alias(f"{v}_first") for v in values], *[F.col(f"p.b.{v}").alias(f"{v}_second") for v in values])
 
 
 def cation_pairs(df: DataFrame, least=5.0, share=0.15, ph=0.3) -> DataFrame:
