@@ -410,6 +410,25 @@ def test_single_substitution_pairs_send_a_sequence_twice_and_match_all_pairs(spa
     assert exchanged_rows(pairs) <= 4 * 500  # before: one row per base
 
 
+def test_containment_sends_what_passes_the_filter_and_matches_plain_search(spark, monkeypatch):
+    rng = random.Random(6)
+    hay = [random_dna(rng.randint(0, 40), rng) for _ in range(80)] + ["", None, "\u20acx\U0001f600yz"]
+    needles = [random_dna(rng.randint(1, 6), rng) for _ in range(300)] + ["\u20acx\U0001f600", "x\u20ac", None, random_dna(45, rng)] + [h[:7] for h in hay[:20]]
+    texts, wanted = spark.createDataFrame([(h,) for h in hay], "h string"), spark.createDataFrame([(n,) for n in needles], "n string")
+    want = sorted({n for n in needles if n is not None and any(h is not None and n in h for h in hay)})
+    for many, piece in ((1000, 1 << 16), (0, 1 << 16), (1000, 10)):   # in one search, in two, in pieces
+        monkeypatch.setattr(overlap, "MANY", many)
+        monkeypatch.setattr(overlap, "PIECE", piece)
+        assert sorted(r["n"] for r in overlap.contained(wanted, "n", texts, "h").collect()) == want
+    monkeypatch.setattr(overlap, "MANY", 1000)
+    long = spark.createDataFrame([(random_dna(5000, rng),) for _ in range(20)], "h string")
+    rare = spark.createDataFrame([(random_dna(n, rng),) for n in range(20, 40)], "n string")
+    found = overlap.contained(rare, "n", long, "h")
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and exchanged_rows(found) < 1000   # before: 2,000,000 stretches, joined
+
+
 def test_temperature_keeps_calibrated_posteriors(spark):
     rng = np.random.default_rng(9)
     rows = []

@@ -6,22 +6,107 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import condition, seq
+from ..session import cut_lineage
 from . import ordered, splits
 
 
+BITS, MARKS = 27, 3       # log2 of the bits of a filter over needles (16 MB, whatever their number) and how many a needle sets
+MANY, SLICE = 100_000, 64  # needles from which on one text in SLICE is searched first, to settle the frequent ones
+PIECE = 1 << 16           # letters that are hashed together
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _stretches(text, lengths):
+    """Per length the 64-bit polynomial hashes of all stretches of a text, by place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64))
+        down = np.cumprod(np.r_[np.uint64(1), np.full(len(codes), pow(_BASE, -1, 1 << 64), dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
+        for n in lengths:
+            at = len(total) - n
+            yield n, (total[n:] - total[:max(at, 0)]) * down[:max(at, 0)]
+
+
+def _mark(h, i):
+    """The i-th of the bits that a hash sets: the leading bits of its product with an odd number."""
+    with np.errstate(over="ignore"):
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(pow(_BASE, 2 * i + 3, 1 << 64))) >> np.uint64(64 - BITS)
+
+
+def _filter(needles: DataFrame, needle: str):
+    """(bits of all needles, their lengths), both of bounded size."""
+    def marks(batches):
+        for batch in batches:
+            h = np.array([next(_stretches(x, [len(x)]))[1][0] for x in batch[needle]], dtype=np.uint64)
+            yield pd.DataFrame({"bit": np.unique(np.concatenate([_mark(h, i) for i in range(MARKS)])).astype(np.int64)})
+
+    at = needles.mapInPandas(marks, "bit long").groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for r in at.collect():  # 4,096 rows of 4 kB
+        bits[4096 * r["bucket"]:4096 * (r["bucket"] + 1)] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return bits, sorted(r["n"] for r in needles.select(F.length(needle).alias("n")).distinct().collect())  # up to the longest needle
+
+
+def _search(needles: DataFrame, needle: str, texts: DataFrame) -> DataFrame:
+    """Those needles that stand in a text. Only stretches that pass the filter leave their task; equality decides."""
+    bits, lengths = _filter(needles, needle)
+    if not lengths:
+        return needles
+    held, most = needles.sparkSession.sparkContext.broadcast(bits), PIECE
+
+    def candidates(batches):
+        bits = held.value
+
+        def marked(h, i):
+            bit = _mark(h, i)
+            return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        def found(pieces):
+            text, ends = "".join(pieces), np.repeat(np.cumsum([len(x) for x in pieces]), [len(x) for x in pieces])
+            out = set()
+            for n, h in _stretches(text, [n for n in lengths if n <= len(text)]):
+                at = np.flatnonzero(marked(h, 0))
+                if n:
+                    at = at[at + n <= ends[at]]
+                for i in range(1, MARKS):
+                    at = at[marked(h[at], i)]
+                out.update(text[i:i + n] for i in at.tolist())
+            return pd.DataFrame({needle: sorted(out)}, dtype=object)
+
+        for batch in batches:
+            pieces, size = [], 0
+            for x in batch["_t"].unique():
+                for start in range(0, max(len(x), 1), most):
+                    pieces.append(x[start:start + most + lengths[-1]])
+                    size += len(pieces[-1])
+                    if size >= most:
+                        yield found(pieces)
+                        pieces, size = [], 0
+            if pieces:
+                yield found(pieces)
+
+    parts = texts.mapInPandas(candidates, f"`{needle}` string").distinct()
+    # neither side is bounded, so neither is broadcast
+    return parts.join(needles.hint("merge"), needle, "left_semi")
+
+
 def contained(needles: DataFrame, needle: str, hay: DataFrame, hay_text: str) -> DataFrame:
     """Distinct needles occurring inside some haystack text.
 
-    Every haystack substring of a length some needle has is matched by equality,
-    so a text shared by a third of the rows costs its own length and no pairs.
+    Stretches of a length some needle has are looked up in a filter of fixed size inside the task that reads the text;
+    the few that pass are matched by equality. Of many needles, those met in the first share of the texts are settled
+    there, and the rest of the texts is searched for the others.
     """
-    lengths = needles.select(F.length(needle).alias("n")).distinct()  # bounded by the longest needle
-    texts = hay.select(F.col(hay_text).alias("_t")).distinct().join(F.broadcast(lengths), F.length("_t") >= F.col("n"))
-    parts = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1),
-                                               lambda i: F.substr(F.col("_t"), i, F.col("n")))).alias("_part"))
-    # the needles are the small side: a semi join on the parts lets them travel
-    distinct = needles.select(F.col(needle).alias("_part")).distinct()
-    return parts.join(distinct, "_part", "left_semi").distinct().withColumnRenamed("_part", needle)
+    wanted = cut_lineage(needles.select(needle).where(F.col(needle).isNotNull()).distinct())
+    texts = hay.select(F.col(hay_text).alias("_t")).where("_t IS NOT NULL")
+    if wanted.count() <= MANY:
+        return _search(wanted, needle, texts)
+    early = F.pmod(F.xxhash64("_t"), F.lit(SLICE)) == 0
+    met = cut_lineage(_search(wanted, needle, texts.where(early)))
+    left = cut_lineage(wanted.join(met.hint("merge"), needle, "left_anti"))
+    return met.unionByName(_search(left, needle, texts.where(~early)))
 
 
 FEW = 64  # sequences that share a half and are compared with each other inside one row
