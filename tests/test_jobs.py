@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tractwise.functions import condition
 from tractwise.operators import boosting, manifest, motifs, overlap, splits, stats
 from tractwise.sources import readers, writers
 
@@ -210,6 +211,22 @@ def test_nearest_rows_at_any_block_size(spark, monkeypatch, shortlist):
     assert [r[2] for r in results[0] if r[0] == 9][:2] == ["again", "agaim"][::-1]
 
 
+def test_nearest_rows_are_found_where_partitions_stay_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    fields = list(condition.DEFAULTS)
+    columns = ", ".join(f"{f} double" for f in fields)
+    rows = [(f"r{i:03}", "".join(rng.choice("ACGT") for _ in range(12)), *[0.0] * 8) for i in range(120)]
+    table = spark.createDataFrame(rows, f"row_id string, sequence string, {columns}")
+    queries = table.selectExpr("row_id AS query_id", "sequence AS q_sequence", *fields).where("row_id < 'r010'")
+    monkeypatch.setattr(overlap, "ROW_BLOCK", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as in large tables
+    try:
+        got = overlap.neighbours(queries, table, n=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 30 and {(r["query_id"], r["similarity"]) for r in got if r["place"] == 1} == {(f"r{i:03}", 1.0) for i in range(10)}
+
+
 def test_equal_intervals_stay_in_one_locus(spark):
     from tractwise.operators import intervals
     rows = [("c", 10 * i, 10 * i + 8, j) for i in range(400) for j in range(3)]

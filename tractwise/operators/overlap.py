@@ -175,13 +175,14 @@ def neighbours(queries: DataFrame, table: DataFrame, n: int = 5, k: int = 3, wei
     nor a task grows with the number of queries. Inside, the joint score never exceeds the similarity: the joint score
     of the n most similar rows bounds from below what another row must reach in similarity to be looked at at all.
     """
+    # block numbers are of one type on both sides: a group is placed by a hash that depends on it
     row_blocks = max(1, -(-table.count() // ROW_BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     fields = list(condition.STEP)
     left = table.select("row_id", seq.clean("sequence").alias("s"), *[F.col(f).cast("double").alias(f) for f in fields],
-                        F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
+                        F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
     right = queries.select("query_id", seq.clean("q_sequence").alias("s"), *[F.col(f).cast("double").alias(f) for f in fields],
-                           F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("i"))
+                           F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("i"))
     keep = shortlist or n
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (table, "row_id"))}
     out = f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, similarity double, distance double"
