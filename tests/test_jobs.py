@@ -227,6 +227,22 @@ def test_nearest_rows_are_found_where_partitions_stay_apart(spark, monkeypatch):
     assert len(got) == 30 and {(r["query_id"], r["similarity"]) for r in got if r["place"] == 1} == {(f"r{i:03}", 1.0) for i in range(10)}
 
 
+def test_answers_of_all_rows_are_never_broadcast(spark):
+    """Answers grow with the table; the size the optimizer guesses for them does not tell."""
+    from tractwise.operators import heads
+    model = object.__new__(heads.Heads)
+    rng = np.random.default_rng(3)
+    width = len(heads.columns_of("G4")) + 84
+    model.spark, model.specs, model.fixed_ph = spark, {"h": ("h", "G4", "regression", "tm")}, {}
+    model.models = {"h": [boosting.fit(rng.random((40, width), dtype=np.float32), rng.random(40), "regression", 1, 0, 3)]}
+    rows = heads.with_defaults(spark.range(20).select(F.col("id").alias("seq_id"), F.lit("GGGTTAGGGTTAGGGTTAGGG").alias("sequence")))
+    edits = rows.withColumn("sequence", F.lit("GGGTTAGGGTTAGGGTTAGGA")).withColumn("label", F.lit("G21A"))
+    out = heads.member_deltas(model, rows, edits, ["seq_id"], ["h"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == 20 and len({r["delta"] for r in got}) == 1
+
+
 def test_equal_intervals_stay_in_one_locus(spark):
     from tractwise.operators import intervals
     rows = [("c", 10 * i, 10 * i + 8, j) for i in range(400) for j in range(3)]
