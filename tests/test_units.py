@@ -429,6 +429,19 @@ def test_containment_sends_what_passes_the_filter_and_matches_plain_search(spark
     assert "BroadcastHashJoin" not in plan and exchanged_rows(found) < 1000   # before: 2,000,000 stretches, joined
 
 
+def test_motif_shuffles_stop_at_the_first_that_serves(spark):
+    rng = random.Random(9)
+    texts = ["GGGTTAGGGTTAGGGTTAGGG" + random_dna(20, rng, "GGGACT") for _ in range(30)] + ["GGGG", "CCCTAACCCTAACCCTAACCC"]
+    want = {}
+    for i, s in enumerate(texts):
+        draws = [splits._shuffle_one(s, np.random.default_rng(splits.zlib.crc32(f"{i}|{n}|{s}".encode()))) for n in range(25)]
+        want[i] = next(((x, n + 1) for n, x in enumerate(draws) if x != s and (re.search(motif.PATTERN["G4"], x) or re.search(motif.PATTERN["G4"], rc(x)))), (None, 25))
+    first = splits.motif_shuffle(F.col("s"), "G4", 25, F.col("i"))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    assert {r["i"]: r["x"] for r in df.select("i", first.alias("x")).collect()} == {i: x for i, (x, _) in want.items()}
+    assert sum(n for _, n in want.values()) < 25 * len(texts) / 2   # the draws that are needed; before, all 25 were made
+
+
 def test_temperature_keeps_calibrated_posteriors(spark):
     rng = np.random.default_rng(9)
     rows = []

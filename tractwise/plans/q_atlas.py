@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import condition, motif, seq, variant
 from ..operators import atlas, manifest, motifs, ordered, splits
+from ..session import cut_lineage
 from ..sources import buffers, ingest, readers
 from . import duck as d
 from .q_motifs import _genome_sql, _hits_sql
@@ -397,12 +398,10 @@ def best_motif(windows, kinds=("G4", "iM")):
 @query("src18_motif_negatives", "seqs")
 def src18_negatives(t):
     """Shuffles of the windows that still carry a motif of the kind, as far as 25 draws give one: windows, negatives, and those that changed composition."""
-    kept, out = best_motif(t.seqs).where("kept"), None
+    kept, out = cut_lineage(best_motif(t.seqs).where("kept").select("seq_id", "kind", "s")), None
     for kind in ("G4", "iM"):
-        draws = kept.where(F.col("kind") == kind).select("seq_id", "s", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("draw"))
-        draws = draws.withColumn("negative", splits.dinucleotide_shuffle(F.col("s"), F.col("seq_id"), F.col("draw")))
-        found = draws.where((F.col("negative") != F.col("s")) & (motif.has_motif("negative", kind) | motif.has_motif(seq.revcomp("negative"), kind)))
-        first = found.groupBy("seq_id", "s").agg(F.min_by("negative", "draw").alias("negative"))
+        drawn = kept.where(F.col("kind") == kind).withColumn("negative", splits.motif_shuffle(F.col("s"), kind, 25, F.col("seq_id")))
+        first = drawn.where("negative IS NOT NULL").groupBy("seq_id", "s").agg(F.first("negative").alias("negative"))
         moved = sum((F.abs(seq.count_of("s", b) - seq.count_of("negative", b)) for b in seq.BASES), F.lit(0))
         part = first.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_negatives"), F.count_if(moved > 0).alias("n_composition_changed"))
         part = ordered.attach(part, kept.where(F.col("kind") == kind).agg(F.count("*").alias("n_windows")))
