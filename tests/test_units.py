@@ -332,6 +332,22 @@ def test_leader_groups_equal_a_greedy_pass(spark):
     assert got == want and len(leaders) < len(order)
 
 
+def test_pairs_of_a_crowd_equal_every_dot_product(monkeypatch):
+    rng = random.Random(11)
+    texts = [b[:i] + random_dna(rng.choice((0, 1, 9)), rng) + b[i:] for b in ("GGGGTGGGGAGGGGCGGGGT" * 2, random_dna(32, rng)) for i in range(30)]
+    texts += ["ACG"] + [random_dna(32, rng) for _ in range(40)]
+    m = splits.kmer_counts(texts, 4)
+    norm = (m * m).sum(axis=1)
+    similar = lambda x, y: norm[x] and norm[y] and 100 * int(m[x] @ m[y]) ** 2 >= 81 * int(norm[x]) * int(norm[y])
+    every, cut = np.arange(len(texts)), 50
+    monkeypatch.setattr(splits, "STRIPE", 7)
+    for low, high, alone in ((every, every, True), (every[:cut], every[cut:], False)):
+        parts = list(splits._near(m, low, high, alone, most=11))
+        got = [(int(x), int(y)) for a, b in parts for x, y in zip(a, b)]
+        want = [(x, y) for x in low for y in high if (x < y or not alone) and similar(x, y)]
+        assert sorted(got) == sorted(want) and want and max(len(a) for a, _ in parts) <= 11
+
+
 def test_groups_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     base = [random_dna(30, rng) for _ in range(60)]
