@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,3 +480,18 @@ def test_effect_class_order(spark):
     df = spark.createDataFrame([("motif_lost", -9.0), ("x", -5.0), ("x", -2.0), ("x", 1.9), ("x", 2.0), ("x", None)], "s string, d double")
     got = [r[0] for r in df.select(variant.effect_class(F.col("s"), F.col("d"), F.lit("G4"))).collect()]
     assert got == ["motif_lost", "destabilising", "moderate", "neutral", "stabilising", "other"]
+
+
+def test_window_means_of_a_batch_equal_a_loop_over_bases():
+    def plain(s, window):
+        score = []
+        for r in re.findall(r"G+|C+|[^GC]+", s):
+            score += [{"G": min(len(r), 4), "C": -min(len(r), 4)}.get(r[0], 0)] * len(r)
+        w = min(window, len(s))
+        return [sum(score[i:i + w]) / w for i in range(len(s) - w + 1)] if s else [0.0]
+
+    rng = random.Random(12)
+    texts = ["", None, "GGG", "GGGGG", "C", "GGGAéGGGGGGCCCCC", "NNNN", None, *[random_dna(n, rng) for n in (24, 25, 26, 32, 96)], ""]
+    want = [None if s is None else plain(s, 25) for s in texts]
+    assert seq.window_means(pa.array(texts, pa.string())).to_pylist() == want
+    assert seq.window_means(pa.array([], pa.string())).to_pylist() == []
