@@ -1,5 +1,6 @@
 """Contracts on literal data: ties, touching intervals, nulls, skew, partitioning."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tractwise.functions import condition, features, motif, seq, variant
-from tractwise.operators import intervals, models, motifs, ordered, overlap, ranking, splits, stats
+from tractwise.operators import heads, intervals, models, motifs, ordered, overlap, ranking, splits, stats
 from tractwise.sources import buffers, ingest, readers, writers
 
 TELOMERE = "AGGGTTAGGGTTAGGGTTAGGG"
@@ -495,3 +496,16 @@ def test_window_means_of_a_batch_equal_a_loop_over_bases():
     want = [None if s is None else plain(s, 25) for s in texts]
     assert seq.window_means(pa.array(texts, pa.string())).to_pylist() == want
     assert seq.window_means(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_head_sample_is_the_smallest_hashes_and_filters_before_the_join(spark):
+    ids = [(f"r{i}", i, "a" if i % 3 else "b") for i in range(900)] + [("z1", 1, "few")]
+    left = spark.createDataFrame(ids, "record_id string, n int, head string").repartition(5)
+    rows = left.join(spark.range(900).withColumnRenamed("id", "n").hint("merge"), "n")
+    got = heads.sampled(rows, most=50, least=10)
+    draw = lambda r: int(hashlib.md5(r.encode()).hexdigest()[:8], 16)
+    want = {(h, r) for h in "ab" for r in sorted((r for r, _, of in ids if of == h), key=lambda r: (draw(r), r))[:50]}
+    assert {(r["head"], r["record_id"]) for r in got.collect()} == want and got.columns == rows.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan[plan.index("Join"):]
+    assert heads.sampled(rows.where("head = 'few'"), least=10).isEmpty()
