@@ -250,3 +250,50 @@ def test_equal_intervals_stay_in_one_locus(spark):
     for touching in (True, False):
         got = intervals.merge(df, ["chrom"], "start", "end", 1_000, touching, [F.count("*").alias("n")])
         assert sorted((r["start"], r["end"], r["n"]) for r in got.collect()) == [(10 * i, 10 * i + 8, 3) for i in range(400)]
+
+
+def test_batch_features_equal_columns(spark):
+    from tractwise.functions import features
+    rng = random.Random(5)
+    texts = ["", "G", "GGG", "NNNN", "GGGTTAGGGTTAGGGTTAGGG", "CCCTCCCTCCCTCCC", "GGG" + "A" * 13 + "GGGTGGGTGGGTGGG"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 130))) for letters in ("ACGT", "GGGGTTA", "CCCCCAT", "ACGTN", "GC") * 60]
+    rows = [(i, s, *[float(rng.choice([0, 0.3, 10, 100])) for _ in range(4)], rng.choice([5.0, 7.4]), 37.0, float(rng.choice([0, 20])), 5.0) for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, sequence string, " + ", ".join(f"{f} double" for f in condition.FIELDS))
+    given = {f: np.array([r[2 + j] for r in rows]) for j, f in enumerate(condition.FIELDS)}
+    for kind in ("G4", "iM", "locus"):
+        x, names = features.featurize(df, "sequence", kind, True, False)
+        want = [r["x"] for r in x.select("i", F.array(*[F.col(n).cast("float") for n in names]).alias("x")).orderBy("i").collect()]
+        have = features.batch_matrix(features.sequence_blocks(texts, kind), given)
+        assert have.shape == (len(texts), len(names) + 84)
+        assert np.allclose(np.array(want, dtype=np.float64), have[:, :len(names)], rtol=1e-6, atol=1e-7)
+
+
+def test_answers_in_rows_equal_joined_ones(spark):
+    """Mutation deltas, scans and answers side by side need no join and no shuffle, and equal those of single questions."""
+    from tractwise.operators import heads
+    model = object.__new__(heads.Heads)
+    rng = np.random.default_rng(3)
+    width = len(heads.columns_of("G4")) + 84
+    model.spark, model.fixed_ph = spark, {"b": 5.0}
+    model.specs = {h: (h, "G4", "regression", "tm") for h in "ab"}
+    model.models = {h: [boosting.fit(rng.random((40, width), dtype=np.float32), rng.random(40), "regression", 1, seed, 3) for seed in range(2)] for h in "ab"}
+    letters = random.Random(4)
+    wild = heads.with_defaults(spark.createDataFrame([(i, "".join(letters.choice("GGGTA") for _ in range(24))) for i in range(30)], "seq_id int, sequence string"))
+    edits = motifs.substitutions(wild, ["seq_id", *condition.FIELDS], "sequence").withColumnRenamed("sequence", "wild").withColumn("sequence", F.col("mutant"))
+    edits = edits.drop("mutant").withColumn("asked", F.col("at") % 2 == 0)
+    got = model.deltas(edits, ["a", "b"], "wild", "asked")
+    assert "Join" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+    want = heads.member_deltas(model, wild, edits.where("asked"), ["seq_id"], ["a", "b"])
+    want = {(r["seq_id"], r["label"], r["head"]): (r["delta"], r["delta_sd"]) for r in want.collect()}
+    rows = got.collect()
+    assert len(rows) == 2 * edits.count() and sum(r["delta"] is not None for r in rows) == len(want) > 0
+    for r in rows:
+        assert r["asked"] == (r["delta"] is not None)
+        assert not r["asked"] or np.allclose((r["delta"], r["delta_sd"]), want[r["seq_id"], r["label"], r["head"]])
+    one = {(r["seq_id"], r["head"]): r["members"] for r in model.members(wild).collect()}
+    blank = heads.with_defaults(spark.createDataFrame([(99, "")], "seq_id int, sequence string"))
+    side = model.wide(wild.unionByName(blank), ["a", "b"], "own").collect()
+    assert {(r["seq_id"], x["head"]): x["members"] for r in side for x in r["own"]} == one and len(side) == 31
+    scan = model.scanned(wild, ["a"], "k", [0, 100])
+    assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+    assert {(r["seq_id"], "a"): r["members"] for r in scan.where("point = 100").collect()} == {k: v for k, v in one.items() if k[1] == "a"}
