@@ -57,3 +57,20 @@ def test_perplexity_equals_plain_model(spark, model_rows):
     for r in got:
         judged = r.n_words >= perplexity.MIN_WORDS and r.perplexity is not None and r.threshold is not None
         assert r.kept == (r.perplexity <= r.threshold if judged else r.n_words > 0)
+
+
+@pytest.mark.parametrize("model_rows", [1_000_000, 40, 0])
+def test_words_without_a_number_keep_their_own_counts(spark, model_rows):
+    """With three numbered words a language, all others and their bigrams still count one by one."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(words[int(40 * rng.random() ** 2)] for _ in range(rng.randrange(5, 60))) for _ in range(90)]
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)] + [(200, "unseen words only " * 9, "en"), (201, "word1 " * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    models = {lang: plain([t for d, t, x in rows if d < 90 and d % 2 == 0 and x == lang]) for lang in ("en", None)}
+    got = {r.doc_id: math.log(r.perplexity) for r in perplexity.quality_by_perplexity(docs, labels, size=3, model_rows=model_rows).collect()}
+    assert len(got) == len(rows)
+    for d, t, lang in rows:
+        w = split(t)
+        assert abs(got[d] + sum(models[lang](a, b) for a, b in zip([None, *w], w)) / len(w)) < 1e-4
