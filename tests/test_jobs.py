@@ -297,3 +297,15 @@ def test_answers_in_rows_equal_joined_ones(spark):
     scan = model.scanned(wild, ["a"], "k", [0, 100])
     assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
     assert {(r["seq_id"], "a"): r["members"] for r in scan.where("point = 100").collect()} == {k: v for k, v in one.items() if k[1] == "a"}
+
+
+def test_genome_hits_do_not_depend_on_how_pieces_are_packed(spark, monkeypatch):
+    rng = random.Random(21)
+    pieces = [(c, i, "".join(rng.choice("GGGGGCCCCAT") for _ in range(96))) for c in ("chr1", "chr2") for i in range(200)]
+    df = spark.createDataFrame(pieces, "chrom string, piece bigint, s string")
+    results = []
+    assert motifs.PACKED <= 16_384  # a piece's hits are put together one by one
+    for size in (96, motifs.PACKED, 65_536):
+        monkeypatch.setattr(motifs, "PACKED", size)
+        results.append(sorted(tuple(r) for r in motifs.genome_hits(df, 96).collect()))
+    assert results[0] == results[1] == results[2] and results[0]
