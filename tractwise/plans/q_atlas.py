@@ -41,7 +41,7 @@ def src1_lengths(t):
 @query("src1_fasta_to_motifs", "genome", _genome_sql() + "SELECT * FROM gm")
 def src1_motifs(t):
     """From FASTA text to the motifs of the genome: byte ranges, pieces, hits."""
-    hits = motifs.genome_hits(readers.fasta_pieces(t.spark, fasta_file(t)), 65_536)
+    hits = motifs.genome_hits(readers.fasta_pieces(t.spark, fasta_file(t), motifs.PACKED), motifs.PACKED)
     return hits.withColumnsRenamed({"start": "start_", "end": "end_", "text": "text_"})
 
 
