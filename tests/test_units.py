@@ -509,3 +509,26 @@ def test_head_sample_is_the_smallest_hashes_and_filters_before_the_join(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" in plan[plan.index("Join"):]
     assert heads.sampled(rows.where("head = 'few'"), least=10).isEmpty()
+
+
+def test_counted_spearman_equals_ranks_of_single_rows(spark):
+    rng = np.random.default_rng(3)
+    cells = [(float(x) if x < 9 else None, float(y), int(rng.integers(1, 6))) for x in range(10) for y in rng.permutation(12)[:5]]
+    df = spark.createDataFrame(cells, "x double, y double, c bigint")
+    single = df.select("x", "y", F.explode(F.sequence(F.lit(1), "c")).alias("i"))
+    got, want = stats.counted_spearman(df, "x", "y", "c").first(), stats.correlation(single, "x", "y").first()
+    assert got["n"] == want["n"] and abs(got["spearman"] - want["spearman"]) < 1e-12
+    assert stats.counted_spearman(df.where("x > 50"), "x", "y", "c").first()["n"] == 0
+
+
+def test_molecules_meet_in_one_grouping_of_counted_rows(spark):
+    from tractwise.plans import q_audit
+    rows = [("ACGT", 50.0, 30)] * 500 + [("ACGT", 52.0, 34), ("ACGT", None, 34), ("GGGA", None, 10)]
+
+    class Given:
+        records = spark.createDataFrame(rows, "sequence string, tm double, qty bigint")
+    per = {r["key"]: r for r in q_audit.molecule_keys(Given).collect()}
+    assert per["ACGT"]["n_rows"] == 502 and per["ACGT"]["med_tm"] == 50.0 and len(per["ACGT"]["scores"]) == 3  # cells, not rows
+    assert per["GGGA"]["n_rows"] == 1 and per["GGGA"]["med_tm"] is None
+    got = q_audit.jn8(Given).first()
+    assert (got["n_sequences"], got["n_table_rows"], got["n_pairs"]) == (2, 502 * 502 + 1, 502)

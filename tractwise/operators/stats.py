@@ -58,6 +58,18 @@ def correlation(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
     return out.withColumns({"ci_low": F.when(ok, F.tanh(z - half)), "ci_high": F.when(ok, F.tanh(z + half))})
 
 
+def counted_spearman(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
+    """n and Spearman (average ties) of rows given as counted cells (x, y, n), one row.
+
+    Ranks are looked up in the marginal counts; deviations from the middle rank keep the sums small at any size.
+    """
+    cells = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rank = lambda v, name: ordered.value_ranks(cells, v, sums={"_w": n}).select(v, (F.col("_w_below") + (F.col("_w") + 1) / 2 - (F.col("_w_total") + 1) / 2).alias(name))
+    both = cells.join(rank(x, "_rx"), x).join(rank(y, "_ry"), y)
+    product = lambda a, b: F.sum(F.col(n) * F.col(a) * F.col(b))
+    return both.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.try_divide(product("_rx", "_ry"), F.sqrt(product("_rx", "_rx") * product("_ry", "_ry"))).alias("spearman"))
+
+
 def regression_metrics(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     e = F.col(p) - F.col(y)
     return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys).agg(
