@@ -532,3 +532,19 @@ def test_molecules_meet_in_one_grouping_of_counted_rows(spark):
     assert per["GGGA"]["n_rows"] == 1 and per["GGGA"]["med_tm"] is None
     got = q_audit.jn8(Given).first()
     assert (got["n_sequences"], got["n_table_rows"], got["n_pairs"]) == (2, 502 * 502 + 1, 502)
+
+
+def test_matched_negatives_are_chosen_in_the_row_of_their_positive(spark):
+    rng = random.Random(12)
+    texts = ["GGGTTAGGGTTAGGGTTAGGG" + random_dna(9, rng, "GGGACT") for _ in range(25)] + ["GGGG", "ACGTACGTTGCA"]
+    want = {}
+    for i, s in enumerate(texts):
+        draws = [splits._shuffle_one(s, np.random.default_rng(splits.zlib.crc32(f"{i}|{n}|4|{s}".encode()))) for n in range(50)]
+        good = [x != s and not re.search(motif.PATTERN["G4"], x) for x in draws]
+        best = sorted(range(50), key=lambda n: (not good[n], n))[:2]
+        want |= {(i, c + 1): (draws[n], good[n]) for c, n in enumerate(best)}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    found = splits.matched_negatives(df, "i", "s", "G4", n=2, seed=4)
+    assert {(r["i"], r["copy"]): (r["negative"], r["accepted"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan   # before: every draw was a row, ranked in a window
