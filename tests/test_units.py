@@ -548,3 +548,19 @@ def test_matched_negatives_are_chosen_in_the_row_of_their_positive(spark):
     assert {(r["i"], r["copy"]): (r["negative"], r["accepted"]) for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan   # before: every draw was a row, ranked in a window
+
+
+def test_gains_of_the_other_strand_equal_a_search_of_every_edit(spark):
+    rng = random.Random(21)
+    texts = [random_dna(rng.randint(18, 60), rng, "CCCCCAGT") for _ in range(150)] + ["CCCACCCACCCNCCC", "CCCACCCACCC#CCC", "CCCACCCACCAACCC", "ACCACCCACCCACCC", "GCCACCCACCCACCCU", "", "ccc"]
+    for kind, pattern in motif.PATTERN.items():
+        free = [(i, s) for i, s in enumerate(x if kind == "G4" else rc(x) for x in texts) if not re.search(pattern, s[::-1].translate(str.maketrans("ACGTUN", "TGCAAN")))]
+        want = set()
+        for i, s in free:
+            for at, wt in enumerate(s):
+                for alt in "ACGT":
+                    edit = s[:at] + alt + s[at + 1:]
+                    if alt != wt and re.search(pattern, edit[::-1].translate(str.maketrans("ACGTUN", "TGCAAN"))):
+                        want.add((i, f"{wt}{at + 1}{alt}"))
+        found = motifs.other_strand_gains(spark.createDataFrame(free, "i int, s string"), ["i"], "s", kind)
+        assert {(r["i"], r["label"]) for r in found.collect()} == want and len(want) > 20
