@@ -564,3 +564,13 @@ def test_gains_of_the_other_strand_equal_a_search_of_every_edit(spark):
                         want.add((i, f"{wt}{at + 1}{alt}"))
         found = motifs.other_strand_gains(spark.createDataFrame(free, "i int, s string"), ["i"], "s", kind)
         assert {(r["i"], r["label"]) for r in found.collect()} == want and len(want) > 20
+
+
+def test_counted_rows_rank_and_bin_like_single_rows(spark):
+    rng = np.random.default_rng(8)
+    cells = [(h, float(v), int(y), int(rng.integers(1, 9))) for h in "ab" for v in rng.integers(0, 25, 30) for y in (0, 1)]
+    df = spark.createDataFrame(cells, "h string, p double, y int, c bigint")
+    single = df.select("h", "p", "y", F.explode(F.sequence(F.lit(1), "c")).alias("i"))
+    plain = lambda x: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect())
+    assert plain(stats.ranking_metrics(df, "y", "p", ["h"], "c")) == plain(stats.ranking_metrics(single, "y", "p", ["h"]))
+    assert plain(stats.reliability(df, "y", "p", ["h"], weight="c")) == plain(stats.reliability(single, "y", "p", ["h"]))

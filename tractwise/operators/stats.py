@@ -15,9 +15,9 @@ from . import ordered
 
 
 # ------------------------------------------------------------- classification
-def ranking_metrics(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
-    """AUROC (average ties) and average precision per key."""
-    r = ordered.value_ranks(df, p, keys, {"pos": F.col(y)})
+def ranking_metrics(df: DataFrame, y: str, p: str, keys=(), weight=None) -> DataFrame:
+    """AUROC (average ties) and average precision per key; `weight` names how many rows a counted row stands for."""
+    r = ordered.value_ranks(df, p, keys, {"pos": F.col(y) * F.col(weight) if weight else F.col(y)}, weight)
     neg, neg_below, neg_total = F.col("n") - F.col("pos"), F.col("below") - F.col("pos_below"), F.col("total") - F.col("pos_total")
     wins = F.col("pos") * (neg_below + neg / 2)
     precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("total") - F.col("below"))
@@ -28,13 +28,17 @@ def ranking_metrics(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
         F.when(F.max("pos_total") > 0, F.sum(F.col("pos") / F.col("pos_total") * precision)).alias("auprc"))
 
 
-def reliability(df: DataFrame, y: str, p: str, keys=(), bins: int = 10) -> DataFrame:
-    """Bins between distinct quantile edges: *keys, bin, n, conf, acc, total. The upper edge of a bin is inside it."""
+def reliability(df: DataFrame, y: str, p: str, keys=(), bins: int = 10, weight=None) -> DataFrame:
+    """Bins between distinct quantile edges: *keys, bin, n, conf, acc, total. The upper edge of a bin is inside it.
+
+    `weight` names how many rows a counted row stands for.
+    """
     keys = list(keys)
     probs = [i / bins for i in range(bins + 1)]
-    edges = ordered.exact_quantiles(df, p, probs, keys).select(
+    edges = ordered.exact_quantiles(df, p, probs, keys, weight).select(
         *keys, F.array_sort(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(bins + 1)]))).alias("edges"))
-    counted = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    counted = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("n"), F.sum(F.col(y) * F.col(weight) if weight else F.col(y)).alias("pos"))
     joined = counted.join(edges, keys) if keys else ordered.attach(counted, edges)
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = joined.where(F.size("edges") > 1).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
@@ -64,7 +68,7 @@ def counted_spearman(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
     Ranks are looked up in the marginal counts; deviations from the middle rank keep the sums small at any size.
     """
     cells = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda v, name: ordered.value_ranks(cells, v, sums={"_w": n}).select(v, (F.col("_w_below") + (F.col("_w") + 1) / 2 - (F.col("_w_total") + 1) / 2).alias(name))
+    rank = lambda v, name: ordered.value_ranks(cells, v, weight=n).select(v, (ordered.average_rank() - (F.col("total") + 1) / 2).alias(name))
     both = cells.join(rank(x, "_rx"), x).join(rank(y, "_ry"), y)
     product = lambda a, b: F.sum(F.col(n) * F.col(a) * F.col(b))
     return both.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.try_divide(product("_rx", "_ry"), F.sqrt(product("_rx", "_rx") * product("_ry", "_ry"))).alias("spearman"))

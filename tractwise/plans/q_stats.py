@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import condition, seq, thermo
 from ..operators import ordered, ranking, stats
+from ..session import cut_lineage
 from . import duck as d
 from .q_sequences import r6
 from .q_variants import SCORED, TOP, scored, with_top
@@ -495,10 +496,10 @@ def rescaled(df, s, keys):
 ec_ AS (SELECT head, sum(abs(acc - conf) * n) / sum(n) AS ece FROM cv_ GROUP BY head)
 SELECT au_.head, round(auroc, 6) AS auroc, round(ece, 5) AS ece FROM au_ JOIN ec_ ON au_.head = ec_.head""")
 def st17(t):
-    rows = baseline_rows(t)
-    auc = stats.ranking_metrics(rows, "y", "s", ["head"]).select("head", r6("auroc").alias("auroc"))
+    rows = cut_lineage(baseline_rows(t).groupBy("head", "s", "y").agg(F.count("*").alias("rows")))  # distinct scores; the table is read once
+    auc = stats.ranking_metrics(rows, "y", "s", ["head"], "rows").select("head", r6("auroc").alias("auroc"))
     p = rescaled(rows, "s", ["head"])
-    ece = stats.calibration_error(stats.reliability(p, "y", "p", ["head"]), ["head"]).select("head", F.round("ece", 5).alias("ece"))
+    ece = stats.calibration_error(stats.reliability(p, "y", "p", ["head"], weight="rows"), ["head"]).select("head", F.round("ece", 5).alias("ece"))
     return auc.join(ece, "head")
 
 
