@@ -309,3 +309,16 @@ def test_genome_hits_do_not_depend_on_how_pieces_are_packed(spark, monkeypatch):
         monkeypatch.setattr(motifs, "PACKED", size)
         results.append(sorted(tuple(r) for r in motifs.genome_hits(df, 96).collect()))
     assert results[0] == results[1] == results[2] and results[0]
+
+
+def test_logit_passes_read_counted_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("k", float(rng.random() < 0.3 + 0.2 * (i % 3 == 0)), 1.0, float(i % 3 == 0), i % 40) for i in range(1200)]
+    df = spark.createDataFrame(rows, "key string, y double, one double, a double, g int")
+    read, plain = [], stats.gram
+    monkeypatch.setattr(stats, "gram", lambda x, *a: read.append(x.count()) or plain(x, *a))
+    beta, _, clusters, n, settled = stats.clustered_logit(df, "key", "y", ["one", "a"], "g")["k"]
+    y, a = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+    odds = lambda p: np.log(p / (1 - p))
+    assert settled and n == 1200 and clusters == 40 and np.allclose(beta, [odds(y[a == 0].mean()), odds(y[a == 1].mean()) - odds(y[a == 0].mean())])
+    assert max(read[:-1]) == 4   # before: every pass read all rows; the last reads one row per cluster

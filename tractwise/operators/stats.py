@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import cut_lineage
 from . import ordered
 
 
@@ -298,14 +299,17 @@ def clustered_linear(df: DataFrame, key: str, y: str, columns, cluster: str):
 def clustered_logit(df: DataFrame, key: str, y: str, columns, cluster: str, passes: int = 30, tolerance: float = 1e-10):
     """Per key logistic regression by reweighted least squares over rows: {key: (coefficients, covariance, clusters, n, converged)}.
 
-    Each pass sums one weighted Gram matrix in the tasks. Columns without variation in a key get a zero coefficient.
+    Rows of equal columns and outcome are counted once, and the passes read the counts; each sums one weighted Gram matrix
+    in the tasks. Columns without variation in a key get a zero coefficient.
     """
-    beta = {str(r[0]): np.zeros(len(columns)) for r in df.select(key).distinct().collect()}  # the keys are few
-    settled, m, w = dict.fromkeys(beta, False), {}, {}
+    cells = cut_lineage(df.groupBy(key, *columns, y).agg(F.count("*").alias("_n")))
+    counts = {str(r[key]): r["n"] for r in cells.groupBy(key).agg(F.sum("_n").alias("n")).collect()}  # the keys are few
+    beta = {name: np.zeros(len(columns)) for name in counts}
+    settled, m = dict.fromkeys(beta, False), {}
     for _ in range(passes):
         eta = F.greatest(F.least(_linear(key, columns, beta), F.lit(30.0)), F.lit(-30.0))
         p = 1 / (1 + F.exp(-eta))
-        x = df.withColumn("_w", p * (1 - p)).withColumn("_z", eta + (F.col(y) - p) / F.col("_w"))
+        x = cells.withColumn("_w", p * (1 - p)).withColumn("_z", eta + (F.col(y) - p) / F.col("_w")).withColumn("_w", F.col("_w") * F.col("_n"))
         m = gram(x, key, [*columns, "_z"], "_w")
         for name, g in m.items():
             new = np.linalg.pinv(g[:-1, :-1], rcond=1e-12) @ g[:-1, -1]
@@ -313,7 +317,6 @@ def clustered_logit(df: DataFrame, key: str, y: str, columns, cluster: str, pass
             beta[name] = new
         if all(settled.values()):
             break
-    counts = {str(r[key]): r["n"] for r in df.groupBy(key).agg(F.count("*").alias("n")).collect()}
     p = 1 / (1 + F.exp(-_linear(key, columns, beta)))
     bread = {name: np.linalg.pinv(g[:-1, :-1], rcond=1e-12) for name, g in m.items()}
     cov = _sandwich(df, key, cluster, columns, F.col(y) - p, bread, counts)

@@ -361,26 +361,29 @@ def st14_subst(t):
     return t.spark.createDataFrame(out, "kind string, subst string, reference string, n bigint, delta double, se double")
 
 
-def adjusted(t, df, y, how):
+def adjusted(t, df, y, how, least=0):
     """Models of y on class, substitution, CpG, GC and chromosome per kind: (kind, reference, names, beta, cov) for the classes that have rows.
 
-    The reference class is the flank where it has more than LEAST_REFERENCE rows, else the control.
+    The reference class is the flank where it has more than LEAST_REFERENCE rows, else the control. Kinds whose y adds up
+    to less than `least` are left out.
     """
-    chroms = sorted(r[0] for r in df.select("chrom").distinct().collect())  # chromosome names
-    x, _ = design(df.withColumn("cpg_", F.col("cpg").cast("double")), chroms)
-    found = {}
-    for r in x.groupBy("kind", "cls", "subst").agg(F.count("*").alias("n")).collect():  # kinds x classes x substitutions
-        k = found.setdefault(r["kind"], ({}, set()))
+    df = cut_lineage(df.select("chrom", "kind", "cls", "subst", F.col("cpg").cast("double").alias("cpg_"), "gc", "motif_id", y))  # every pass reads these rows
+    found, chroms = {}, set()
+    for r in df.groupBy("kind", "cls", "subst", "chrom").agg(F.count("*").alias("n"), F.sum(y).alias("y")).collect():  # kinds x classes x substitutions x chromosomes
+        k = found.setdefault(r["kind"], [{}, set(), 0])
         k[0][r["cls"]] = k[0].get(r["cls"], 0) + r["n"]
         k[1].add(r["subst"])
-    x = x.persist()  # every pass of a fit reads the same rows
-    for kind, (classes, substs) in sorted(found.items()):
+        k[2] += r["y"] or 0
+        chroms.add(r["chrom"])
+    found = {kind: k for kind, k in found.items() if k[2] >= least}
+    chroms = sorted(chroms)
+    x, _ = design(df, chroms)
+    for kind, (classes, substs, _) in sorted(found.items()):
         present = [c for c in CLASSES if c in classes]
         base = "flank" if classes.get("flank", 0) > LEAST_REFERENCE else "control" if "control" in classes else present[-1]
         names = ["one", *[f"c_{c}" for c in present if c != base], *[f"s_{SUBSTS.index(s)}" for s in SUBSTS if s in substs][1:], "cpg_", "gc", *[f"h_{c}" for c in chroms[1:]]]
         fit = how(x.where(F.col("kind") == kind), "kind", y, names, "motif_id")
         yield kind, base, names, fit.get(kind)
-    x.unpersist()
 
 
 _XEQ = ("list_concat([1.0::double], [(cls = c)::int::double FOR c IN [" + ", ".join(f"'{c}'" for c in CLASSES) + "]], [(subst = c)::int::double FOR c IN ["
@@ -419,9 +422,8 @@ Z95 = 1.959963984540054  # fixed value: 97.5 % quantile of the normal distributi
 def st13(t):
     """Odds ratios of top-1 % membership per class, adjusted and clustered by motif; kinds below fifty events are left out."""
     df = with_top(scored(t)).where("cls <> 'other'")
-    enough = df.groupBy("kind").agg(F.sum("top1").alias("e")).where(F.col("e") >= LEAST_EVENTS).select("kind")
     out = []
-    for kind, base, names, fit in adjusted(t, df.join(F.broadcast(enough), "kind", "left_semi"), "top1", stats.clustered_logit):  # two kinds
+    for kind, base, names, fit in adjusted(t, df, "top1", stats.clustered_logit, LEAST_EVENTS):  # two kinds
         beta, cov, groups, n, settled = fit
         for i, name in enumerate(names):
             if name.startswith("c_"):
