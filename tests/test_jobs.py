@@ -322,3 +322,16 @@ def test_logit_passes_read_counted_rows(spark, monkeypatch):
     odds = lambda p: np.log(p / (1 - p))
     assert settled and n == 1200 and clusters == 40 and np.allclose(beta, [odds(y[a == 0].mean()), odds(y[a == 1].mean()) - odds(y[a == 0].mean())])
     assert max(read[:-1]) == 4   # before: every pass read all rows; the last reads one row per cluster
+
+
+def test_rescue_puts_contigs_together_once(spark, monkeypatch):
+    from tractwise.plans import q_motifs
+    made, plain = [], q_motifs.contigs
+    monkeypatch.setattr(q_motifs, "contigs", lambda t: made.append(t) or plain(t))
+
+    class Given:
+        genome = spark.createDataFrame([("c", i, x) for i, x in enumerate(["AGGGTTAGGGTTAGGGTTAGGGAT" * 4, "ACTTACAT" * 12, "ATCCCTAACCCTAACCCTAACCCT" + "AT" * 36])], "chrom string, piece bigint, s string")
+    got = q_motifs.rescued(Given).select("strand", "start", "end").collect()
+    assert len(made) == 1 and any(r["strand"] == "-" for r in got)   # before: for the motifs and for the regions, per strand
+    plan = q_motifs.rescued(Given)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan   # written, not put together again where it is read
