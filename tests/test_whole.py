@@ -1,4 +1,4 @@
-"""Heads fitted on every labelled row, against the fit that holds its rows in memory."""
+"""Heads fitted on every labelled row, against the fit that holds its rows in memory; scans and ranks that touch fewer rows."""
 
 import random
 
@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tractwise.operators import boosting, heads
+from tractwise.functions import motif, seq, variant
+from tractwise.operators import boosting, heads, models, motifs
 from tractwise.plans import q_heads
 
 
@@ -59,3 +60,36 @@ def test_heads_without_a_bound_are_fitted_on_all_rows(spark):
     assert heads.sampled(rows.where("head = 'few'"), None).isEmpty()
     for name in ("ml2_out_of_fold", "ml2_out_of_fold_classes"):
         assert str(heads.MAX_ROWS) not in q_heads.WHOLE_SQL, name
+
+
+def test_edits_searched_anew_are_all_that_can_change_a_motif(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("GGGGGGCCCCCCTAU"[: 14 if i % 3 else 15]) for _ in range(26)) for i in range(60)]
+    texts += ["GGGNGGGTGGGTGGGA", "GGGTGGGTGGGTGG", "CCCACCCUCCCTCC", "GGGGGGGGGGGGGGGGG", "CCCnCCCTTCCCTTCCC"]
+    for kind in ("G4", "iM"):
+        df = spark.createDataFrame([(s,) for s in texts], "s string").withColumns({
+            "before": motif.motif_count("s", kind), "other": motif.has_motif(seq.revcomp("s"), kind)})
+        e = motifs.substitutions(df, ["before", "other"], "s").select(
+            motif.motif_count("mutant", kind).alias("a"), motifs.count_after("before", "wt", "alt", "mutant", kind).alias("b"),
+            (~F.col("other") & motif.has_motif(seq.revcomp("mutant"), kind)).alias("c"), motifs.other_strand_gain("other", "wt", "alt", "mutant", kind).alias("d"))
+        got = e.agg(F.count_if(F.expr("a <> b OR c <> d")), F.count_if("c"), F.count_if(F.expr("a > 0")), F.count_if(F.expr("b IS NULL OR d IS NULL"))).first()
+        assert got[0] == 0 and got[1] > 0 and got[2] > 0 and got[3] == 0
+
+
+def test_only_edits_with_a_number_reach_the_tasks_that_score(spark):
+    class Model:
+        models, specs, asked = {"h": [], "g": []}, {"h": ("h", "G4", "regression"), "g": ("g", "G4", "binary")}, []
+
+        def deltas(self, df, heads, wild, asked, keep=None):
+            self.asked.append(df.count())
+            return df.select(*keep, F.explode(F.array(*map(F.lit, heads))).alias("head"), F.lit(1.0).alias("delta"), F.lit(0.0).alias("delta_sd"))
+
+    model = Model()
+    df = spark.createDataFrame([(1, "GGGTGGGTGGGTGGGA"), (2, "GGGTATATATATATATAT"), (3, "GGATGGGTGGGTGGGA"), (4, None), (5, "")], "seq_id int, s string")
+    out = heads.mutation_scan(model, df, "seq_id", "s", models.routed, motifs.substitutions, variant.motif_state)
+    got = {(r["head"], r["state"]): (r["n"], r["m"]) for r in out.groupBy("head", "state").agg(F.count("*").alias("n"), F.count("delta").alias("m")).collect()}
+    scored = 3 * 16 - 36 + 1                    # all but the tracts' edits of the first, the edit that completes the third
+    assert model.asked == [scored]
+    for head in "gh":
+        assert got[head, "motif_lost"] == (36, 0) and got[head, "motif_retained"] == (12, 12) and got[head, "motif_gained"] == (1, 1)
+        assert got[head, "no_motif"] == (3 * 18 + 3 * 16 - 1, 0)
