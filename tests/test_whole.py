@@ -1,14 +1,16 @@
 """Heads fitted on every labelled row, against the fit that holds its rows in memory; scans and ranks that touch fewer rows."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tractwise.functions import motif, seq, variant
 from tractwise.operators import boosting, heads, models, motifs
-from tractwise.plans import q_heads
+from tractwise.plans import q_heads, q_stats
 
 
 @pytest.mark.parametrize("task", ["regression", "binary", "multiclass"])
@@ -93,3 +95,29 @@ def test_only_edits_with_a_number_reach_the_tasks_that_score(spark):
     for head in "gh":
         assert got[head, "motif_lost"] == (36, 0) and got[head, "motif_retained"] == (12, 12) and got[head, "motif_gained"] == (1, 1)
         assert got[head, "no_motif"] == (3 * 18 + 3 * 16 - 1, 0)
+
+
+def test_within_sequence_ranks_take_one_exchange(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"h{i % 2}", int(rng.integers(25)), float(rng.integers(5)), float(rng.integers(4))) for i in range(400)]
+    rows += [("h0", 99, None, 1.0), ("h0", 99, 1.0, None), ("h0", 99, 2.0, 2.0), ("h0", 99, 3.0, 3.0), ("h0", 99, 4.0, 1.0), (None, 1, 1.0, 1.0), ("h1", None, 1.0, 1.0)]
+    preds = spark.createDataFrame(rows, "head string, ok int, y_real double, y_hat double").repartition(4)
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    monkeypatch.setattr(q_stats, "cut_lineage", kept)
+    got = {r["head"]: r for r in q_stats.rnk5(SimpleNamespace(preds=preds)).collect()}
+    frame = pd.DataFrame(rows, columns=["head", "ok", "y", "p"]).dropna(subset=["head", "ok"])
+    for head, of in frame.groupby("head"):
+        rho, off, whole = [], 0.0, 0.0
+        for _, x in of.groupby("ok"):
+            if len(x) >= 4 and x["y"].nunique() >= 3:
+                both = pd.DataFrame({"y": x["y"].rank(), "p": x["p"].rank()}).dropna()
+                rho.append(0.0 if x["p"].nunique() < 2 else np.corrcoef(both["y"], both["p"])[0, 1])
+                dy, dp = x["y"] - x["y"].mean(), x["p"] - x["p"].mean()
+                off, whole = off + ((dy - dp) ** 2).sum(), whole + (dy * dy).sum()
+        assert got[head]["n_sequences"] == len(rho) and abs(got[head]["median_rho"] - np.median(rho)) < 1e-5
+        assert abs(got[head]["r2_centred"] - (1 - off / whole)) < 1e-6
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1

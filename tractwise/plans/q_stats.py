@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import condition, seq, thermo
@@ -592,13 +593,19 @@ JOIN (SELECT head, round(1 - sum(power(dy - dp, 2)) / sum(dy * dy), 6) AS r2_cen
 def rnk5(t):
     """Does a prediction move with the buffer within one sequence: median rank correlation and R2 of centred values."""
     keys = ["head", "ok"]
-    df = t.preds.select(*keys, "y_real", r6("y_hat").alias("y_hat"))
-    per = df.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("y_real").alias("nd"), F.countDistinct("y_hat").alias("np"),
-                                F.avg("y_real").alias("my"), F.avg("y_hat").alias("mp")).where("n >= 4 AND nd >= 3")
-    df = df.join(per, keys)
-    ranked = ordered.with_ranks(ordered.with_ranks(df, "y_real", "rx", keys), "y_hat", "ry", keys)
-    rho = ranked.groupBy(*keys, "np").agg(F.corr("rx", "ry").alias("c")).withColumn("rho", F.when(F.col("np") > 1, F.col("c")).otherwise(0.0))
-    med = ordered.exact_quantiles(rho, "rho", [0.5], ["head"]).select("head", F.col("total").alias("n_sequences"), F.round("q0", 5).alias("median_rho"))
-    dy, dp = F.col("y_real") - F.col("my"), F.col("y_hat") - F.col("mp")
-    r2 = df.groupBy("head").agg(r6(1 - F.sum(F.pow(dy - dp, 2)) / F.sum(dy * dy)).alias("r2_centred"))
+    df = t.preds.select(*keys, "y_real", r6("y_hat").alias("y_hat")).where("head IS NOT NULL AND ok IS NOT NULL")
+    own = Window.partitionBy(*keys)
+    # one exchange: what follows reads the rows of a sequence where they lie, and short sequences leave before they are ordered
+    df = df.withColumn("n", F.count("*").over(own)).where("n >= 4")
+    df = df.withColumns({"dy": F.col("y_real") - F.avg("y_real").over(own), "dp": F.col("y_hat") - F.avg("y_hat").over(own)})
+    for value, rank, distinct in (("y_real", "rx", "nd"), ("y_hat", "ry", "np")):
+        order = own.orderBy(F.asc_nulls_last(value))
+        equal = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        given = F.col(value).isNotNull()
+        df = df.withColumns({rank: F.when(given, F.rank().over(order) + (equal - 1) / 2), distinct: F.when(given, F.dense_rank().over(order))})
+    per = df.groupBy(*keys).agg(F.coalesce(F.max("nd"), F.lit(0)).alias("nd"), F.coalesce(F.max("np"), F.lit(0)).alias("np"), F.corr("rx", "ry").alias("c"),
+                                F.sum(F.pow(F.col("dy") - F.col("dp"), 2)).alias("off"), F.sum(F.col("dy") * F.col("dy")).alias("all")).where("nd >= 3")
+    per = cut_lineage(per.select("head", F.when(F.col("np") > 1, F.col("c")).otherwise(0.0).alias("rho"), "off", "all"))
+    med = ordered.exact_quantiles(per, "rho", [0.5], ["head"]).select("head", F.col("total").alias("n_sequences"), F.round("q0", 5).alias("median_rho"))
+    r2 = per.groupBy("head").agg(r6(1 - F.sum("off") / F.sum("all")).alias("r2_centred"))
     return med.join(r2, "head")
