@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tractwise.functions import motif, seq, variant
+from tractwise.functions import features, motif, seq, variant
 from tractwise.operators import boosting, heads, models, motifs
 from tractwise.plans import q_heads, q_stats
 
@@ -121,3 +121,22 @@ def test_within_sequence_ranks_take_one_exchange(spark, monkeypatch):
         assert got[head]["n_sequences"] == len(rho) and abs(got[head]["median_rho"] - np.median(rho)) < 1e-5
         assert abs(got[head]["r2_centred"] - (1 - off / whole)) < 1e-6
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_window_vectors_of_batches_equal_the_expressions(spark):
+    rng = random.Random(9)
+    texts = [None, "", "G", "NNNN", "gggtttgggaaagggtttggg", "GGGNNNGGGTGGGTGGGA", "CCCTCCCTCCCTCCC", "G" * 30]
+    texts += ["".join(rng.choice("GGGGGGGGACCAATTT" if i % 2 else "CCCCCCCCAGGAATTTN") for _ in range(rng.choice([7, 25, 26, 40, 96]))) for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(4)
+    got = features.with_window_features(df, "s")
+    assert "_first" in got._jdf.queryExecution().optimizedPlan().toString()     # one pass over a batch
+    forward = seq.hunter_sum("s") >= 0
+    sides = {"first": F.when(forward, F.col("s")).otherwise(seq.revcomp("s")), "second": F.when(forward, seq.revcomp("s")).otherwise(F.col("s"))}
+    got = {r["id"]: r for r in got.collect()}
+    for side, text in sides.items():
+        names = [n for n in features.NAMED + features.KMERS_NAMED if side == "first" or n not in features.KMERS_NAMED]
+        want = features.with_sequence_features(df.select("id", text.alias("x")), "x", "G4").collect()
+        for r in want:
+            for n in names:
+                a, b = r[n], got[r["id"]][f"{side}_{n}"]
+                assert (a is None and b is None) or abs(a - b) < 1e-12, (texts[r["id"]], side, n, a, b)
