@@ -56,7 +56,7 @@ def test_whole_fit_answers_every_row_as_the_fit_in_memory_does(spark):
 
 
 def test_heads_without_a_bound_are_fitted_on_all_rows(spark):
-    rows = [(f"r{i}", "a") for i in range(heads.MAX_ROWS + 300)] + [("z", "few")]
+    rows = [(f"r{i}", "a") for i in range(heads.MAX_ROWS + 300)] + [("z", "few"), (None, "a")]   # a row without an id is no record, bounded or not
     rows = spark.createDataFrame(rows, "record_id string, head string")
     assert heads.sampled(rows, None).count() == heads.MAX_ROWS + 300
     assert heads.sampled(rows.where("head = 'few'"), None).isEmpty()
